@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.llm import decontaminate, simhash
+from scriptorium.llm import decontaminate, simhash, tiff, warc
+from scriptorium.llm.shared import use_checkpoint_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +21,23 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.image_digests(tiff.read_pages(tiff.write_media(_table(spark, sf_dir, "documents"))))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    use_checkpoint_dir(spark)
+    archives = warc.write_archives(_table(spark, sf_dir, "pages")).checkpoint()
+    found = warc.read_archives(archives).where("record_type <> 'warcinfo' OR error IS NOT NULL")
+    number = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).try_cast("long")
+    return found.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
+
+
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op7_tiff": op7_tiff,
+    "op8_warc": op8_warc,
 }
 
 ORACLES = {
@@ -44,5 +59,15 @@ t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(ite
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+""",
+    "op8_warc": r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS best FROM p GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to
+FROM p JOIN m USING (h)
 """,
 }

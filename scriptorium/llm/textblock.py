@@ -144,3 +144,22 @@ ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 #: Lower-cases A-Z only.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
+
+
+def packed(rows, schema: pa.Schema, size, limit: int = 4 << 20):
+    """Record batches of about ``limit`` bytes from tuples in the schema's order; size(row) is a row's bytes."""
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row) + 64
+        if total >= limit:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, total = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def each(column: pa.Array):
+    """The Python values of a column, one at a time."""
+    for x in column:
+        yield x.as_py()
