@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.llm import decontaminate, simhash, tiff, warc
+from scriptorium.llm import decontaminate, secrets, simhash, tiff, warc
 from scriptorium.llm.shared import use_checkpoint_dir
 
 
@@ -33,11 +33,19 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+    every = found.withColumn("every", F.expr("array_sort(concat(base, added))"))
+    return every.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("every").alias("spans"))
+
+
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
     "op7_tiff": op7_tiff,
     "op8_warc": op8_warc,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES = {
