@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.llm import decontaminate, secrets, simhash, tiff, warc
+from scriptorium.llm import decontaminate, secrets, simhash, substring, tiff, warc
 from scriptorium.llm.shared import use_checkpoint_dir
 
 
@@ -21,6 +21,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.image_digests(tiff.read_pages(tiff.write_media(_table(spark, sf_dir, "documents"))))
 
@@ -43,6 +47,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op6_substring": op6_substring,
     "op7_tiff": op7_tiff,
     "op8_warc": op8_warc,
     "op10_secrets": op10_secrets,
@@ -67,6 +72,15 @@ t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(ite
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+""",
+    "op6_substring": r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT r, p, hash(ws[p:p + 19]) AS h, hash(list_reverse(ws[p:p + 19])) AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 18)) AS p FROM d)),
+f AS (SELECT r, p FROM (SELECT r, p, row_number() OVER (PARTITION BY h, k ORDER BY r, p) AS n FROM g) WHERE n > 1),
+c AS (SELECT r, list(DISTINCT x) AS gone FROM (SELECT r, unnest(range(p, p + 20)) AS x FROM f) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(ws, ' ') ELSE array_to_string(list_select(ws, list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(gone, i))), ' ') END) AS kept_sha256
+FROM d LEFT JOIN c USING (r)
 """,
     "op8_warc": r"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
