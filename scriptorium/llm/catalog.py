@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.functions.cluster import ship
-from scriptorium.llm import decontaminate, pii, secrets, simhash, substring, tiff, warc
+from scriptorium.llm import decontaminate, langid, pii, quality, secrets, simhash, substring, tiff, warc
 from scriptorium.llm.shared import use_checkpoint_dir
 
 
@@ -27,6 +27,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.classify(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_digests(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +49,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
@@ -54,9 +64,11 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op5_langid": op5_langid,
     "op6_substring": op6_substring,
     "op7_tiff": op7_tiff,
     "op8_warc": op8_warc,
+    "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
 }
 
