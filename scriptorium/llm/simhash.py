@@ -37,7 +37,7 @@ from scriptorium.llm.textblock import LOWER, NOT_SPACE, Words, blocks
 RADIUS = 4
 SHINGLE = 4
 #: Segments as (bits, radius), low bits first.  In each row the radii plus one add up to more than RADIUS.
-PLANS = (((16, 0), (16, 0), (16, 0), (8, 0), (8, 0)), ((19, 0), (22, 1), (23, 1)), ((21, 0), (21, 0), (22, 2)), ((29, 1), (35, 2)))
+PLANS = (((19, 0), (22, 1), (23, 1)), ((29, 1), (35, 2)))
 
 
 def fingerprints(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
