@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.functions.cluster import ship
-from scriptorium.llm import decontaminate, langid, pii, quality, secrets, simhash, substring, tiff, warc
+from scriptorium.llm import decontaminate, langid, pieces, pii, quality, secrets, simhash, substring, tiff, warc
 from scriptorium.llm.shared import use_checkpoint_dir
 
 
@@ -14,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "lossless")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_pii(_table(spark, sf_dir, "documents")))
 
@@ -61,6 +66,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pieces": op1_pieces,
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
