@@ -13,10 +13,11 @@ whole texts by a hash.  A chunk first folds its own equal hashes together, and o
 binary row for each chunk and range of hash values: (hash, blocks here, runs here).  Each range says which hashes are hit;
 the chunks answer with the hashes of the windows about the hits and the first place where each starts, and each range says
 for which of them another chunk has an earlier place.  A hash that a third of all documents hold thus costs one entry per
-chunk.  Hashes have 64 bits for probes, and 128 for windows, which decide.
+chunk.  Hashes have 44 bits for probes, where a chance match costs a comparison only, and 96 for windows, which decide.
+Numbers are packed byte plane by byte plane, so that what sorted or small numbers share is squeezed out of the shuffle.
 
-Null texts and texts of fewer than SPAN words keep all words.  Rows with equal ids are ordered by a hash of their text and
-then by their place in the chunk; equal rows fall into the same chunk.  A null id counts as smaller than any other.
+Null texts and texts of fewer than SPAN words keep all words.  Rows with equal ids fall into one chunk and are ordered by a
+hash of their text, then by their place there.  Null ids come before all others, in the order of their texts' hashes.
 """
 
 from __future__ import annotations
@@ -37,20 +38,19 @@ CHUNK_BYTES = 8 << 20
 #: Shuffle partitions and hash ranges at most; beyond, a task works through several chunks, and a range grows.
 MOST_TASKS, MOST_RANGES = 20_000, 65_536
 _SALT = np.uint64(0xA0761D6478BD642F)
-_NONE = -(1 << 63)
-#: Probe hashes keep 60 bits; the low bits carry how many blocks (0 to 2) and runs (1 or 2) there are.
-_KEY = np.uint64(0xFFFFFFFFFFFFFFF0)
+#: Probe entries: 44 bits of the hash above 4 that carry how many blocks (0 to 2) and runs (1 or 2) there are.
+_SHIFT, _KEY = np.uint64(16), np.uint64(0xFFFFFFFFFFF0)
+#: Bytes of the numbers in each kind of message.
+_PROBE, _PLACE, _LATER = (6,), (8, 4, 8, 4), (8, 4)
 
 
 class Chunk:
     """The documents of a chunk, in the order that decides which of two windows is earlier."""
 
     def __init__(self, table: pa.Table):
-        ids = table.column("doc_id").to_pandas().fillna(_NONE).astype("int64").to_numpy() if table.column("doc_id").null_count else table.column("doc_id").to_numpy()
-        marks = table.column("mark").to_numpy()
-        self.order = np.lexsort((np.arange(len(ids)), marks, ids))
-        self.ids, self.marks = ids[self.order], marks[self.order]
-        self.table = table.take(pa.array(self.order))
+        ids, marks = table.column("at").to_numpy(), table.column("mark").to_numpy()
+        order = np.lexsort((marks, ids))
+        self.ids, self.table = ids[order], table.take(pa.array(order))
 
     def parts(self) -> Iterator[tuple[int, Words, Grams]]:
         for batch in self.table.select(["text"]).combine_chunks().to_batches():
@@ -65,7 +65,7 @@ class Chunk:
         keys, block = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for _, words, grams in self.parts():
             at = np.flatnonzero(words.left() >= BLOCK)
-            keys.append(grams.of(BLOCK)[at] & _KEY)
+            keys.append(grams.of(BLOCK)[at] >> _SHIFT & _KEY)
             block.append(((at - words.first[words.row()[at]]) % BLOCK == 0).astype(np.uint64))
         every = np.concatenate(keys) | np.concatenate(block)
         every.sort()
@@ -80,14 +80,14 @@ class Chunk:
             left = words.left()
             at = np.flatnonzero(left >= BLOCK)
             own = (at - words.first[words.row()[at]]) % BLOCK == 0
-            probe = grams.of(BLOCK)[at] & _KEY
+            probe = grams.of(BLOCK)[at] >> _SHIFT & _KEY
             marked = np.zeros(words.n + 1, np.int64)
             marked[at[np.where(own, found(twice, probe), found(keys, probe))] + 1] = 1
             total = np.cumsum(marked)
             start = np.flatnonzero(left >= SPAN)
             start = start[total[start + SPAN - BLOCK + 1] > total[start]]
             a = grams.at(start, SPAN)
-            b = mixed(grams.at(start, BLOCK) * _SALT + mixed(grams.at(start + BLOCK, SPAN - BLOCK) + _SALT))
+            b = mixed(grams.at(start, BLOCK) * _SALT + mixed(grams.at(start + BLOCK, SPAN - BLOCK) + _SALT)) >> np.uint64(32)
             yield lo, words, start, a, b
 
 
@@ -101,7 +101,6 @@ def _summed(keys: np.ndarray, n_block: np.ndarray, n_run: np.ndarray) -> np.ndar
     return keys[first] | np.minimum(np.add.reduceat(n_block, first), two) | np.minimum(runs, two) << two
 
 
-_PAIRS = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
 def _range_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -115,30 +114,35 @@ def _dealt(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
         yield int(r), slice(edge[r], edge[r + 1])
 
 
-def _split(blobs: list[bytes], *kinds: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """Blobs hold an array of each kind, one after the other and equally long: those end to end, and each entry's blob."""
-    parts = []
-    for blob in blobs:
-        n, at, own = len(blob) // sum(np.dtype(k).itemsize for k in kinds), 0, []
-        for k in kinds:
-            own.append(np.frombuffer(blob, k, n, at))
-            at += n * np.dtype(k).itemsize
-        parts.append(own)
-    joined = [np.concatenate([np.zeros(0, k), *(p[i] for p in parts)]) for i, k in enumerate(kinds)]
-    return joined, np.repeat(np.arange(len(blobs)), [len(p[0]) for p in parts])
+def _packed(columns: list[np.ndarray], widths: tuple[int, ...]) -> bytes:
+    """Numbers of 64 bits, each column as its ``widths`` lower bytes, one plane of bytes after the other."""
+    return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for c, w in zip(columns, widths, strict=True))
 
 
-def _answers(chunks: list[int], owner: np.ndarray, *columns: np.ndarray) -> pa.Table:
+def _split(blobs: list[bytes], widths: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of all blobs end to end, as uint64, and each entry's blob."""
+    sizes = [len(x) // sum(widths) for x in blobs]
+    edge = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    out = [np.zeros((edge[-1], 8), np.uint8) for _ in widths]
+    for blob, lo, hi in zip(blobs, edge[:-1], edge[1:], strict=True):
+        at = 0
+        for c, w in zip(out, widths, strict=True):
+            c[lo:hi, :w] = np.frombuffer(blob, np.uint8, w * (hi - lo), at).reshape(w, hi - lo).T
+            at += w * (hi - lo)
+    return [c.view(np.uint64).reshape(-1) for c in out], np.repeat(np.arange(len(blobs)), sizes)
+
+
+def _answers(chunks: list[int], owner: np.ndarray, columns: list[np.ndarray], widths: tuple[int, ...]) -> pa.Table:
     """A (chunk, blob) row for each owner that has entries."""
     order = np.argsort(owner, kind="stable")
     columns, edge = [c[order] for c in columns], np.searchsorted(owner[order], np.arange(len(chunks) + 1))
-    rows = [(c, b"".join(x[i:j].tobytes() for x in columns)) for c, i, j in zip(chunks, edge[:-1], edge[1:], strict=True) if j > i]
+    rows = [(c, _packed([x[i:j] for x in columns], widths)) for c, i, j in zip(chunks, edge[:-1], edge[1:], strict=True) if j > i]
     return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
 
 def _which_hit(group: pa.Table) -> pa.Table:
     """To each chunk of a range: its hashes of which there is a block and another run, with the number of blocks."""
-    (entries,), owner = _split(group.column("blob").to_pylist(), "<u8")
+    (entries,), owner = _split(group.column("blob").to_pylist(), _PROBE)
     order = np.argsort(entries, kind="stable")
     entries, owner = entries[order], owner[order]
     keys = entries & _KEY
@@ -146,19 +150,16 @@ def _which_hit(group: pa.Table) -> pa.Table:
     total = total[((total & np.uint64(3)) >= 1) & ((total >> np.uint64(2) & np.uint64(3)) >= 2)]
     hit = found(total & _KEY, keys)
     answer = total[np.searchsorted(total & _KEY, keys[hit])] & ~np.uint64(12)
-    return _answers(group.column("chunk").to_pylist(), owner[hit], answer)
-
-
-_PLACES = ("<u8", "<u8", "<i8", "<i8", "<i8")
+    return _answers(group.column("chunk").to_pylist(), owner[hit], [answer], _PROBE)
 
 
 def _which_later(group: pa.Table) -> pa.Table:
     """To each chunk of a range: its windows of which another chunk has the earlier place."""
-    (a, b, ids, marks, place), owner = _split(group.column("blob").to_pylist(), *_PLACES)
-    order = np.lexsort((place, marks, ids, b, a))
+    (a, b, ids, place), owner = _split(group.column("blob").to_pylist(), _PLACE)
+    order = np.lexsort((place, ids.view(np.int64), b, a))
     a, b, owner = a[order], b[order], owner[order]
     later = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
-    return _answers(group.column("chunk").to_pylist(), owner[later], a[later], b[later])
+    return _answers(group.column("chunk").to_pylist(), owner[later], [a[later], b[later]], _LATER)
 
 
 def _in_pairs(told: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -196,11 +197,12 @@ class Windows:
         return np.concatenate(rows), np.concatenate([np.zeros(0, np.int64), *(start - words.first[words.row()[start]] for _, words, start, _ in self.parts)])
 
 
-def _sent(chunk: int, columns: list[np.ndarray], ranges: int) -> pa.Table:
-    """The rows that a chunk sends to the ranges; the first column is sorted and deals the entries out."""
-    edge = np.searchsorted((columns[0] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
+def _sent(chunk: int, columns: list[np.ndarray], widths: tuple[int, ...], ranges: int) -> pa.Table:
+    """The rows that a chunk sends to the ranges; the first column is sorted and its upper 32 bits deal the entries out."""
+    upper = columns[0] >> np.uint64(8 * widths[0] - 32)
+    edge = np.searchsorted(upper * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
     full = np.flatnonzero(np.diff(edge)).tolist()
-    blobs = [b"".join(np.ascontiguousarray(c[edge[r] : edge[r + 1]]).tobytes() for c in columns) for r in full]
+    blobs = [_packed([c[edge[r] : edge[r + 1]] for c in columns], widths) for r in full]
     return pa.table({"part": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
@@ -210,27 +212,28 @@ def mark_repeats(docs: DataFrame, kernel, schema: pa.Schema, *, id_col: str = "d
     size = min(1 << 50, int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n = chunks or max(8, size // CHUNK_BYTES)
     tasks, ranges = min(n, MOST_TASKS), min(4 * n, MOST_RANGES)
-    by_chunk = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(n))).repartition(tasks, "chunk")
+    rows = rows.withColumn("at", F.coalesce("doc_id", F.expr("(mark & 4611686018427387903L) | -9223372036854775808")))  # the order of documents
+    by_chunk = rows.withColumn("chunk", F.pmod(F.xxhash64("at"), F.lit(n))).repartition(tasks, "chunk")
 
     def probes(key, table):
-        return _sent(key[0].as_py(), [Chunk(table).probes()], ranges)
+        return _sent(key[0].as_py(), [Chunk(table).probes()], _PROBE, ranges)
 
     def hashes(answers: pa.Table, kind: int) -> list[bytes]:
         return [x for x, k in zip(answers.column("blob").to_pylist(), answers.column("kind").to_pylist(), strict=True) if k == kind]
 
     def places(key, table, answers):
         chunk = Chunk(table)
-        windows = Windows(chunk, np.sort(_split(answers.column("blob").to_pylist(), "<u8")[0][0]))
+        windows = Windows(chunk, np.sort(_split(answers.column("blob").to_pylist(), _PROBE)[0][0]))
         row, place = windows.places()
         new = np.flatnonzero(~windows.before)
         new = new[np.argsort(windows.a[new], kind="stable")]
-        return _sent(key[0].as_py(), [windows.a[new], windows.b[new], chunk.ids[row[new]], chunk.marks[row[new]], place[new]], ranges)
+        return _sent(key[0].as_py(), [windows.a[new], windows.b[new], chunk.ids[row[new]], place[new]], _PLACE, ranges)
 
     def judged(key, table, answers):
         chunk = Chunk(table)
-        windows = Windows(chunk, np.sort(_split(hashes(answers, 0), "<u8")[0][0]))
-        gone = windows.before | _in_pairs(tuple(_split(hashes(answers, 1), "<u8", "<u8")[0]), windows.a, windows.b)
-        out, at = [], 0
+        windows = Windows(chunk, np.sort(_split(hashes(answers, 0), _PROBE)[0][0]))
+        gone = windows.before | _in_pairs(tuple(_split(hashes(answers, 1), _LATER)[0]), windows.a, windows.b)
+        out, at, ids = [], 0, chunk.table.column("doc_id").to_pylist()
         for lo, words, start, n_own in windows.parts:
             first = start[gone[at : at + n_own]]
             at += n_own
@@ -239,8 +242,7 @@ def mark_repeats(docs: DataFrame, kernel, schema: pa.Schema, *, id_col: str = "d
             edge[first + SPAN] -= 1
             kept = np.cumsum(edge[:-1]) == 0
             for i, (x, y) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
-                doc = int(chunk.ids[lo + i])
-                out.append(kernel(None if doc == _NONE else doc, words, x, y, kept[x:y]))
+                out.append(kernel(ids[lo + i], words, x, y, kept[x:y]))
         return pa.Table.from_pylist(out, schema)
 
     group = "part int, chunk long, blob binary"
