@@ -1,4 +1,6 @@
 """The registered queries and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from scriptorium.plans import texts
+
+QUERIES: dict = dict(texts.QUERIES)
+ORACLES: dict[str, str] = dict(texts.ORACLES)
