@@ -263,15 +263,15 @@ def result_json(spark, sf_dir):
     return T.result(table(spark, sf_dir, "benchmark")).select("item_id", F.to_json("result").alias("result_json"))
 
 
-# Every line of a text is a string to be recognised; what was recognised stands in as the line with a letter changed, one
-# dropped and blanks doubled.  Plain ASCII on both sides, as DuckDB counts edits by bytes.
-_PAIRS = f"""{_LINES}, pairs AS (SELECT d.lang, d.source, a, replace(replace(translate(a, 'q', ''), 'th', 'tn'), ' ', '  ') AS b
-FROM (SELECT doc_id, regexp_replace(l, '[^\\x20-\\x7E]', '', 'g') AS a FROM lines) JOIN documents d USING (doc_id))"""
+# Every word of a text is a string to be recognised; what was recognised stands in as the word without q, with tn for th and a
+# full stop doubled.  Plain ASCII on both sides, as DuckDB counts edits by bytes.
+_PAIRS = """pairs AS (SELECT lang, source, a, replace(replace(translate(a, 'q', ''), 'th', 'tn'), '.', '..') AS b
+FROM (SELECT lang, source, unnest(string_split(regexp_replace(text, '[^\\x20-\\x7E]', '', 'g'), ' ')) AS a FROM documents))"""
 
 
 def _recognised(docs: DataFrame) -> DataFrame:
-    lines = docs.select("lang", "source", F.explode(T.lines_of("text")).alias("l")).withColumn("a", F.regexp_replace("l", "[^\\x20-\\x7E]", ""))
-    return lines.withColumn("b", F.replace(F.replace(F.translate("a", "q", ""), F.lit("th"), F.lit("tn")), F.lit(" "), F.lit("  ")))
+    words = docs.select("lang", "source", F.explode(F.split(F.regexp_replace("text", "[^\\x20-\\x7E]", ""), " ")).alias("a"))
+    return words.withColumn("b", F.replace(F.replace(F.translate("a", "q", ""), F.lit("th"), F.lit("tn")), F.lit("."), F.lit("..")))
 
 
 @query(f"""WITH {_PAIRS} SELECT source, count(*) AS strings, CAST(sum(CASE WHEN a <> b THEN 1 ELSE 0 END) AS BIGINT) AS failures, CAST(sum(levenshtein(a, b)) AS BIGINT) AS errors,
