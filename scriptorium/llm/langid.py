@@ -92,14 +92,19 @@ def _has_letter(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A linear support vector machine by dual coordinate descent (Hsieh et al., 2008); rows of x have length one."""
-    w, alpha, order = np.zeros(x.shape[1], np.float32), np.zeros(len(y)), np.random.default_rng(0)
+Sparse = list[tuple[np.ndarray, np.ndarray]]
+
+
+def _machine(x: Sparse, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A linear support vector machine by dual coordinate descent (Hsieh et al., 2008) over the given rows of x, each of
+    length one."""
+    w, alpha, order = np.zeros(SIZE, np.float32), np.zeros(len(y)), np.random.default_rng(0)
     for _ in range(EPOCHS):
         for i in order.permutation(len(y)):
-            new = min(max(alpha[i] - (y[i] * float(w @ x[i]) - 1.0), 0.0), COST)
+            at, v = x[rows[i]]
+            new = min(max(alpha[i] - (y[i] * float(w[at] @ v) - 1.0), 0.0), COST)
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                w[at] += np.float32((new - alpha[i]) * y[i]) * v
                 alpha[i] = new
     return w
 
@@ -121,21 +126,21 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Model:
     """Machines of families and of pairs of languages, and their logistics."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: Sparse, langs: list[str]):
+        """x: of each text the features that it has, and how often."""
         self.langs = sorted(set(langs))
         self.families = sorted({FAMILY_OF.get(c, c) for c in self.langs})
         self.of = {f: [c for c in self.langs if FAMILY_OF.get(c, c) == f] for f in self.families}
-        total = x.sum(axis=1)
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        unit = [(at, n / np.linalg.norm(n)) for at, n in x]
         lang = np.array(langs)
         family = np.array([FAMILY_OF.get(c, c) for c in langs])
         weights, self.logistics, self.index = [], [], {}
 
         def add(key, rows: np.ndarray, y: np.ndarray) -> None:
-            w = _machine(unit[rows], y)
+            w = _machine(unit, rows, y)
             self.index[key] = len(weights)
             weights.append(w)
-            self.logistics.append(_logistic(x[rows] @ w / total[rows], y))
+            self.logistics.append(_logistic(np.array([float(w[x[i][0]] @ x[i][1] / x[i][1].sum()) for i in rows]), y))
 
         if len(self.families) > 1:
             for f in self.families[: 1 if len(self.families) == 2 else None]:
@@ -207,19 +212,13 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                 made = [(np.flatnonzero(c).astype(np.int32), c[c > 0]) for c in _counts(raw, at)]
                 yield pa.RecordBatch.from_arrays([b.column("lang").slice(lo, hi - lo), pa.array([x for x, _ in made], pa.list_(pa.int32())), pa.array([y for _, y in made], pa.list_(pa.float32()))], ["lang", "at", "n"])
 
-    found = [r for r in sample.mapInArrow(count, "lang string, at array<int>, n array<float>").toArrow().to_batches()]
-    langs, dense = [], []
-    for b in found:
-        for lang, where, n in zip(b.column("lang").to_pylist(), b.column("at"), b.column("n"), strict=True):
-            if len(where.values):
-                row = np.zeros(SIZE, np.float32)
-                row[where.values.to_numpy()] = n.values.to_numpy()
-                langs.append(lang)
-                dense.append(row)
-    if not langs:
+    found: list[tuple[str, np.ndarray, np.ndarray]] = []
+    for b in sample.mapInArrow(count, "lang string, at array<int>, n array<float>").toArrow().to_batches():
+        found += [(lang, at.values.to_numpy(), n.values.to_numpy()) for lang, at, n in zip(b.column("lang").to_pylist(), b.column("at"), b.column("n"), strict=True) if len(at.values)]
+    if not found:
         return None
-    order = sorted(range(len(langs)), key=lambda i: (langs[i], dense[i].tobytes()))
-    return Model(np.array([dense[i] for i in order]), [langs[i] for i in order])
+    found.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    return Model([(at, n) for _, at, n in found], [lang for lang, _, _ in found])
 
 
 def classify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
