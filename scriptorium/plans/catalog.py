@@ -1,6 +1,6 @@
 """The registered queries and their DuckDB counterparts."""
 
-from scriptorium.plans import texts
+from scriptorium.plans import images
 
-QUERIES: dict = dict(texts.QUERIES)
-ORACLES: dict[str, str] = dict(texts.ORACLES)
+QUERIES: dict = dict(images.QUERIES)
+ORACLES: dict[str, str] = dict(images.ORACLES)
