@@ -110,46 +110,51 @@ class Lattice:
             if len(hit):
                 hits.append((size, at[hit], ids[k[hit]], weights[k[hit]]))
         self.most = max([1, *(h[0] for h in hits)])
-        self.id, weight = np.full((n, self.most), -1, np.int32), np.zeros((n, self.most))
+        self.id, self.share = np.full((n, self.most), -1, np.int32), np.zeros((n, self.most), np.float32)
         for size, at, ids, weights in hits:
             self.id[at, size - 1] = ids
-            weight[at, size - 1] = weights
-        weight[self.id[:, 0] < 0, 0] = v.unknown
-        self.share = np.zeros((n, self.most), np.float32)
-        length = end - start
+            self.share[at, size - 1] = weights
+        self.share[self.id[:, 0] < 0, 0] = v.unknown
+        # a place's weights are read once, to be replaced by its shares
+        length, ahead = end - start, np.ones(n)
+        order = np.argsort(-np.where(length > SHORT, 0, length), kind="stable")
         for j in range(1, min(SHORT, int(length.max(initial=0))) + 1):
-            self._fill(weight, start[(length >= j) & (length <= SHORT)] + j - 1, j, best)
+            live = int(np.searchsorted(-np.where(length > SHORT, 0, length)[order], -j, "right"))
+            self._fill(ahead, start[order[:live]] + j - 1, j, best)
         for s, e in zip(start[length > SHORT].tolist(), end[length > SHORT].tolist(), strict=True):
-            self._long(weight, s, e, best)
-        if not best:
-            np.cumsum(self.share, axis=1, out=self.share)
+            self._long(s, e, best)
 
-    def _fill(self, weight: np.ndarray, at: np.ndarray, j: int, best: bool) -> None:
-        """Place j of every short word: the sums of paths go into ``ahead``."""
-        if j == 1:
-            self.ahead = np.ones(len(weight) + 1)
+    def _fill(self, ahead: np.ndarray, at: np.ndarray, j: int, best: bool) -> None:
+        """Place j of every word that has one: the sums of paths go into ``ahead``."""
         k = min(j, self.most)
-        terms = weight[at, :k]
-        if j > 1:
-            back = self.ahead[(at[:, None] - np.arange(1, min(j - 1, k) + 1))]
-            terms = terms.copy()
-            terms[:, : back.shape[1]] *= back
-        self.share[at, :k] = terms / terms.max(axis=1, keepdims=True)
-        self.ahead[at] = terms.max(axis=1) if best else terms.sum(axis=1)
-
-    def _long(self, weight: np.ndarray, s: int, e: int, best: bool) -> None:
+        terms = self.share[at, :k].astype(np.float64)
+        for i in range(1, min(j - 1, k) + 1):
+            terms[:, i - 1] *= ahead[at - i]
+        if best:
+            ahead[at] = terms.max(axis=1)
+            terms /= ahead[at][:, None]
+        else:
+            for i in range(1, k):
+                terms[:, i] += terms[:, i - 1]
+            ahead[at] = terms[:, -1]
+            terms /= terms[:, -1:]
+        self.share[at, :k] = terms
+        if not best:
+            self.share[at, k:] = 1
+
+    def _long(self, s: int, e: int, best: bool) -> None:
         """A long word: the same, one place at a time, rescaled as it goes."""
         ahead = np.zeros(self.most)  # the sums of the places before, the nearest first
         ahead[0] = 1.0
         for p in range(s, e):
-            terms = weight[p] * ahead
+            terms = self.share[p] * ahead
             now = terms.max() if best else terms.sum()
-            self.share[p] = terms / terms.max()
+            self.share[p] = terms / now if best else np.cumsum(terms) / now
             ahead = np.concatenate([[now], ahead[:-1]]) / max(now, 1e-300)
 
 
 def _random(key: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Numbers from 0 to a little below 1, so that a product with a sum of shares stays below the sum."""
+    """Numbers from 0 to a little below 1, so that they stay below the last share, 1, whatever the rounding."""
     return (mixed(key + place.astype(np.uint64) * _STEP) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24 * 0.999999)
 
 
@@ -194,7 +199,7 @@ def encode_block(v: Vocabulary, raw: np.ndarray, at: np.ndarray, key: np.ndarray
             size = lattice.share[stand].argmax(axis=1) + 1
         else:
             share = lattice.share[stand]
-            size = np.count_nonzero(share <= (_random(seed, place) * share[:, -1])[:, None], axis=1) + 1
+            size = np.minimum(np.count_nonzero(share <= _random(seed, place)[:, None], axis=1) + 1, left)
         steps.append((who, lattice.id[stand, size - 1], own[stand]))
         left, stand, place = left - size, stand - size, place - size
         more = left > 0
