@@ -142,8 +142,8 @@ def distinct_prototypes(prototypes: DataFrame, order: str = "proto_no") -> DataF
 
 def pixel_rows(images: DataFrame) -> DataFrame:
     """image_id, y, x, v for each pixel of small grey images (for reports; recognition works on arrays)."""
-    rows = images.select("image_id", "width", F.posexplode(F.split(F.hex("pixels"), "(?<=\\G..)")).alias("i", "v")).where("v <> ''")
-    return rows.select("image_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), F.conv("v", 16, 10).cast("int").alias("v"))
+    rows = images.select("image_id", "width", F.posexplode(F.split(F.decode("pixels", "ISO-8859-1"), "")).alias("i", "c"))
+    return rows.select("image_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), F.ascii("c").alias("v"))
 
 
 def histogram(pixel_table: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
 def _profiles(texts: pa.Array) -> pa.Array:
     language, pack, flags, packs = tables()
     n_lang, n_pack = len(registry.LANGUAGES) + 1, len(packs) + 2
-    counts, seen, vote = [np.zeros((0, n_lang), np.int64)], [np.zeros(0, np.uint8)], []
+    counts, seen, vote = [np.zeros((0, n_lang), np.int64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int32)]
     for points, at in code_points(texts):
         n = len(at) - 1
         row = np.repeat(np.arange(n), np.diff(at))
@@ -67,23 +67,20 @@ def _profiles(texts: pa.Array) -> pa.Array:
         seen.append(bits)
         votes = np.minimum(pack[points], n_pack - 1)
         each = np.bincount(row * n_pack + votes, minlength=n * n_pack).reshape(n, n_pack)
-        for i in range(n):
-            if bits[i] & _SPACE:
-                vote.append(None)
-            elif not bits[i] & _NOT_ASCII:
-                vote.append("latin")
-            elif each[i, -1] or not (most := each[i, 1:-1].max()):
-                vote.append(None)
-            else:
-                tied = np.flatnonzero(each[i, 1:-1] == most) + 1
-                best = tied[0] if len(tied) == 1 else next(x for x in votes[at[i] : at[i + 1]] if x in tied)  # the first seen
-                vote.append(packs[best - 1])
-    counts, seen = np.concatenate(counts), np.concatenate(seen)
+        best, most = each[:, 1:-1].argmax(axis=1), each[:, 1:-1].max(axis=1)
+        for i in np.flatnonzero((most > 0) & ((each[:, 1:-1] == most[:, None]).sum(axis=1) > 1) & (each[:, -1] == 0)).tolist():
+            tied = np.flatnonzero(each[i, 1:-1] == most[i]) + 1
+            best[i] = next(x for x in votes[at[i] : at[i + 1]] if x in tied) - 1  # the first seen
+        none = len(packs) + 1
+        own = np.where((each[:, -1] > 0) | (most == 0), none, best)
+        vote.append(np.where(~filled, none, np.where((bits & _NOT_ASCII) == 0, len(packs), own)).astype(np.int32))
+    counts, seen, vote = np.concatenate(counts), np.concatenate(seen), np.concatenate(vote)
     n = len(counts)
+    voted = pa.array([*packs, "latin", None], pa.string()).take(pa.array(vote))
     listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (n_lang - 1)), pa.array(counts[:, 1:].astype(np.int32).ravel()))
     filled, ascii_ = (seen & _SPACE) == 0, (seen & _NOT_ASCII) == 0
     native = filled & (ascii_ | ((seen & _FOREIGN) == 0))
-    return pa.StructArray.from_arrays([listed, pa.array((seen & _LETTER) > 0), pa.array(filled & ascii_), pa.array(native), pa.array(vote, pa.string())], ["counts", "has_letter", "ascii_ocr", "native_ocr", "pack_id"])
+    return pa.StructArray.from_arrays([listed, pa.array((seen & _LETTER) > 0), pa.array(filled & ascii_), pa.array(native), voted], ["counts", "has_letter", "ascii_ocr", "native_ocr", "pack_id"])
 
 
 def profile(text: Column | str) -> Column:
@@ -128,12 +125,12 @@ def letter_counts(df: DataFrame, keys: list[str], text_col: str = "text") -> Dat
     return long.groupBy(*keys, "code").agg(F.sum("n").cast("long").alias("n"))
 
 
-# Counting by patterns: letters that Java's tables lack are named (fixed values).
-_NEWER = {"ar": "\\x{8B5}\\x{8C8}\\x{8C9}", "te": "\\x{C5D}", "kn": "\\x{CDD}"}
-
-
-def _class(ranges) -> str:
-    return "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges)
+@lru_cache(32)
+def letter_class(code: str) -> str:
+    """A character class, without its brackets, of the letters that count for a language."""
+    own = np.flatnonzero(tables()[0] == registry.CODES.index(code) + 1)
+    cuts = np.flatnonzero(np.diff(own) > 1)
+    return "".join(f"\\x{{{own[a]:X}}}-\\x{{{own[b]:X}}}" for a, b in zip(np.append(0, cuts + 1), np.append(cuts, len(own) - 1), strict=True))
 
 
 def counts_by_patterns(text: Column | str) -> Column:
@@ -141,21 +138,15 @@ def counts_by_patterns(text: Column | str) -> Column:
     without its Latin part, which is empty for most texts in Latin script."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     rest = F.regexp_replace(text, "[\\x{0}-\\x{24F}]+", "")
-    out = []
-    for code, _, _, _, ranges, _, _ in registry.LANGUAGES:
-        inner = f"[\\p{{L}}&&[{_class(ranges)}]]"
-        if code == "en":
-            out.append(F.regexp_count(text, F.lit(f"[{inner}{_class(registry.fallback())}]")))
-        else:
-            out.append(F.when(rest != "", F.regexp_count(rest, F.lit(f"[{inner}{_NEWER.get(code, '')}]"))).otherwise(0))
-    return F.array(*out)
+    only = lambda t, code: F.length(F.regexp_replace(t, f"[^{letter_class(code)}]+", ""))
+    return F.array(*(only(text, c) if c == "en" else F.when(rest != "", only(rest, c)).otherwise(0) for c in registry.CODES))
 
 
 def counts_by_join(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys, code, n by a broadcast range join of the distinct code points of each row with the ranges (a fixed 33 and the
     fallback's); characters are counted before the join, and once more after it, map side first."""
     spark = df.sparkSession
-    letters = "\\p{L}" + "".join(_NEWER.values())
+    letters = "".join(letter_class(c) for c in registry.CODES)
     chars = df.select(*keys, F.explode(F.split(F.coalesce(text_col, F.lit("")), "")).alias("ch")).where(F.col("ch").rlike(f"^[{letters}]"))
     points = chars.groupBy(*keys, "ch").agg(F.count("*").alias("m")).withColumn("cp", F.ascii("ch"))
     extra = spark.createDataFrame([("en", lo, hi) for lo, hi in registry.fallback()], "code string, start int, end int")

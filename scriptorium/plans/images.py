@@ -20,7 +20,8 @@ _CAPITALS = "trim(regexp_replace(regexp_replace(upper(replace(text, 'ß', '')),
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     said = F.trim(F.regexp_replace(F.regexp_replace(F.upper(F.replace("text", F.lit("ß"), F.lit(""))), "[^A-Z ]", ""), " +", " "))
-    return ocr.draw_terminal(items.select("item_id", said.alias("text")), id_col="item_id")
+    spread = items.select("item_id", said.alias("text")).repartition(2 * spark.sparkContext.defaultParallelism)  # small rows, large pages
+    return ocr.draw_terminal(spread, id_col="item_id")
 
 
 @query(f"SELECT item_id AS image_id, replace(replace({_CAPITALS}, 'II', 'I I'), 'II', 'I I') AS ocr_text, CAST(len(replace({_CAPITALS}, ' ', '')) AS INTEGER) AS glyph_count, CAST(1.0 AS DOUBLE) AS mean_confidence FROM benchmark")
