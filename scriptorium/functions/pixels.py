@@ -106,14 +106,15 @@ def deskewed(a: np.ndarray, most_degrees: float = 15.0) -> np.ndarray:
 
 def binarised(a: np.ndarray, deskew: bool = False) -> np.ndarray:
     """Ink.  Images that are nearly black and white already are not blurred; where Otsu's threshold leaves next to nothing or
-    over half of the pixels bright, the local threshold decides; the rarer colour is ink."""
+    over half of the pixels bright, the local threshold decides; the rarer colour is ink.  Bright is what lies above Otsu's
+    threshold, so that an image of two values keeps both."""
     if not a.size:
         return a > 0
     if ((a < 20) | (a > 235)).mean() <= 0.92:
         a = blurred(a)
     if deskew:
         a = deskewed(a)
-    bright = a >= otsu_threshold(np.bincount(a.ravel(), minlength=256))
+    bright = a > otsu_threshold(np.bincount(a.ravel(), minlength=256))
     if not 0.001 <= bright.mean() <= 0.5:
         bright = sauvola(a)
     return ~bright if bright.mean() * 255 > 127 else bright

@@ -81,7 +81,7 @@ def read_images(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def read_corpora(spark: SparkSession, path: str, glob: str = "corpus.txt") -> DataFrame:
     """lang, line_no, text: the stripped lines that aren't blank of <lang>/corpus.txt below a folder."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     lines = whole.select(F.regexp_extract(F.input_file_name(), "([^/]+)/[^/]+$", 1).alias("lang"), F.posexplode(T.lines_of("value")).alias("line_no", "line"))
     return lines.select("lang", F.col("line_no") + 1, T.stripped("line").alias("text")).toDF("lang", "line_no", "text")
 
