@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scriptorium.llm.shared import fresh
 from scriptorium.llm.textblock import ALNUM, LOWER, blocks
 
 PER_LANGUAGE = 400
@@ -221,12 +222,11 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return Model([(at, n) for _, at, n in found], [lang for lang, _, _ in found])
 
 
-def classify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, lang_pred and score of every row; with ``keep`` all columns of the documents as well."""
+def classify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """doc_id, lang_pred and score of every row; with ``keep`` all columns of the documents, and then the two."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs if keep else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    source = text_col if keep else "text"
-    names = docs.columns if keep else ["doc_id"]
+    source, own = (text_col, docs.columns) if keep else ("text", ["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -234,18 +234,14 @@ def classify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
             for lo, hi, raw, at in blocks(b.column(source)):
                 lang, score = m.predict(raw, at) if m else ([UNKNOWN] * (hi - lo), np.zeros(hi - lo))
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(lang, pa.string()), pa.array(score)], [*own, *names])
 
-    schema = docs.select(*names).schema if keep else docs.select(F.col(id_col).cast("long").alias("doc_id")).schema
-    return rows.mapInArrow(run, schema.add("lang_pred", "string").add("score", "double"))
+    return rows.mapInArrow(run, rows.select(*own).schema.add(names[0], "string").add(names[1], "double"))
 
 
-def with_language(docs: DataFrame, *, least: float = 0.3, **names: str) -> DataFrame:
+def with_language(docs: DataFrame, *, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents, all columns, whose language is found with a score of ``least`` at any rate; the model is learned from
-    them.  A clash of names with lang_pred or score is not possible: both are dropped under other names."""
-    own = docs.columns
-    safe = {c: f"__{i}" for i, c in enumerate(own) if c in ("lang_pred", "score")}
-    renamed = docs.withColumnsRenamed(safe)
-    found = classify(renamed, train(renamed, **names), keep=True, id_col=names.get("id_col", "doc_id"), text_col=names.get("text_col", "text"))
-    found = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
-    return found.withColumnsRenamed({v: k for k, v in safe.items()}).select(*own)
+    them."""
+    lang, score = fresh(docs.columns, "lang_pred", "score")
+    found = classify(docs, train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), id_col=id_col, text_col=text_col, keep=True, names=(lang, score))
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)

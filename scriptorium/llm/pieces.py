@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from scriptorium.llm.shared import fresh
 from scriptorium.llm.textblock import blocks, mixed, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -247,14 +248,16 @@ def encode(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text",
     """key, ``ids`` and ``lossless`` (whether decoding them gave the text back) of every row; with ``keep`` the row's
     other columns as well, and then columns of these two names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model_path, theta))
-    names = [c for c in docs.columns if c not in ("ids", "lossless")] if keep else ["__key"]
-    rows = docs.select(*(names if keep else [F.col(key_col).cast("long").alias("__key")]), *([F.col(key_col).cast("long").alias("__key")] if keep else []), F.col(text_col).alias("__text"))
+    kept = [c for c in docs.columns if keep and c not in ("ids", "lossless")]
+    key, text = fresh(docs.columns, "doc_id" if not keep else "key", "piece_text")
+    names = kept or [key]
+    rows = docs.select(*kept, F.col(key_col).cast("long").alias(key), F.col(text_col).alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for b in batches:
-            keys = _keys(b.column("__key"), seed)
-            for lo, hi, raw, at in blocks(b.column("__text"), _BLOCK):
+            keys = _keys(b.column(key), seed)
+            for lo, hi, raw, at in blocks(b.column(text), _BLOCK):
                 ids, offsets = encode_block(v, raw, at, keys[lo:hi], best)
                 back, back_at = decode_block(v, ids, offsets)
                 same = np.array_equal(back, raw) and np.array_equal(back_at, at)
@@ -265,7 +268,7 @@ def encode(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text",
 
     schema = rows.select(*names).schema.add("ids", T.ArrayType(T.IntegerType())).add("lossless", "boolean")
     out = rows.mapInArrow(run, schema)
-    return out if keep else out.withColumnRenamed("__key", "doc_id")
+    return out if keep else out.withColumnRenamed(key, "doc_id")
 
 
 def decode(rows: DataFrame, *, key_col: str = "doc_id", ids_col: str = "ids", model_path: str = MODEL) -> DataFrame:

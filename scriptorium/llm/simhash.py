@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from scriptorium.llm.components import connect
-from scriptorium.llm.shared import use_checkpoint_dir
+from scriptorium.llm.shared import fresh, use_checkpoint_dir
 from scriptorium.llm.textblock import LOWER, NOT_SPACE, Words, blocks
 
 RADIUS = 4
@@ -140,9 +140,9 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The documents, all columns, without near duplicates: one row of each component stays.  It is the one with the smallest
     doc_id; where rows share that id, or a component has none, the one whose text has the smallest hash."""
     found = _members(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("root").agg(F.min("doc_id").alias("id"), F.min("mark").alias("__mark"))
-    key = lambda c: [c.isNull().alias("__none"), F.coalesce(c, F.lit(0)).cast("long").alias("__id")]
-    kept = kept.select(*key(F.col("id")), "__mark")
-    marked = docs.select("*", *key(F.col(id_col)), F.xxhash64(text_col).alias("__mark"))
-    on = ["__none", "__id", "__mark"]
-    return marked.join(kept, on, "left_semi").dropDuplicates(on).drop(*on)
+    kept = found.groupBy("root").agg(F.min("doc_id").alias("id"), F.min("mark").alias("m"))
+    on = fresh(docs.columns, "none", "id", "mark")
+    key = lambda c, m: [c.isNull().alias(on[0]), F.coalesce(c, F.lit(0)).cast("long").alias(on[1]), m.alias(on[2])]
+    kept = kept.select(*key(F.col("id"), F.col("m")))
+    marked = docs.select("*", *key(F.col(id_col), F.xxhash64(text_col)))
+    return marked.join(kept, on, "left_semi").dropDuplicates(on).select(*docs.columns)
