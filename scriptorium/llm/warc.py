@@ -167,7 +167,7 @@ def save(archives: DataFrame, folder: str) -> None:
         store.create_dir(top)
         for b in batches:
             for name, content in zip(each(b.column("archive")), each(b.column("content")), strict=True):
-                with store.open_output_stream(f"{top}/{name}") as out:
+                with store.open_output_stream(f"{top}/{name}", compression=None) as out:
                     out.write(content)
             yield pa.RecordBatch.from_arrays([b.column("archive")], ["archive"])
 
