@@ -272,28 +272,33 @@ def read_glyphs(images: DataFrame, packs: list[Pack], **options) -> DataFrame:
     return _prepared(images).mapInArrow(run, GLYPH_SCHEMA)
 
 
-def read_text(images: DataFrame, packs: list[Pack], **options) -> DataFrame:
-    """image_id, ocr_text, mean_confidence, glyph_count, error: one row per image, also of one that can't be read."""
+def read_text(images: DataFrame, packs: list[Pack], keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """image_id, ocr_text, mean_confidence, glyph_count, error: one row per image, also of one that can't be read; with the
+    columns of ``keep`` carried along."""
     shared = images.sparkSession.sparkContext.broadcast(Recogniser(packs, **options))
+    hint = F.col("pack_hint") if "pack_hint" in images.columns else F.lit(None)
+    rows = images.select(*keep, F.col("image_id").cast("long").alias("image_id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "pixels", hint.cast("string").alias("pack_hint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for key, image, hint in _images(batches):
-            row = {"image_id": key, "ocr_text": "", "mean_confidence": 0.0, "glyph_count": 0, "error": image if isinstance(image, str) else None}
-            if row["error"] is None:
-                try:
-                    glyphs = shared.value.page(image, hint)
-                    row |= {"ocr_text": spelt(glyphs), "glyph_count": len(glyphs), "mean_confidence": float(np.mean([g["confidence"] for g in glyphs])) if glyphs else 0.0}
-                except LookupError as e:
-                    row["error"] = str(e)
-            rows.append(row)
-            if len(rows) >= 256:
-                yield pa.RecordBatch.from_pylist(rows, _PAGE)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, _PAGE)
-
-    return _prepared(images).mapInArrow(run, PAGE_SCHEMA)
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part, made = b.slice(lo, 256), []
+                for key, image, pack_hint in _images(iter([part])):
+                    row = {"image_id": key, "ocr_text": "", "mean_confidence": 0.0, "glyph_count": 0, "error": image if isinstance(image, str) else None}
+                    if row["error"] is None:
+                        try:
+                            glyphs = shared.value.page(image, pack_hint)
+                            row |= {"ocr_text": spelt(glyphs), "glyph_count": len(glyphs), "mean_confidence": float(np.mean([g["confidence"] for g in glyphs])) if glyphs else 0.0}
+                        except LookupError as e:
+                            row["error"] = str(e)
+                    made.append(row)
+                out = pa.RecordBatch.from_pylist(made, _PAGE)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *out.columns], [*keep, *out.schema.names])
+
+    schema = rows.select(*keep).schema
+    for name, kind in (x.split() for x in PAGE_SCHEMA.split(", ")):
+        schema = schema.add(name, "integer" if kind == "int" else kind)
+    return rows.mapInArrow(run, schema)
 
 
 def draw_terminal(df: DataFrame, text_col: str = "text", id_col: str = "image_id") -> DataFrame:
