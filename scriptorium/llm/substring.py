@@ -33,8 +33,8 @@ from scriptorium.llm.textblock import NOT_SPACE, Grams, Words, blocks, found, mi
 
 SPAN = 20
 BLOCK = 10
-#: Compressed bytes of input for a chunk, about half the text's size.
-CHUNK_BYTES = 8 << 20
+#: Bytes of text in a chunk, on average.
+CHUNK_BYTES = 14 << 20
 #: Shuffle partitions and hash ranges at most; beyond, a task works through several chunks, and a range grows.
 MOST_TASKS, MOST_RANGES = 20_000, 65_536
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -209,8 +209,7 @@ def _sent(chunk: int, columns: list[np.ndarray], widths: tuple[int, ...], ranges
 def mark_repeats(docs: DataFrame, kernel, schema: pa.Schema, *, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
     """Apply ``kernel(id, words, first, end, kept)`` to every document; it returns a row of ``schema`` as a dict."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    size = min(1 << 50, int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = chunks or max(8, size // CHUNK_BYTES)
+    n = chunks or max(8, (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // CHUNK_BYTES)
     tasks, ranges = min(n, MOST_TASKS), min(4 * n, MOST_RANGES)
     rows = rows.withColumn("at", F.coalesce("doc_id", F.expr("(mark & 4611686018427387903L) | -9223372036854775808")))  # the order of documents
     by_chunk = rows.withColumn("chunk", F.pmod(F.xxhash64("at"), F.lit(n))).repartition(tasks, "chunk")
