@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -11,7 +12,12 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
     """Make checkpoint() write to ``spark.checkpoint.dir``; only where that is unset, as in local tests, to a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
 
 
 def shared_folder(spark: SparkSession) -> str:
