@@ -71,9 +71,27 @@ class JvmFont:
             k = len(text) - 1 - i if rtl else i
             g.drawString(c, margin + k * advance, margin + 56)
         g.dispose()
+        return np.where(from_bmp(self._bytes(image, "bmp")) < 180, 0, 255).astype(np.uint8)
+
+    def _bytes(self, image, kind: str) -> bytes:
         out = self.j.java.io.ByteArrayOutputStream()
-        self.j.javax.imageio.ImageIO.write(image, "bmp", out)
-        return np.where(from_bmp(bytes(out.toByteArray())) < 180, 0, 255).astype(np.uint8)
+        self.j.javax.imageio.ImageIO.write(image, kind, out)
+        return bytes(out.toByteArray())
+
+    def draw_free(self, text: str, margin: int = 24, least: tuple[int, int] = (160, 80), kind: str = "png") -> bytes:
+        """A line of any text as the font spaces it, black on white, as the bytes of an image file."""
+        probe = self.j.java.awt.image.BufferedImage(1, 1, 10).createGraphics()
+        metrics = probe.getFontMetrics(self.font)
+        width, height = max(least[0], metrics.stringWidth(text) + 2 * margin), max(least[1], metrics.getHeight() + 2 * margin)
+        image = self.j.java.awt.image.BufferedImage(width, height, 10)
+        g = image.createGraphics()
+        g.setColor(self.j.java.awt.Color.WHITE)
+        g.fillRect(0, 0, width, height)
+        g.setColor(self.j.java.awt.Color.BLACK)
+        g.setFont(self.font)
+        g.drawString(text, margin, margin + metrics.getAscent())
+        g.dispose()
+        return self._bytes(image, kind)
 
 
 def from_bmp(data: bytes) -> np.ndarray:

@@ -85,19 +85,18 @@ def latin_pack() -> Pack:
     return out.ready()
 
 
-def drawn_pack(spark: SparkSession, pack_id: str, path: str | None = None, ligatures: bool = True) -> Pack | None:
-    """A pack with the letters of a script as an installed font draws them; none if the font is missing or lacks them."""
-    path = path or font.find_font()
-    if path is None:
-        return None
-    made, out = font.JvmFont(spark, path), pack(pack_id)
-    code = registry.LANGUAGE_OF_PACK[pack_id]
-    ranges = next(x[4] for x in registry.LANGUAGES if x[0] == code)
+def drawn_pack(spark: SparkSession, pack_id: str, paths: str | list[str] | None = None, ligatures: bool = True) -> Pack | None:
+    """A pack with the letters of a script as installed fonts draw them, those of the first font first; none if there is no
+    font, or none has the letters.  Letters that look alike in two fonts, or alike to another, count once."""
+    paths = [paths] if isinstance(paths, str) else paths or [p for p in [font.find_font()] if p]
+    out = pack(pack_id)
+    ranges = next(x[4] for x in registry.LANGUAGES if x[0] == registry.LANGUAGE_OF_PACK[pack_id])
     letters = [cp for lo, hi in ranges for cp in range(lo, hi + 1) if unicodedata.category(chr(cp))[0] == "L"]
     if pack_id == "arabic" and ligatures:
         letters += sorted({x[2] for x in registry.LIGATURES})
-    for cp in letters:
-        if made.has(chr(cp)):
+    for path in paths:
+        made = font.JvmFont(spark, path)
+        for cp in filter(lambda x: made.has(chr(x)), letters):
             ink = pixels.binarised(made.draw(chr(cp)))
             y, x = np.nonzero(ink)
             if len(x):

@@ -78,7 +78,7 @@ def test_ligatures_and_order(spark, latin):
 
 def test_mixed_scripts(latin):
     other = ocr.pack("cyrillic")
-    other.add(0x416, np.kron(font.CELLS[ord("#") - 32], np.ones((4, 4), bool)).repeat(1, 0)[:28, :20] if False else np.ones((40, 28), bool))
+    other.add(0x416, np.ones((40, 28), bool))
     r = ocr.Recogniser([latin, other.ready()])
     assert ocr.spelt(r.page(font.drawn("ABC"))) == "ABC"
     with pytest.raises(LookupError):
@@ -137,3 +137,27 @@ def test_drawn_letters_of_an_installed_font(spark):
     hits = sum(ocr.spelt(r.page(made.draw(chr(cp)), hint="hebrew")) == chr(cp) for cp in hebrew.points[:12])
     assert hits >= 11
     assert {p for p, *_ in registry.pack_ranges()} == {x[6] for x in registry.LANGUAGES} - {"latin"}
+
+
+def test_image_files(spark, tmp_path):
+    if font.find_font() is None:
+        pytest.skip("no font")
+    made = font.JvmFont(spark, font.find_font())
+    (tmp_path / "a.png").write_bytes(made.draw_free("ABC"))
+    (tmp_path / "b.bmp").write_bytes(made.draw_free("a long line of text", kind="bmp"))
+    (tmp_path / "c.png").write_bytes(b"no image")
+    got = {r.path[-5:]: r for r in images.read_images(spark, str(tmp_path)).collect()}
+    assert got["a.png"].width >= 160 and got["a.png"].error is None and got["b.bmp"].width > 200
+    assert len(got["a.png"].pixels) == got["a.png"].width * got["a.png"].height and min(got["a.png"].pixels) < 50
+    assert got["c.png"].error
+    rows = spark.createDataFrame([(1, 1, 2, 3, bytearray([255, 0, 0, 0, 255, 0]))], "i long, w int, h int, c int, d binary")
+    assert list(images.from_samples(rows, id_col="i", width="w", height="h", channels="c", data="d").first().pixels) == [76, 149]
+
+
+def test_hints_and_routes(latin):
+    r = ocr.Recogniser([latin])
+    ink = P.binarised(font.drawn("ABC"))
+    x, y, w, h = P.page_lines(ink)[0]
+    assert r.route(ink[y : y + h, x : x + w]) == "latin" and r.route(ink, "greek") == "greek"
+    assert r.route(np.zeros((10, 10), bool)) == "latin"
+    assert ocr.Recogniser([latin], reverse_rtl=True).line(ink[y : y + h, x : x + w])[0]["codepoint"] == ord("A")
