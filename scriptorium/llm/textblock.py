@@ -11,26 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+from scriptorium.functions.arrowtext import utf8
+
+BLOCK_BYTES = 1 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _Q = np.uint64(0xD6E8FEB86659FD93 | 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; a null counts as an empty text."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return raw, at
-
-
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from 0) for runs of whole rows of about ``limit`` bytes."""
     raw, at = utf8(column)
@@ -54,7 +44,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     key = int(base)
     if key not in _powers or len(_powers[key][0]) < n:
-        size = max(n, BLOCK_BYTES + 1024)
+        size = max(n + n // 4, 1 << 16)
         out = []
         for b in (key, pow(key, -1, 1 << 64)):
             p = np.full(size, np.uint64(b))
