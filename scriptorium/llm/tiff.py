@@ -162,8 +162,8 @@ def _unpack(data: bytes, how: int, size: int) -> bytes:
     return {NONE: lambda: data[:size], LZW: lambda: lzw_unpack(data, size), PACKBITS: lambda: unpack_bits(data, size)}[how]()
 
 
-def _directory(fields: list[tuple[int, int, list]], at: int, following: int) -> bytes:
-    """An image directory at byte ``at``, with what doesn't fit into its entries behind it."""
+def _directory(fields: list[tuple[int, int, list]], at: int) -> bytes:
+    """An image directory at byte ``at``, the last one so far, with what doesn't fit into its entries behind it."""
     head, tail = struct.pack("<H", len(fields)), b""
     behind = at + 2 + 12 * len(fields) + 4
     for tag, kind, values in sorted(fields):
@@ -171,7 +171,7 @@ def _directory(fields: list[tuple[int, int, list]], at: int, following: int) ->
         if len(raw) > 4:
             raw, tail = struct.pack("<I", behind + len(tail)), tail + raw + b"\0" * (len(raw) % 2)
         head += struct.pack("<HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
-    return head + struct.pack("<I", following(behind + len(tail)) if callable(following) else following) + tail
+    return head + struct.pack("<I", 0) + tail
 
 
 def write(payload: bytes, *, compression: int = DEFLATE, predictor: int = 2, tile: int = 0, page_rows: int = PAGE_ROWS, strip_rows: int = STRIP_ROWS) -> bytes:
@@ -198,7 +198,7 @@ def write(payload: bytes, *, compression: int = DEFLATE, predictor: int = 2, til
         fields += [(322, 4, [tile]), (323, 4, [tile]), (324, 4, places), (325, 4, sizes)] if tile else [(273, 4, places), (278, 4, [strip_rows]), (279, 4, sizes)]
         struct.pack_into("<I", out, link, len(out))
         link = len(out) + 2 + 12 * len(fields)
-        out += _directory(fields, len(out), 0)
+        out += _directory(fields, len(out))
     return bytes(out)
 
 
