@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.functions import font, registry
-from scriptorium.operators import matching as M, ocr, text as T
+from scriptorium.operators import detect, matching as M, ocr, text as T
 from scriptorium.plans.texts import ORACLES, QUERIES, query, table, values
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -17,9 +17,13 @@ PACKS = values([(i, *p[:9], "true" if False else int(p[9])) for i, p in enumerat
 _CAPITALS = "trim(regexp_replace(regexp_replace(upper(replace(text, 'ß', '')), '[^A-Z ]', '', 'g'), ' +', ' ', 'g'))"
 
 
+def _capitals():
+    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(F.replace("text", F.lit("ß"), F.lit(""))), "[^A-Z ]", ""), " +", " "))
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
-    said = F.trim(F.regexp_replace(F.regexp_replace(F.upper(F.replace("text", F.lit("ß"), F.lit(""))), "[^A-Z ]", ""), " +", " "))
+    said = _capitals()
     spread = items.select("item_id", said.alias("text")).repartition(2 * spark.sparkContext.defaultParallelism)  # small rows, large pages
     return ocr.draw_terminal(spread, id_col="item_id")
 
@@ -222,3 +226,49 @@ def match_drawn_letters(spark, sf_dir):
     rows = [("latin", int(cp), bits(b), *map(int, s[:3]), float(s[3])) for cp, b, s in zip(latin.points, latin.bitmaps, latin.shapes, strict=True)]
     protos = spark.createDataFrame(rows, "pack_id string, codepoint long, bits array<long>, holes int, endpoints int, junctions int, aspect double")
     return M.match_prototypes(protos.withColumnRenamed("codepoint", "glyph_no"), protos, M.packs(spark), ["glyph_no"])
+
+
+# Detection over drawn pages: every fifth page is blank, and hints are missing, without a letter, or the text.
+_READ = f"replace(replace({_CAPITALS}, 'II', 'I I'), 'II', 'I I')"
+_DETECTED = f"""d AS (SELECT item_id AS image_id, CASE WHEN item_id % 5 = 0 THEN '' ELSE {_READ} END AS read, CASE item_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '12 !' ELSE {_CAPITALS} END AS hint FROM benchmark)"""
+
+
+def _detected(spark, sf_dir) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    said = _capitals()
+    hint = F.when(F.col("item_id") % 3 == 1, "12 !").when(F.col("item_id") % 3 == 2, said)
+    rows = items.select(F.col("item_id").alias("image_id"), F.when(F.col("item_id") % 5 == 0, "").otherwise(said).alias("text"), hint.alias("hint"))
+    drawn = ocr.draw_terminal(rows.select("image_id", "text").repartition(2 * spark.sparkContext.defaultParallelism))
+    return detect.detect_images(drawn.join(rows.select("image_id", "hint"), "image_id"), [ocr.latin_pack()], "hint")
+
+
+@query(f"""WITH {_DETECTED} SELECT image_id, CASE WHEN read = '' AND image_id % 3 = 2 THEN hint ELSE read END AS text, read AS ocr_text, CASE WHEN image_id % 3 < 2 THEN 'ocr' WHEN read = '' THEN 'unicode' ELSE 'hybrid' END AS identification_source,
+read = '' AND image_id % 3 = 2 AS fallback_used, CASE WHEN read <> '' OR image_id % 3 = 2 THEN 'en' END AS top_code, CAST(len(replace(read, ' ', '')) AS INTEGER) AS glyph_count FROM d""")
+def detection_results(spark, sf_dir):
+    top = F.get("languages", F.lit(0))["code"].alias("top_code")
+    return _detected(spark, sf_dir).select("image_id", "text", "ocr_text", "identification_source", "fallback_used", top, "glyph_count")
+
+
+@query(f"""WITH {_DETECTED}, e AS (SELECT item_id AS image_id, {_CAPITALS} AS sample FROM benchmark)
+SELECT image_id, (read <> '' OR image_id % 3 = 2) AND lower(replace(read, ' ', '')) = lower(replace(sample, ' ', '')) AND NOT (read = '' AND image_id % 3 = 2) AS ok FROM d JOIN e USING (image_id)""")
+def round_trip_check(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    said = _capitals()
+    expected = items.select(F.col("item_id").alias("image_id"), F.lit("en").alias("lang"), said.alias("sample_text"))
+    return detect.circle(_detected(spark, sf_dir), expected, strict=True).select("image_id", "ok")
+
+
+@query(f"""WITH {_DETECTED}, e AS (SELECT item_id AS image_id, lower(replace({_CAPITALS}, ' ', '')) AS a FROM benchmark), g AS (SELECT a, lower(replace(read, ' ', '')) AS b FROM d JOIN e USING (image_id))
+SELECT 'en' AS lang, count(*) AS strings, CAST(sum(levenshtein(a, b)) AS BIGINT) AS errors, CAST(sum(len(a)) AS BIGINT) AS chars, sum(levenshtein(a, b)) / sum(len(a)) <= 0.05 AS passed FROM g""")
+def corpus_error_report(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    said = _capitals()
+    expected = items.select(F.col("item_id").alias("image_id"), F.lit("en").alias("lang"), said.alias("sample_text"))
+    return detect.corpus_report(_detected(spark, sf_dir), expected).select("lang", "strings", "errors", "chars", "passed")
+
+
+@query()
+def page_lines(spark, sf_dir):
+    """Glyph rows summed up to the lines of drawn pages."""
+    glyphs = ocr.read_glyphs(_pages(spark, sf_dir), [ocr.latin_pack()])
+    return glyphs.groupBy("image_id", "line_no").agg(F.min("page_x").alias("x0"), F.min("page_y").alias("y0"), F.max(F.col("page_x") + F.col("w")).alias("x1"), F.max(F.col("page_y") + F.col("h")).alias("y1"), F.count("*").alias("glyphs"))
