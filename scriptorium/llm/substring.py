@@ -8,8 +8,8 @@ SPAN >= 2 * BLOCK - 1.  Every rolling run of BLOCK words probes the index of blo
 the other's block at the same place, so both get a hit from elsewhere: windows without a hit are unique and go no further.
 Windows with a hit are compared over their whole length; the union of the repeated ones are the maximal exact repeats.
 
-Nothing is compared pair by pair, and a passage with k copies costs k rows.  Documents are dealt once into chunks of
-whole texts by a hash.  A chunk first folds its own equal hashes together, and only then sends them on, packed into one
+Nothing is compared pair by pair, and a passage with k copies costs k rows.  Documents are dealt once, compressed, into
+chunks of whole texts by a hash.  A chunk first folds its own equal hashes together, and only then sends them on, packed into one
 binary row for each chunk and range of hash values: (hash, blocks here, runs here).  Each range says which hashes are hit;
 the chunks answer with the hashes of the windows about the hits and the first place where each starts, and each range says
 for which of them another chunk has an earlier place.  A hash that a third of all documents hold thus costs one entry per
@@ -27,9 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from scriptorium.llm.textblock import NOT_SPACE, Grams, Words, blocks, found, mixed
+from scriptorium.llm.textblock import BLOCK_BYTES, NOT_SPACE, Grams, Words, found, mixed, utf8
 
 SPAN = 20
 BLOCK = 10
@@ -44,21 +45,51 @@ _SHIFT, _KEY = np.uint64(16), np.uint64(0xFFFFFFFFFFF0)
 _PROBE, _PLACE, _LATER = (6,), (8, 4, 8, 4), (8, 4)
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, at, mark, known, text) to one compressed row per batch and chunk: numbers, lengths, and the texts."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        raw, offset = utf8(b.column("text"))
+        chunk, known = b.column("chunk").to_numpy(), b.column("known").to_numpy(zero_copy_only=False).astype(np.int64)
+        at, mark, size = b.column("at").to_numpy(), b.column("mark").to_numpy(), np.diff(offset)
+        order = np.argsort(chunk, kind="stable")
+        cuts = np.flatnonzero(np.diff(chunk[order])) + 1
+        blobs = []
+        for rows in np.split(order, cuts) if len(order) else []:
+            head = np.concatenate([[len(rows)], at[rows], mark[rows], known[rows], size[rows]]).astype(np.int64).tobytes()
+            blobs.append(press(head + b"".join(raw[offset[i] : offset[i + 1]].tobytes() for i in rows)))
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[order[np.append(0, cuts)]] if len(order) else [], pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "blob"])
+
+
 class Chunk:
     """The documents of a chunk, in the order that decides which of two windows is earlier."""
 
     def __init__(self, table: pa.Table):
-        ids, marks = table.column("at").to_numpy(), table.column("mark").to_numpy()
-        order = np.lexsort((marks, ids))
-        self.ids, self.table = ids[order], table.take(pa.array(order))
+        numbers, texts = [np.zeros((4, 0), np.int64)], []
+        unpack = zstandard.ZstdDecompressor()
+        for blob in table.column("blob"):
+            data = unpack.decompress(blob.as_py())
+            n = int(np.frombuffer(data, np.int64, 1)[0])
+            own = np.frombuffer(data, np.int64, 4 * n, 8).reshape(4, n)
+            numbers.append(own)
+            stop = 8 + 32 * n + np.cumsum(own[3])
+            view = memoryview(data)
+            texts += [view[e - k : e] for e, k in zip(stop.tolist(), own[3].tolist(), strict=True)]
+        at, marks, known, _ = np.concatenate(numbers, axis=1)
+        order = np.lexsort((marks, at))
+        self.ids, self.known, self.texts = at[order], known[order].astype(bool), [texts[i] for i in order.tolist()]
 
     def parts(self) -> Iterator[tuple[int, Words, Grams]]:
-        for batch in self.table.select(["text"]).combine_chunks().to_batches():
-            base = 0
-            for lo, _, raw, at in blocks(batch.column(0)):
-                words = Words(raw, at, NOT_SPACE)
-                yield base + lo, words, Grams(words.hashes())
-            base += batch.num_rows
+        lo = 0
+        while lo < len(self.texts):
+            hi, size = lo, 0
+            while hi < len(self.texts) and (hi == lo or size + len(self.texts[hi]) <= BLOCK_BYTES):
+                size += len(self.texts[hi])
+                hi += 1
+            raw = np.frombuffer(b"".join(self.texts[lo:hi]), np.uint8)
+            words = Words(raw, np.concatenate([[0], np.cumsum([len(t) for t in self.texts[lo:hi]])]).astype(np.int64), NOT_SPACE)
+            yield lo, words, Grams(words.hashes())
+            lo = hi
 
     def probes(self) -> np.ndarray:
         """The distinct hashes of all runs of BLOCK words, in order, with the number of blocks and of runs of each."""
@@ -103,17 +134,6 @@ def _summed(keys: np.ndarray, n_block: np.ndarray, n_run: np.ndarray) -> np.ndar
 
 
 
-def _range_of(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
-def _dealt(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
-    """(range, slice) for the ranges of sorted keys that have any."""
-    edge = np.searchsorted(_range_of(keys, n), np.arange(n + 1))
-    for r in np.flatnonzero(np.diff(edge)):
-        yield int(r), slice(edge[r], edge[r + 1])
-
-
 def _packed(columns: list[np.ndarray], widths: tuple[int, ...]) -> bytes:
     """Numbers of 64 bits, each column as its ``widths`` lower bytes, one plane of bytes after the other."""
     return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for c, w in zip(columns, widths, strict=True))
@@ -212,7 +232,8 @@ def mark_repeats(docs: DataFrame, kernel, schema: pa.Schema, *, id_col: str = "d
     n = chunks or max(8, (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // CHUNK_BYTES)
     tasks, ranges = min(n, MOST_TASKS), min(4 * n, MOST_RANGES)
     rows = rows.withColumn("at", F.coalesce("doc_id", F.expr("(mark & 4611686018427387903L) | -9223372036854775808")))  # the order of documents
-    by_chunk = rows.withColumn("chunk", F.pmod(F.xxhash64("at"), F.lit(n))).repartition(tasks, "chunk")
+    rows = rows.select(F.pmod(F.xxhash64("at"), F.lit(n)).cast("long").alias("chunk"), "at", "mark", F.col("doc_id").isNotNull().alias("known"), "text")
+    by_chunk = rows.mapInArrow(_dealt, "chunk long, blob binary").repartition(tasks, "chunk")
 
     def probes(key, table):
         return _sent(key[0].as_py(), [Chunk(table).probes()], _PROBE, ranges)
@@ -232,7 +253,7 @@ def mark_repeats(docs: DataFrame, kernel, schema: pa.Schema, *, id_col: str = "d
         chunk = Chunk(table)
         windows = Windows(chunk, np.sort(_split(hashes(answers, 0), _PROBE)[0][0]))
         gone = windows.before | _in_pairs(tuple(_split(hashes(answers, 1), _LATER)[0]), windows.a, windows.b)
-        out, at, ids = [], 0, chunk.table.column("doc_id").to_pylist()
+        out, at = [], 0
         for lo, words, start, n_own in windows.parts:
             first = start[gone[at : at + n_own]]
             at += n_own
@@ -241,7 +262,7 @@ def mark_repeats(docs: DataFrame, kernel, schema: pa.Schema, *, id_col: str = "d
             edge[first + SPAN] -= 1
             kept = np.cumsum(edge[:-1]) == 0
             for i, (x, y) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
-                out.append(kernel(ids[lo + i], words, x, y, kept[x:y]))
+                out.append(kernel(int(chunk.ids[lo + i]) if chunk.known[lo + i] else None, words, x, y, kept[x:y]))
         return pa.Table.from_pylist(out, schema)
 
     group = "part int, chunk long, blob binary"
