@@ -133,13 +133,24 @@ def letter_class(code: str) -> str:
     return "".join(f"\\x{{{own[a]:X}}}-\\x{{{own[b]:X}}}" for a, b in zip(np.append(0, cuts + 1), np.append(cuts, len(own) - 1), strict=True))
 
 
+#: Letters of the languages' ranges that Java's tables lack.
+_NEWER = {"ar": "\\x{8B5}\\x{8C8}\\x{8C9}", "te": "\\x{C5D}", "kn": "\\x{CDD}"}
+
+
 def counts_by_patterns(text: Column | str) -> Column:
     """The counts of ``profile`` with built-in functions only.  English is counted on the text, the others on what is left
     without its Latin part, which is empty for most texts in Latin script."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     rest = F.regexp_replace(text, "[\\x{0}-\\x{24F}]+", "")
-    only = lambda t, code: F.length(F.regexp_replace(t, f"[^{letter_class(code)}]+", ""))
-    return F.array(*(only(text, c) if c == "en" else F.when(rest != "", only(rest, c)).otherwise(0) for c in registry.CODES))
+    span = lambda ranges: "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges)
+    out = []
+    for code, _, _, _, ranges, _, _ in registry.LANGUAGES:
+        own = f"[\\p{{L}}&&[{span(ranges)}]]"
+        if code == "en":
+            out.append(F.regexp_count(text, F.lit(f"[{own}{span(registry.fallback())}]")))
+        else:
+            out.append(F.when(rest != "", F.regexp_count(rest, F.lit(f"[{own}{_NEWER.get(code, '')}]"))).otherwise(0))
+    return F.array(*out)
 
 
 def counts_by_join(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
