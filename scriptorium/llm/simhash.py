@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scriptorium.llm.components import connect
 from scriptorium.llm.shared import fresh, use_checkpoint_dir
@@ -136,13 +136,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return _members(docs, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, without near duplicates: one row of each component stays.  It is the one with the smallest
-    doc_id; where rows share that id, or a component has none, the one whose text has the smallest hash."""
-    found = _members(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+def row_key(doc_id: Column, mark: Column, names: list[str]) -> list[Column]:
+    """Three columns that tell rows apart and join null-safely: whether the id is null, the id, the mark."""
+    return [doc_id.isNull().alias(names[0]), F.coalesce(doc_id, F.lit(0)).cast("long").alias(names[1]), mark.alias(names[2])]
+
+
+def keep_one(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each component; members: doc_id, mark, root and component_id of every row."""
+    found = members.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = found.groupBy("root").agg(F.min("doc_id").alias("id"), F.min("mark").alias("m"))
     on = fresh(docs.columns, "none", "id", "mark")
-    key = lambda c, m: [c.isNull().alias(on[0]), F.coalesce(c, F.lit(0)).cast("long").alias(on[1]), m.alias(on[2])]
-    kept = kept.select(*key(F.col("id"), F.col("m")))
-    marked = docs.select("*", *key(F.col(id_col), F.xxhash64(text_col)))
+    kept = kept.select(*row_key(F.col("id"), F.col("m"), on))
+    marked = docs.select("*", *row_key(F.col(id_col), F.xxhash64(text_col), on))
     return marked.join(kept, on, "left_semi").dropDuplicates(on).select(*docs.columns)
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, without near duplicates: one row of each component stays.  It is the one with the smallest
+    doc_id; where rows share that id, or a component has none, the one whose text has the smallest hash."""
+    return keep_one(docs, _members(docs, id_col, text_col), id_col, text_col)
