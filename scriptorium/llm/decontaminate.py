@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from scriptorium.llm.shared import fresh
 from scriptorium.llm.textblock import ALNUM, LOWER, Grams, Words, blocks, found
 
 SPAN = 10
@@ -170,8 +171,7 @@ def _prints(side: str) -> object:
 
 def _shuffled(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The same, with both sides' fingerprints meeting in a join; nothing is collected."""
-    key = F.xxhash64("doc_id", "text")
-    keyed = docs.withColumn("key", key)
+    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     items = items.select(F.col("item_id").cast("string"), "text")
     side = ",".join(map(str, range(1, SPAN + 1)))
     theirs = items.mapInArrow(_prints(side), "n int, print long, item_id string, start int, words string").groupBy("n", "words").agg(F.min("print").alias("print"), F.collect_set("item_id").alias("owners"))
@@ -190,14 +190,17 @@ def _shuffled(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, max_share: float = 0.0, **names: str) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, max_share: float = 0.0, index_bytes: int = INDEX_BYTES, **names: str) -> DataFrame:
     """The documents of which at most ``max_share`` of the words lie in benchmark windows, with all their columns."""
     id_col, text_col = names.get("id_col", "doc_id"), names.get("text_col", "text")
     items = benchmark.select(F.col(names.get("item_col", "item_id")).alias("item_id"), F.col(names.get("item_text", "text")).alias("text"))
-    if _size(items, "text") > INDEX_BYTES:
-        judged = _shuffled(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), items)
-        drop = judged.where(F.col("n_hit") > max_share * F.col("n_words")).select(F.col("doc_id").alias("__gone")).distinct()
-        return docs.join(drop, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    if _size(items, "text") > index_bytes:
+        # rows are told apart by id and text: those that share an id, or have none, are judged one by one
+        row = F.xxhash64(id_col, text_col)
+        judged = _shuffled(docs.select(row.alias("doc_id"), F.col(text_col).alias("text")), items)
+        (gone,) = fresh(docs.columns, "gone")
+        drop = judged.where(F.col("n_hit") > max_share * F.col("n_words")).select(F.col("doc_id").alias(gone)).distinct()
+        return docs.join(drop, row == F.col(gone), "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in items.collect()]))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,3 +51,16 @@ def test_removal(spark, edge, empty, items):
     assert Counter(r.doc_id for r in kept.collect()) == want
     assert D.remove_contaminated(edge, bench.limit(0)).count() == edge.count()
     assert D.remove_contaminated(empty, bench).count() == 0 and D.find_contamination(empty, bench).count() == 0
+
+
+@pytest.mark.parametrize("limit", [D.INDEX_BYTES, 0])
+@pytest.mark.parametrize("share", [0.0, 0.5])
+def test_removal_judges_each_row(spark, limit, share):
+    """Rows that share an id with a contaminated row, or have none like it, stay on both sides of the switch."""
+    leak = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, leak), (1, "clean"), (None, leak), (None, "clean too"), (None, None), (2, ""), (3, f"{leak} {'x ' * 20}"), (3, leak), (4, "clean"), (4, "clean")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, gone long")
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    kept = D.remove_contaminated(docs, bench, max_share=share, index_bytes=limit)
+    assert kept.columns == docs.columns
+    assert sorted(r.gone for r in kept.collect()) == [1, 3, 4, 5] + [6] * (share == 0.5) + [8, 9]
