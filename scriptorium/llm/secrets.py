@@ -1,9 +1,10 @@
 """Secret scan with DataFrame expressions only: fixed patterns, and the entropy of sliding windows.
 
 Three patterns give the base spans (``assign``, ``access``, ``hex``).  Besides, every run of 20 or more characters of the
-base64 alphabet that holds a digit and a letter is a candidate: its class is ``hexadecimal`` or ``base64``, and a fold over
-its characters keeps the counts of the symbols in the last ``WINDOW`` characters and the sum of n log2 n over them, both
-updated by the one character that enters and the one that leaves.  Where the window's Shannon entropy reaches the class's
+base64 alphabet that holds a digit and a letter is a candidate.  A window's class is ``hexadecimal`` if the candidate has only
+such digits, or the window has only such digits and among them a decimal one and a letter, as in a key behind ``SESSION=``;
+else it is ``base64``.  A fold over the characters keeps the counts of the symbols in the last ``WINDOW`` characters and the sum of n log2 n over them, both
+updated by the one character that enters and the one that leaves.  Where a window's Shannon entropy reaches its class's
 threshold, the stretch from the first to the last such window is a span of kind ``entropy``, unless the candidate is on the
 allow-list (placeholders, alphabets and counting sequences, UUIDs) or touches a base span.
 
@@ -59,17 +60,22 @@ def _literal(pattern: str) -> str:
 def _entropy(candidates: str) -> Column:
     """Spans of kind entropy among candidate spans."""
     f = lambda n: f"if({n} > 0, {n} * log2(cast({n} as double)), 0D)"
-    coded = f"transform({candidates}, c -> named_struct('start', c.start, 'value', c.value, 'least', if(c.value rlike '^[0-9a-fA-F]+$', {THRESHOLDS['hexadecimal']}D, {THRESHOLDS['base64']}D), 'codes', transform(split(c.value, ''), ch -> instr('{ALPHABET}', ch))))"
+    coded = f"transform({candidates}, c -> named_struct('start', c.start, 'value', c.value, 'hex', c.value rlike '^[0-9a-fA-F]+$', 'codes', transform(split(c.value, ''), ch -> instr('{ALPHABET}', ch))))"
     enter, leave = "get(c.codes, i)", f"if(i >= {WINDOW}, get(c.codes, i - {WINDOW}), 0)"
     counted = f"transform(acc.n, (v, k) -> v + if(k = {enter}, 1, 0) - if(k > 0 and k = {leave}, 1, 0))"
     had, then = f"get(acc.n, {enter})", f"(get(acc.n, {leave}) + if({enter} = {leave}, 1, 0))"
+    digit = lambda c: f"if({c} between 53 and 62, 1, 0)"
+    letter = lambda c: f"if({c} between 1 and 6 or {c} between 27 and 32, 1, 0)"
+    moved = lambda kept, kind: f"(acc.{kept} + {kind(enter)} - {kind(leave)})"
+    digits, letters = moved("digits", digit), moved("letters", letter)
+    least = f"if(c.hex or ({digits} > 0 and {letters} > 0 and {digits} + {letters} = {WINDOW}), {THRESHOLDS['hexadecimal']}D, {THRESHOLDS['base64']}D)"
     total = f"acc.s + {f(f'({had} + 1)')} - {f(had)} + if(i >= {WINDOW}, {f(f'({then} - 1)')} - {f(then)}, 0D)"
-    seen = f"i >= {WINDOW - 1} and log2({WINDOW}D) - ({total}) / {WINDOW}D >= c.least - 1e-9"
+    seen = f"i >= {WINDOW - 1} and log2({WINDOW}D) - ({total}) / {WINDOW}D >= {least} - 1e-9"
     walked = f"""
       transform({coded}, c -> named_struct('c', c, 'r', aggregate(
         sequence(0, size(c.codes) - 1),
-        named_struct('n', array_repeat(0, {len(ALPHABET) + 1}), 's', 0D, 'first', -1, 'last', -1),
-        (acc, i) -> named_struct('n', {counted}, 's', {total}, 'first', if(acc.first < 0 and {seen}, i - {WINDOW - 1}, acc.first), 'last', if({seen}, i + 1, acc.last)))))"""
+        named_struct('n', array_repeat(0, {len(ALPHABET) + 1}), 's', 0D, 'digits', 0, 'letters', 0, 'first', -1, 'last', -1),
+        (acc, i) -> named_struct('n', {counted}, 's', {total}, 'digits', {digits}, 'letters', {letters}, 'first', if(acc.first < 0 and {seen}, i - {WINDOW - 1}, acc.first), 'last', if({seen}, i + 1, acc.last)))))"""
     return F.expr(f"""transform(filter({walked}, x -> x.r.first >= 0), x -> named_struct('start', x.c.start + x.r.first, 'rank', 3, 'end', x.c.start + x.r.last, 'kind', 'entropy', 'value', substring(x.c.value, x.r.first + 1, x.r.last - x.r.first)))""")
 
 

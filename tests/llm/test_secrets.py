@@ -62,3 +62,19 @@ def test_tables(spark, edge, empty):
 def test_no_python_in_the_plan(spark, edge):
     plan = S.find_secrets(edge)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_hexadecimal_keys_behind_a_prefix(spark):
+    """Upper-case keys are found behind a name as they are bare; a number behind a name is no key."""
+    r = random.Random(2)
+    keys = ["".join(r.choice("0123456789ABCDEF") for _ in range(32)) for _ in range(150)]
+    keys = [k for k in keys if all(entropy(k[i : i + 20]) >= 3 and re.search("[A-F]", k[i : i + 20]) for i in range(13)) and not re.search("[0-9]{16}", k)]
+    texts = [f"set {p}{k} now" for k in keys for p in ("", "SESSION=", "sha1=", "id/")]
+    texts += ["order=20231115123456789012", "sha1=AAAAAAAAAAAAAAAAAAA1AAAAAAAAAAAA"]
+    assert len(keys) > 100
+    for row in S.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        if row.doc_id < 4 * len(keys):
+            key = keys[row.doc_id // 4]
+            assert len(row.added) == 1 and key in texts[row.doc_id][row.added[0].start : row.added[0].end], texts[row.doc_id]
+        else:
+            assert row.added == [], texts[row.doc_id]
