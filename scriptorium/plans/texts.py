@@ -260,7 +260,7 @@ def languages_json(spark, sf_dir):
 
 @query()
 def result_json(spark, sf_dir):
-    return T.result(table(spark, sf_dir, "benchmark")).select("item_id", F.to_json("result").alias("result_json"))
+    return T.result(mixed(spark, sf_dir)).select("doc_id", F.to_json("result").alias("result_json"))
 
 
 # Every word of a text is a string to be recognised; what was recognised stands in as the word without q, with tn for th and a

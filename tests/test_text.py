@@ -108,3 +108,17 @@ def test_summary(spark):
     row = T.profile
     assert row is not None and registry.languages(spark).count() == 21 and registry.ranges(spark).count() == 33
     assert registry.ranges(spark).where(F.col("start") > F.col("end")).count() == 0
+
+
+def test_results_cover_every_document(spark):
+    """Long and mixed texts too, each whole and with the languages found in it."""
+    import json
+
+    from scriptorium.plans import catalog
+    from tests.conftest import DATA
+
+    languages = {r.doc_id: json.loads(r.languages_json) for r in catalog.QUERIES["languages_json"](spark, DATA).collect()}
+    got = {r.doc_id: json.loads(r.result_json) for r in catalog.QUERIES["result_json"](spark, DATA).collect()}
+    assert set(got) == set(languages) and len(got) == spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert all(r["languages"] == languages[k] for k, r in got.items())
+    assert max(len(r["languages"]) for r in got.values()) > 1
