@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
@@ -35,3 +35,16 @@ def fresh(columns: list[str], *names: str) -> list[str]:
         taken.add(name)
         out.append(name)
     return out
+
+
+def whole_ids(table: DataFrame, column: str) -> Column:
+    """The ids as long; refused here, before any job starts, if they aren't whole numbers."""
+    kind = table.select(F.col(column)).schema[0].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{column} must be a whole number, not {kind.simpleString()}")
+    return F.col(column).cast("long")
+
+
+def with_fields(table: DataFrame, columns: list[str], ddl: str) -> T.StructType:
+    """The schema of some columns as they are, and further fields."""
+    return T.StructType([table.schema[c] for c in columns] + T.StructType.fromDDL(ddl).fields)

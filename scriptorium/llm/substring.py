@@ -6,18 +6,20 @@ starts earlier: in a document with a smaller id, or earlier in the same one.
 Blocks are the ``BLOCK`` words that begin at every multiple of ``BLOCK`` in a document; any window holds one whole block, as
 SPAN >= 2 * BLOCK - 1.  Every rolling run of BLOCK words probes the index of blocks.  If two windows are equal, each holds
 the other's block at the same place, so both get a hit from elsewhere: windows without a hit are unique and go no further.
-Windows with a hit are compared over their whole length; the union of the repeated ones are the maximal exact repeats.
+A hit is then extended: every window that holds it is compared over its whole length, by 128 bits of two independent hashes
+of its words, and the repeated ones together are the maximal exact repeats.
 
 Nothing is compared pair by pair, and a passage with k copies costs k rows.  Documents are dealt once, compressed, into
 chunks of whole texts by a hash.  A chunk first folds its own equal hashes together, and only then sends them on, packed into one
 binary row for each chunk and range of hash values: (hash, blocks here, runs here).  Each range says which hashes are hit;
 the chunks answer with the hashes of the windows about the hits and the first place where each starts, and each range says
 for which of them another chunk has an earlier place.  A hash that a third of all documents hold thus costs one entry per
-chunk.  Hashes have 44 bits for probes, where a chance match costs a comparison only, and 96 for windows, which decide.
+chunk.  Hashes have 44 bits for probes, where a chance match costs a comparison only, and 128 for windows, which decide.
 Numbers are packed byte plane by byte plane, so that what sorted or small numbers share is squeezed out of the shuffle.
 
-Null texts and texts of fewer than SPAN words keep all words.  Rows with equal ids fall into one chunk and are ordered by a
-hash of their text, then by their place there.  Null ids come before all others, in the order of their texts' hashes.
+Null texts and texts of fewer than SPAN words keep all words.  Rows with equal ids are ordered by 32 bits of a hash of their
+text; equal rows fall into one chunk and are ordered by their place there.  Null ids come before all others, in the order of
+their texts' hashes.  Ids must be whole numbers, since their order decides; others are refused before the job starts.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from scriptorium.llm.textblock import BLOCK_BYTES, NOT_SPACE, Grams, Words, found, mixed, utf8
+from scriptorium.llm.shared import whole_ids
+from scriptorium.llm.textblock import BLOCK_BYTES, NOT_SPACE, Grams, Words, found, utf8
 
 SPAN = 20
 BLOCK = 10
@@ -38,11 +41,10 @@ BLOCK = 10
 CHUNK_BYTES = 14 << 20
 #: Shuffle partitions and hash ranges at most; beyond, a task works through several chunks, and a range grows.
 MOST_TASKS, MOST_RANGES = 20_000, 65_536
-_SALT = np.uint64(0xA0761D6478BD642F)
 #: Probe entries: 44 bits of the hash above 4 that carry how many blocks (0 to 2) and runs (1 or 2) there are.
 _SHIFT, _KEY = np.uint64(16), np.uint64(0xFFFFFFFFFFF0)
 #: Bytes of the numbers in each kind of message.
-_PROBE, _PLACE, _LATER = (6,), (8, 4, 8, 4), (8, 4)
+_PROBE, _PLACE, _LATER = (6,), (8, 8, 8, 4, 4), (8, 8)
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +79,7 @@ class Chunk:
             texts += [view[e - k : e] for e, k in zip(stop.tolist(), own[3].tolist(), strict=True)]
         at, marks, known, _ = np.concatenate(numbers, axis=1)
         order = np.lexsort((marks, at))
-        self.ids, self.known, self.texts = at[order], known[order].astype(bool), [texts[i] for i in order.tolist()]
+        self.ids, self.marks, self.known, self.texts = at[order], marks[order], known[order].astype(bool), [texts[i] for i in order.tolist()]
 
     def parts(self) -> Iterator[tuple[int, Words, Grams]]:
         lo = 0
@@ -117,9 +119,7 @@ class Chunk:
             total = np.cumsum(marked)
             start = np.flatnonzero(left >= SPAN)
             start = start[total[start + SPAN - BLOCK + 1] > total[start]]
-            a = grams.at(start, SPAN)
-            b = mixed(grams.at(start, BLOCK) * _SALT + mixed(grams.at(start + BLOCK, SPAN - BLOCK) + _SALT)) >> np.uint64(32)
-            yield lo, words, start, a, b
+            yield lo, words, start, grams.at(start, SPAN), Grams(words.hashes(1)).at(start, SPAN) if len(start) else np.zeros(0, np.uint64)
 
 
 def _summed(keys: np.ndarray, n_block: np.ndarray, n_run: np.ndarray) -> np.ndarray:
@@ -133,7 +133,6 @@ def _summed(keys: np.ndarray, n_block: np.ndarray, n_run: np.ndarray) -> np.ndar
 
 
 
-
 def _packed(columns: list[np.ndarray], widths: tuple[int, ...]) -> bytes:
     """Numbers of 64 bits, each column as its ``widths`` lower bytes, one plane of bytes after the other."""
     return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for c, w in zip(columns, widths, strict=True))
@@ -175,8 +174,8 @@ def _which_hit(group: pa.Table) -> pa.Table:
 
 def _which_later(group: pa.Table) -> pa.Table:
     """To each chunk of a range: its windows of which another chunk has the earlier place."""
-    (a, b, ids, place), owner = _split(group.column("blob").to_pylist(), _PLACE)
-    order = np.lexsort((place, ids.view(np.int64), b, a))
+    (a, b, ids, mark, place), owner = _split(group.column("blob").to_pylist(), _PLACE)
+    order = np.lexsort((place, mark, ids.view(np.int64), b, a))
     a, b, owner = a[order], b[order], owner[order]
     later = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
     return _answers(group.column("chunk").to_pylist(), owner[later], [a[later], b[later]], _LATER)
@@ -228,11 +227,12 @@ def _sent(chunk: int, columns: list[np.ndarray], widths: tuple[int, ...], ranges
 
 def mark_repeats(docs: DataFrame, kernel, schema: pa.Schema, *, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
     """Apply ``kernel(id, words, first, end, kept)`` to every document; it returns a row of ``schema`` as a dict."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    rows = docs.select(whole_ids(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     n = chunks or max(8, (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // CHUNK_BYTES)
     tasks, ranges = min(n, MOST_TASKS), min(4 * n, MOST_RANGES)
     rows = rows.withColumn("at", F.coalesce("doc_id", F.expr("(mark & 4611686018427387903L) | -9223372036854775808")))  # the order of documents
-    rows = rows.select(F.pmod(F.xxhash64("at"), F.lit(n)).cast("long").alias("chunk"), "at", "mark", F.col("doc_id").isNotNull().alias("known"), "text")
+    rows = rows.withColumn("mark", F.expr("mark & 4294967295L"))
+    rows = rows.select(F.pmod(F.xxhash64("at", "mark"), F.lit(n)).cast("long").alias("chunk"), "at", "mark", F.col("doc_id").isNotNull().alias("known"), "text")
     by_chunk = rows.mapInArrow(_dealt, "chunk long, blob binary").repartition(tasks, "chunk")
 
     def probes(key, table):
@@ -247,7 +247,7 @@ def mark_repeats(docs: DataFrame, kernel, schema: pa.Schema, *, id_col: str = "d
         row, place = windows.places()
         new = np.flatnonzero(~windows.before)
         new = new[np.argsort(windows.a[new], kind="stable")]
-        return _sent(key[0].as_py(), [windows.a[new], windows.b[new], chunk.ids[row[new]], place[new]], _PLACE, ranges)
+        return _sent(key[0].as_py(), [windows.a[new], windows.b[new], chunk.ids[row[new]], chunk.marks[row[new]], place[new]], _PLACE, ranges)
 
     def judged(key, table, answers):
         chunk = Chunk(table)

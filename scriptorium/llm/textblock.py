@@ -7,6 +7,7 @@ never cut, so the memory a task needs grows with the longest single text only.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,10 @@ from scriptorium.functions.arrowtext import utf8
 
 BLOCK_BYTES = 1 << 20
 
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _Q = np.uint64(0xD6E8FEB86659FD93 | 1)
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D))
+#: Words of at most so many bytes are hashed together, 8 bytes at a time; longer ones one by one.
+LANE_BYTES = 64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -79,15 +82,24 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        up, down = powers(_B, len(self.raw))
-        total = np.zeros(len(self.raw) + 1, np.uint64)
-        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; the two seeds (0 and 1) give independent ones, 128 bits together.  Each 8 bytes
+        are mixed into the state before the next, so that no arrangement of parts makes two words alike."""
+        size = self.end - self.start
+        out = mixed(size.astype(np.uint64) * _Q + _SEEDS[seed])
         if not self.n:
-            return np.zeros(0, np.uint64)
-        own = (total[self.end] - total[self.start]) * down[self.start]
-        return mixed(own + (self.end - self.start).astype(np.uint64) * _Q)
+            return out
+        eights = np.ndarray(len(self.raw) + 1, "<u8", np.concatenate([self.raw, np.zeros(8, np.uint8)]), strides=(1,))
+        live = np.flatnonzero(size <= LANE_BYTES)
+        for lo in range(0, LANE_BYTES, 8):
+            live = live[size[live] > lo]
+            if not len(live):
+                break
+            spare = np.maximum(lo + 8 - size[live], 0).astype(np.uint64) * np.uint64(8)
+            out[live] = mixed(out[live] ^ (eights[self.start[live] + lo] << spare) * _SEEDS[seed])
+        for i in np.flatnonzero(size > LANE_BYTES).tolist():
+            out[i] = np.frombuffer(hashlib.blake2b(self.bytes_of(i), digest_size=16).digest(), np.uint64)[seed]
+        return out
 
     def left(self) -> np.ndarray:
         """How many words of the same row begin at each word, itself included."""

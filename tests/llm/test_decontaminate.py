@@ -64,3 +64,32 @@ def test_removal_judges_each_row(spark, limit, share):
     kept = D.remove_contaminated(docs, bench, max_share=share, index_bytes=limit)
     assert kept.columns == docs.columns
     assert sorted(r.gone for r in kept.collect()) == [1, 3, 4, 5] + [6] * (share == 0.5) + [8, 9]
+
+
+@pytest.mark.parametrize("limit", [D.INDEX_BYTES, 0])
+def test_ids_of_any_type(spark, limit):
+    leak = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([("a-1", leak, "k"), ("a-1", "clean", "k"), (None, leak, "k"), (None, "x", "k")], "doc_id string, text string, `key` string")
+    bench = spark.createDataFrame([("b/1", leak), ("b/2", leak), (None, "short one")], "item_id string, text string")
+    got = {(r.doc_id, r.n_words): r for r in D.find_contamination(docs, bench, index_bytes=limit).collect()}
+    assert got["a-1", 12].items == ["b/1", "b/2"] and got[None, 12].n_hit == 12 and not got["a-1", 1].contaminated
+    assert sorted(r.text for r in D.remove_contaminated(docs, bench, index_bytes=limit).collect()) == ["clean", "x"]
+
+
+def test_many_copies_and_a_common_item(spark):
+    """Copies of a leaking text and a window that many items share cost one row each on the joining path."""
+    leak = " ".join(f"w{i}" for i in range(15))
+    docs = spark.createDataFrame([(i, f"{leak} x" if i % 3 == 0 else f"d{i} " * 20) for i in range(300)], "doc_id long, text string").repartition(7)
+    bench = spark.createDataFrame([(i, f"{leak} y{i}") for i in range(50)], "item_id long, text string")
+    small, large = (sorted(map(tuple, D.find_contamination(docs, bench, index_bytes=n).collect())) for n in (D.INDEX_BYTES, 0))
+    assert small == large and sum(r[2] == 15 and r[3] == 50 for r in small) == 100
+
+
+def test_index_is_bounded():
+    import pickle
+
+    items = [(i, " ".join(f"word{(i * 7 + j * j) % 5003}" for j in range(200))) for i in range(700)]
+    size = sum(len(t) + D.ROW_BYTES for _, t in items)
+    assert len(pickle.dumps(D.Index(items))) < 8 * size
+    empty = [(i, None) for i in range(1000)]
+    assert len(pickle.dumps(D.Index(empty))) < D.ROW_BYTES * 1000

@@ -28,7 +28,7 @@ def test_against_brute_force(spark, edge, chunks):
     from pyspark.sql import functions as F
 
     marks = edge.select("doc_id", "text", F.xxhash64("text").alias("m")).collect()
-    docs = [((0, r.m & (2**62 - 1)) if r.doc_id is None else (1, r.doc_id, r.m), r.doc_id, r.text) for r in marks]
+    docs = [((0, r.m & (2**62 - 1)) if r.doc_id is None else (1, r.doc_id, r.m & (2**32 - 1)), r.doc_id, r.text) for r in marks]
     got = S.removal_digests(edge, chunks=chunks).collect()
     assert Counter(tuple(r) for r in got) == by_hand(docs)
 
@@ -54,5 +54,51 @@ def test_repeats_within_and_across(spark):
     assert text[60] == "same"
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+@pytest.mark.parametrize("size", [8, 64, 1024, 2048])
+def test_words_made_to_collide(spark, size):
+    """A sequence and its mirror collide under any polynomial modulo 2**64; here they are told apart."""
+    a = thue_morse(size)
+    b = a.translate(str.maketrans("ab", "ba"))
+    lead = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{lead} {a}"), (2, f"{lead} {b}"), (3, f"{lead} {a}")], "doc_id long, text string")
+    for chunks in (1, 5):
+        assert {r.doc_id: r.n_removed for r in S.removal_digests(df, chunks=chunks).collect()} == {1: 0, 2: 0, 3: 20}
+
+
+def test_word_hashes_are_independent():
+    import numpy as np
+
+    from scriptorium.llm.textblock import NOT_SPACE, Words
+
+    text = " ".join([thue_morse(k) for k in (8, 16, 256, 1024)] + [f"{i:x}" * (i % 30 + 1) for i in range(5000)] + ["ab" * 40, "ba" * 40, "x" * 64, "x" * 65]).encode()
+    raw = np.frombuffer(text, np.uint8)
+    words = Words(raw, np.array([0, len(raw)]), NOT_SPACE)
+    own = {words.bytes_of(i) for i in range(words.n)}
+    for seed in (0, 1):
+        h = words.hashes(seed)
+        assert len(set(h.tolist())) == len(own)
+        by = {}
+        assert all(by.setdefault(words.bytes_of(i), v) == v for i, v in enumerate(h.tolist()))
+    assert not np.intersect1d(words.hashes(0), words.hashes(1)).size
+
+
+def test_ids_that_are_no_numbers(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        S.removal_digests(spark.createDataFrame([("a-1", "x")], "doc_id string, text string"))
+
+
+def test_hot_id(spark):
+    """Rows that share one id are dealt by their texts as well."""
+    df = spark.createDataFrame([(5, f"{i} " * 30) for i in range(40)], "doc_id long, text string")
+    assert [(r.n_words, r.n_removed) for r in S.removal_digests(df, chunks=9).collect()] == [(30, 29)] * 40
+
+
 def test_empty(spark, empty):
     assert S.removal_digests(empty).count() == 0
