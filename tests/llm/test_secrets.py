@@ -78,3 +78,33 @@ def test_hexadecimal_keys_behind_a_prefix(spark):
             assert len(row.added) == 1 and key in texts[row.doc_id][row.added[0].start : row.added[0].end], texts[row.doc_id]
         else:
             assert row.added == [], texts[row.doc_id]
+
+
+def test_many_matches_take_linear_time(spark):
+    """Lists of checksums: twice the matches take about twice as long."""
+    import time
+
+    def took(n, form):
+        text = "".join(form.format(f"{i * 0x9E3779B97F4A7C15 % 2**128:032x}") for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        best = 1e9
+        for _ in range(3):
+            began = time.perf_counter()
+            row = S.find_secrets(df).first()
+            best = min(best, time.perf_counter() - began)
+        assert len(row.base) + len(row.added) >= n
+        return best
+
+    for form in ("{}  file\n", "k{}Q\n"):
+        took(4000, form)
+        assert took(16000, form) < 2.2 * took(8000, form) + 0.2
+
+
+def test_blocks_of_matches(spark):
+    """More matches than a block holds, of all kinds and overlapping, against brute force."""
+    r = random.Random(4)
+    parts = ["token=abcdefabcdef0123 ", "AKIA" + "B" * 16, "0123456789abcdef", "k7Jq9ZpX2mWc4RtYv8BnL3sD", " ", "\n", "x", "=", "é"]
+    texts = ["".join(r.choice(parts) for _ in range(3000)) for _ in range(3)]
+    for row in S.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert [(s.kind, s.start, s.end) for s in row.base] == by_hand(texts[row.doc_id])
+        assert [(s.kind, s.start, s.end) for s in row.added] == added_by_hand(texts[row.doc_id])
