@@ -17,8 +17,8 @@ for which of them another chunk has an earlier place.  A hash that a third of al
 chunk.  Hashes have 44 bits for probes, where a chance match costs a comparison only, and 128 for windows, which decide.
 Numbers are packed byte plane by byte plane, so that what sorted or small numbers share is squeezed out of the shuffle.
 
-Null texts and texts of fewer than SPAN words keep all words.  Rows with equal ids are ordered by 32 bits of a hash of their
-text; equal rows fall into one chunk and are ordered by their place there.  Null ids come before all others, in the order of
+Null texts and texts of fewer than SPAN words keep all words.  Rows with equal ids are ordered by a hash of id and text,
+whose upper bits are also the chunk; equal rows fall into one chunk and are ordered by their place there.  Null ids come before all others, in the order of
 their texts' hashes.  Ids must be whole numbers, since their order decides; others are refused before the job starts.
 """
 
@@ -44,7 +44,7 @@ MOST_TASKS, MOST_RANGES = 20_000, 65_536
 #: Probe entries: 44 bits of the hash above 4 that carry how many blocks (0 to 2) and runs (1 or 2) there are.
 _SHIFT, _KEY = np.uint64(16), np.uint64(0xFFFFFFFFFFF0)
 #: Bytes of the numbers in each kind of message.
-_PROBE, _PLACE, _LATER = (6,), (8, 8, 8, 4, 4), (8, 8)
+_PROBE, _PLACE, _LATER = (6,), (8, 8, 8, 4), (8, 8)
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +79,7 @@ class Chunk:
             texts += [view[e - k : e] for e, k in zip(stop.tolist(), own[3].tolist(), strict=True)]
         at, marks, known, _ = np.concatenate(numbers, axis=1)
         order = np.lexsort((marks, at))
-        self.ids, self.marks, self.known, self.texts = at[order], marks[order], known[order].astype(bool), [texts[i] for i in order.tolist()]
+        self.ids, self.known, self.texts = at[order], known[order].astype(bool), [texts[i] for i in order.tolist()]
 
     def parts(self) -> Iterator[tuple[int, Words, Grams]]:
         lo = 0
@@ -174,8 +174,8 @@ def _which_hit(group: pa.Table) -> pa.Table:
 
 def _which_later(group: pa.Table) -> pa.Table:
     """To each chunk of a range: its windows of which another chunk has the earlier place."""
-    (a, b, ids, mark, place), owner = _split(group.column("blob").to_pylist(), _PLACE)
-    order = np.lexsort((place, mark, ids.view(np.int64), b, a))
+    (a, b, ids, place), owner = _split(group.column("blob").to_pylist(), _PLACE)
+    order = np.lexsort((place, group.column("chunk").to_numpy()[owner], ids.view(np.int64), b, a))
     a, b, owner = a[order], b[order], owner[order]
     later = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
     return _answers(group.column("chunk").to_pylist(), owner[later], [a[later], b[later]], _LATER)
@@ -231,8 +231,9 @@ def mark_repeats(docs: DataFrame, kernel, schema: pa.Schema, *, id_col: str = "d
     n = chunks or max(8, (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // CHUNK_BYTES)
     tasks, ranges = min(n, MOST_TASKS), min(4 * n, MOST_RANGES)
     rows = rows.withColumn("at", F.coalesce("doc_id", F.expr("(mark & 4611686018427387903L) | -9223372036854775808")))  # the order of documents
-    rows = rows.withColumn("mark", F.expr("mark & 4294967295L"))
-    rows = rows.select(F.pmod(F.xxhash64("at", "mark"), F.lit(n)).cast("long").alias("chunk"), "at", "mark", F.col("doc_id").isNotNull().alias("known"), "text")
+    rows = rows.withColumn("mark", F.xxhash64("at", "mark"))
+    chunk = F.shiftright(F.shiftrightunsigned("mark", 32) * F.lit(n).cast("long"), 32)  # n is below 2**31
+    rows = rows.select(chunk.alias("chunk"), "at", F.expr("mark ^ -9223372036854775808L").alias("mark"), F.col("doc_id").isNotNull().alias("known"), "text")
     by_chunk = rows.mapInArrow(_dealt, "chunk long, blob binary").repartition(tasks, "chunk")
 
     def probes(key, table):
@@ -247,7 +248,7 @@ def mark_repeats(docs: DataFrame, kernel, schema: pa.Schema, *, id_col: str = "d
         row, place = windows.places()
         new = np.flatnonzero(~windows.before)
         new = new[np.argsort(windows.a[new], kind="stable")]
-        return _sent(key[0].as_py(), [windows.a[new], windows.b[new], chunk.ids[row[new]], chunk.marks[row[new]], place[new]], _PLACE, ranges)
+        return _sent(key[0].as_py(), [windows.a[new], windows.b[new], chunk.ids[row[new]], place[new]], _PLACE, ranges)
 
     def judged(key, table, answers):
         chunk = Chunk(table)

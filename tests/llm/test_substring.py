@@ -27,8 +27,8 @@ def by_hand(docs):
 def test_against_brute_force(spark, edge, chunks):
     from pyspark.sql import functions as F
 
-    marks = edge.select("doc_id", "text", F.xxhash64("text").alias("m")).collect()
-    docs = [((0, r.m & (2**62 - 1)) if r.doc_id is None else (1, r.doc_id, r.m & (2**32 - 1)), r.doc_id, r.text) for r in marks]
+    marks = edge.select("doc_id", "text", F.xxhash64("text").alias("m"), F.xxhash64("doc_id", F.xxhash64("text")).alias("o")).collect()
+    docs = [((0, r.m & (2**62 - 1)) if r.doc_id is None else (1, r.doc_id, r.o % 2**64), r.doc_id, r.text) for r in marks]
     got = S.removal_digests(edge, chunks=chunks).collect()
     assert Counter(tuple(r) for r in got) == by_hand(docs)
 
