@@ -1,16 +1,24 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field for what those miss.
 
 The patterns give base spans of the kinds email, ip, card and phone, leftmost and non-overlapping per kind.  The random field
-looks at the text about digits, at signs and spelt-out at signs: it cuts that text into tokens and chooses, by dynamic
-programming over segments of at most ``LONGEST`` tokens, the boundaries and kinds that score best together.  A segment is
-scored as a whole (number of digits, shape, Luhn and octet tests, separators, what stands before and behind), which token
-labels could not do.  Its spans are added where they touch no base span; base spans always stay.
+looks at every whole text.  Its candidate segments are
+
+* numbers: groups of digits, at most ``MOST_DIGITS`` together, with at most ``GAP`` characters between two groups and neither
+  a letter nor a line end within, begun by the first group or by plus signs and brackets before it;
+* addresses: all of a local part of whatever length, an at sign, spelt out or not, and two labels at least.  A host of more
+  than ``MOST_LABELS`` labels can't be a name of at most 253 characters.
+
+A segment is scored as a whole (number of digits, shape, Luhn and octet tests, separators, last label, what stands before and
+behind), which token labels could not do, and dynamic programming over the segments chooses the boundaries and kinds that
+score best together.  Between segments everything is outside and scores 0, so only the best path of each kind to each open
+end is kept: memory doesn't grow with the text, but for the spans found, and time is linear in it.  Spans are added where
+they touch no base span; base spans always stay.
 
 The weights are fitted in the driver, by gradient ascent of the conditional likelihood, on sentences that ``examples``
 makes from a rule with a fixed seed: no corpus rows are used, so the fit is the same everywhere and small.
 
 Offsets are code points, ends exclusive.  A null text counts as empty and has no spans; rows with equal ids are scanned one
-by one.  Time is linear in the text: every pattern is written so that no character is visited more than a few times.
+by one, and ids may have any type.
 """
 
 from __future__ import annotations
@@ -20,17 +28,18 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import merge
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from scriptorium.llm.textblock import each, packed, utf8
+from scriptorium.llm.shared import with_fields
+from scriptorium.llm.textblock import packed, utf8
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 18
-REACH = 48
+MOST_DIGITS, GAP, MOST_LABELS = 19, 4, 127
 EPOCHS, RATE, PENALTY, SENTENCES, SEED = 12, 0.25, 1e-4, 260, 17
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -77,86 +86,133 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # The random field.
 
-_TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.DOTALL)
+_RUN = re.compile(r"[0-9](?:(?!\n)[\W\d_])*+")
+_DIGITS = re.compile("[0-9]+")
+_SHAPE = str.maketrans("012345678", "9" * 9)
 _AT = re.compile(r"[\[({<]\s?at\s?[\])}>]|\sat\s[^\s]+\sdot\s", re.IGNORECASE)
-_TRIGGER = re.compile(r"[0-9]+|@|" + _AT.pattern, re.IGNORECASE)
+#: At signs: (kind, what a text needs to have one, pattern).
+_MARKS = (
+    ("@", re.compile("@"), re.compile(r"\s?@\s?")),
+    ("[at]", re.compile(r"[\[({<]\s?at", re.IGNORECASE), re.compile(r"\s?[\[({<]\s?at\s?[\])}>]\s?", re.IGNORECASE)),
+    ("at", re.compile(r"\sdot\s", re.IGNORECASE), re.compile(r"\sat\s(?=[^\s]+\sdot\s)", re.IGNORECASE)),
+)
+_LABEL = re.compile(r"[\w-]++")
+_DOT = re.compile(r"(\.)|(\s\.\s)|(\s?[\[({<]\s?dot\s?[\])}>]\s?)|(\sdot\s)", re.IGNORECASE)
 _CUES = {"email": "mail", "mail": "mail", "contact": "mail", "ip": "ip", "host": "ip", "server": "ip", "address": "ip", "card": "card", "visa": "card", "payment": "card", "phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone"}
+_LONGEST_CUE = max(map(len, _CUES))
 #: Common last parts of host names.
 _LAST = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv uk us ca au nz ie in za de at ch fr be nl es pt it pl cz se no fi dk gr ru ua tr jp kr cn br mx ar cl eu".split())
-_SPELT = re.compile(r"[\w.+-]+\s?(?:@|[\[({<]\s?at\s?[\])}>]|\sat\s)\s?[\w-]+(?:\s?(?:[\[({<]\s?dot\s?[\])}>]|\sdot\s|\.)\s?[\w-]+)+", re.IGNORECASE)
 
 
-def windows(text: str) -> Iterator[tuple[int, int]]:
-    """The stretches in which an entity could lie: about triggers, where there are 7 digits or an at sign."""
-    lo = hi = digits = mark = 0
-    for m in _TRIGGER.finditer(text):
-        if m.start() - REACH > hi:
-            if mark or digits >= 7:
-                yield lo, hi
-            lo, digits, mark = max(0, m.start() - REACH), 0, 0
-        hi = min(len(text), m.end() + REACH)
-        if m[0][0] in "0123456789":
-            digits += len(m[0])
-        else:
-            mark = 1
-    if mark or digits >= 7:
-        yield lo, hi
+def _cue(text: str, at: int) -> str | None:
+    """What the word before a place hints at, if at most four signs, numbers or blanks lie between."""
+    parts = 0
+    while at and not text[at - 1].isalpha():
+        parts += 1
+        if parts > 4:
+            return None
+        c = text[at - 1]
+        same = str.isspace if c.isspace() else "0123456789".__contains__ if c in "0123456789" else None
+        at -= 1
+        while same and at and same(text[at - 1]):
+            at -= 1
+    start = at
+    while start and at - start <= _LONGEST_CUE and text[start - 1].isalpha():
+        start -= 1
+    return _CUES.get(text[start:at].lower())
+
+
+def _around(text: str, s: int, e: int) -> tuple[bool, bool]:
+    """Whether a segment is glued to a word, and whether more of the same seems to go on."""
+    before, after = text[s - 1 : s], text[e : e + 1]
+    return before.isalnum() or after.isalnum(), before in ("+", ".", "-", "@", "/", "(") or after in ("@", "/") or after in (".", "-") and text[e + 1 : e + 2].isalnum()
 
 
-def tokens(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
-    return [m.span() for m in _TOKEN.finditer(text, lo, hi)]
+#: A candidate: start, end, and all that its features depend on.
+Candidate = tuple[int, int, tuple]
 
 
-def candidates(text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
-    """(first token, token after the last, features) of the segments that could be an entity."""
-    out = []
-    for i, (s, _) in enumerate(toks):
-        c = text[s]
-        if not (c.isalnum() or c in "+("):
+def _numbers(text: str) -> Iterator[Candidate]:
+    for run in _RUN.finditer(text):
+        if run.end() - run.start() < 4:
             continue
-        digits = 0
-        mark = False
-        for j in range(i, min(len(toks), i + LONGEST)):
-            a, b = toks[j]
-            d = text[a]
-            if d == "\n":
-                break
-            if d in "0123456789":
-                digits += b - a
-            mark = mark or d == "@" or text[a:b].lower() == "at"
-            if digits > 19 and not mark:
-                break
-            if (d.isalnum()) and (digits >= 7 or mark and j > i):
-                if f := _features(text, toks, i, j + 1, digits, mark):
-                    out.append((i, j + 1, f))
-    return out
+        held: list[tuple[int, int]] = []  # the groups of which a segment may still begin with the first
+        for m in _DIGITS.finditer(text, run.start(), run.end()):
+            if held and m.start() - held[-1][1] > GAP:
+                while held:
+                    yield from _begun(text, held)
+                    held.pop(0)
+            held.append(m.span())
+            while sum(b - a for a, b in held) > MOST_DIGITS:
+                yield from _begun(text, held)
+                held.pop(0)
+        while held:
+            yield from _begun(text, held)
+            held.pop(0)
+
+
+def _begun(text: str, groups: list[tuple[int, int]]) -> Iterator[Candidate]:
+    """The segments that begin with the first of the groups, by start."""
+    first = groups[0][0]
+    starts = [first]
+    while len(starts) < 3 and starts[0] and text[starts[0] - 1] in "+(":
+        starts.insert(0, starts[0] - 1)
+    ends, digits, parts = [], 0, []
+    for a, b in groups:
+        digits += b - a
+        if digits > MOST_DIGITS:
+            break
+        parts.append(text[a:b])
+        octets = len(parts) == 4 and all(map(_octet, parts))
+        if digits >= 7 or octets:
+            ends.append((b, digits, octets, luhn("".join(parts)) if digits >= 13 else None))
+    if not ends:
+        return
+    for s in starts:
+        cue = _cue(text, s)
+        for e, digits, octets, sound in ends:
+            yield s, e, ("number", text[s:e].translate(_SHAPE), digits, sound, octets, *_around(text, s, e), cue)
+
+
+def _addresses(text: str, kind: str, mark: re.Pattern) -> Iterator[Candidate]:
+    for m in mark.finditer(text):
+        s = m.start()
+        while s and (text[s - 1] in _LOCAL or text[s - 1].isalnum()):
+            s -= 1
+        while s < m.start() and text[s] in ".-+%":
+            s += 1
+        label = _LABEL.match(text, m.end())
+        if s == m.start() or not label:
+            continue
+        cue, n = _cue(text, s), 1
+        dot, label = _following(text, label.end())
+        while label and (n := n + 1) <= MOST_LABELS:
+            kind_of_dot, last, e = dot, label[0].lower(), label.end()
+            dot, label = _following(text, e)
+            yield s, e, ("address", kind, kind_of_dot, last.isalpha() and 2 <= len(last) <= 6, last in _LAST, min(n, 4), *_around(text, s, e), label is not None and dot, cue)
 
 
-def _features(text: str, toks: list, i: int, j: int, digits: int, mark: bool) -> list[str]:
-    s, e = toks[i][0], toks[j - 1][1]
-    span = text[s:e]
-    before, after = text[s - 1 : s], text[e : e + 1]
-    letters = any(c.isalpha() for c in span)
-    out = ["bias", f"glued={before.isalnum() or after.isalnum()}", f"more={before in ('+', '.', '-', '@', '/', '(') or after in ('@', '/') or after in ('.', '-') and text[e + 1 : e + 2].isalnum()}"]
-    k = i - 1
-    while k >= 0 and k > i - 5 and not text[toks[k][0]].isalpha():
-        k -= 1
-    cue = _CUES.get(text[toks[k][0] : toks[k][1]].lower()) if k >= 0 else None
-    out.append(f"cue={cue}")
-    if letters:
-        if not mark:
-            return []
-        whole = bool(_SPELT.fullmatch(span))
-        out += [f"spelt={whole}", f"tld={text[toks[j - 1][0]].isalpha() and 2 <= toks[j - 1][1] - toks[j - 1][0] <= 6}", f"last={text[toks[j - 1][0] : e].lower() in _LAST},{whole}", f"marks={'[at]' if _AT.search(span) else 'at'}"]
-        return out
-    groups = re.findall("[0-9]+", span)
-    seps = "".join(sorted(set(re.sub("[0-9]", "", span))))
-    out += [f"digits={digits if digits < 20 else 20}", f"seps={seps}", f"groups={len(groups)}", f"shape={''.join(c if c not in '0123456789' else '9' for c in span)[:24]}", f"plus={span[0] == '+'}", f"paren={span[0] == '('}"]
-    if 13 <= digits <= 19:
-        out.append(f"luhn={luhn(''.join(groups))},{digits >= 16}")
-    out.append(f"octets={len(groups) == 4 and all(map(_octet, groups))},{seps}")
-    out.append(f"sizes={','.join(str(len(g)) for g in groups[-3:])},{seps}")
-    return out
+def _following(text: str, at: int) -> tuple[int, re.Match | None]:
+    """The kind of dot at a place, spelt out or not, and the label after it."""
+    dot = _DOT.match(text, at)
+    return (dot.lastindex, _LABEL.match(text, dot.end())) if dot else (0, None)
+
+
+def candidates(text: str) -> Iterator[Candidate]:
+    """The segments that could be an entity, by start."""
+    return merge(_numbers(text), *(_addresses(text, kind, mark) for kind, need, mark in _MARKS if need.search(text)), key=lambda c: c[0])
+
+
+def features(of: tuple) -> list[str]:
+    """The features of a candidate."""
+    if of[0] == "address":
+        _, kind, dot, plain, known, n, glued, more, on, cue = of
+        return ["address", f"on={on}", f"on={on},{dot}", f"glued={glued}", f"more={more}", f"cue={cue}", f"tld={plain}", f"last={known}", f"last={known},{kind}", f"at={kind},{dot}", f"labels={n}"]
+    _, shape, digits, sound, octets, glued, more, cue = of
+    groups = _DIGITS.findall(shape)
+    seps = "".join(sorted(set(shape.replace("9", ""))))
+    out = ["bias", f"glued={glued}", f"more={more}", f"cue={cue}", f"digits={digits}", f"seps={seps}", f"groups={len(groups)}", f"shape={shape}", f"plus={shape[0] == '+'}", f"paren={shape[0] == '('}", f"octets={octets},{seps}", f"sizes={','.join(str(len(g)) for g in groups[-3:])},{seps}"]
+    return out if sound is None else [*out, f"luhn={sound},{digits >= 16}"]
 
 
 class Field:
@@ -164,84 +220,117 @@ class Field:
 
     def __init__(self, weights: dict | None = None):
         self.w: dict = weights if weights is not None else {}
-
-    def score(self, kind: int, features: list[str]) -> float:
-        return sum(self.w.get((kind, f), 0.0) for f in features)
-
-    def lattice(self, text: str, toks: list) -> list[list[tuple[int, int, list[str], float]]]:
-        """For each end: (start, kind, features, score) of the segments that end there."""
-        ends: list[list] = [[] for _ in range(len(toks) + 1)]
-        for j in range(len(toks)):
-            ends[j + 1].append((j, 0, [], 0.0))
-        for i, j, f in candidates(text, toks):
-            ends[j] += [(i, k, f, self.score(k, f)) for k in range(1, len(KINDS) + 1)]
-        return ends
-
-    def best(self, text: str, toks: list) -> list[tuple[str, int, int]]:
-        """The most likely segmentation's entities."""
-        ends = self.lattice(text, toks)
-        top: list[dict] = [{0: (0.0, None)}]
-        for j in range(1, len(toks) + 1):
-            now: dict = {}
-            for i, k, _, s in ends[j]:
-                for p, (v, _) in top[i].items():
-                    x = v + s + self.w.get(("next", p, k), 0.0)
-                    if k not in now or x > now[k][0]:
-                        now[k] = (x, (i, p))
-            top.append(now)
-        j, out = len(toks), []
-        k = max(top[j], key=lambda y: top[j][y][0])
-        while j:
-            i, p = top[j][k][1]
-            if k:
-                out.append((KINDS[k - 1], toks[i][0], toks[j - 1][1]))
-            j, k = i, p
+        self.known: dict[tuple, list[tuple[int, float]]] = {}
+        kinds = range(len(KINDS) + 1)
+        self.step = [[self.w.get(("next", p, k), 0.0) for k in kinds] for p in kinds]
+        self.most = [max(self.step[p][k] - self.step[p][0] + self.step[k][q] - self.step[0][q] for p in kinds for q in kinds) for k in kinds]
+
+    def score(self, k: int, own: list[str]) -> float:
+        return sum(self.w.get((k, f), 0.0) for f in own)
+
+    def scores(self, of: tuple) -> list[tuple[int, float]]:
+        """(kind, score) of a candidate; the same for all that look alike.  Kinds that lose against outside whatever stands
+        beside them are left out, as they are in no best path."""
+        if of not in self.known:
+            if len(self.known) > 20000:
+                self.known.clear()
+            own = features(of)
+            self.known[of] = [(k, x) for k in range(1, len(KINDS) + 1) if (x := self.score(k, own)) + self.most[k] > 0]
+        return self.known[of]
+
+    def best(self, text: str) -> list[tuple[str, int, int]]:
+        """The most likely segmentation's entities.  A path is (path before, kind, start, end); of all paths to an open end the
+        best of each kind is kept, and of those that are outside the best of all."""
+        step, here, beside = self.step, -1, {}  # beside: the paths that end where the candidates at hand begin
+        outside: tuple[float, tuple | None] = (0.0, None)
+        ends: dict[int, dict[int, tuple[float, tuple]]] = {}
+
+        def close(at: dict[int, tuple[float, tuple]]) -> None:
+            nonlocal outside
+            for k, (v, path) in at.items():
+                if v + step[k][0] > outside[0]:
+                    outside = v + step[k][0], path
+
+        for s, e, of in candidates(text):
+            scores = self.scores(of)
+            if not scores:
+                continue
+            if s > here:
+                close(beside)
+                for x in sorted(x for x in ends if x < s):
+                    close(ends.pop(x))
+                here, beside = s, ends.pop(s, {})
+            before = [(p, v, path) for p, (v, path) in beside.items()]
+            at = ends.setdefault(e, {})
+            for k, own in scores:
+                top, path = outside[0] + step[0][k], outside[1]
+                for p, v, other in before:
+                    if v + step[p][k] > top:
+                        top, path = v + step[p][k], other
+                if k not in at or top + own > at[k][0]:
+                    at[k] = (top + own, (path, k, s, e))
+        close(beside)
+        for x in sorted(ends):
+            close(ends[x])
+        out, path = [], outside[1]
+        while path:
+            path, k, s, e = path
+            out.append((KINDS[k - 1], s, e))
         return out[::-1]
 
-    def learn(self, text: str, toks: list, gold: set[tuple[str, int, int]], rate: float) -> None:
-        """A step up the conditional log likelihood of a sentence."""
-        ends, n = self.lattice(text, toks), len(toks)
-        kinds = range(len(KINDS) + 1)
-        total = lambda xs: (m := max(xs)) + math.log(sum(math.exp(x - m) for x in xs)) if xs else -math.inf
+    def learn(self, edges: list[tuple[int, int, list[str]]], gold: set[tuple[str, int, int]], rate: float) -> None:
+        """A step up the conditional log likelihood of a sentence, of which ``edges`` are the candidates and their features."""
+        kinds, none = range(len(KINDS) + 1), -math.inf
+        total = lambda xs: none if (m := max(xs, default=none)) == none else m + math.log(sum(math.exp(x - m) for x in xs))
         step = lambda p, k: self.w.get(("next", p, k), 0.0)
-        ahead = [dict.fromkeys(kinds, -math.inf) for _ in range(n + 1)]
-        ahead[0][0] = 0.0
-        for j in range(1, n + 1):
-            found: dict = {k: [] for k in kinds}
-            for i, k, _, s in ends[j]:
-                found[k] += [v + s + step(p, k) for p, v in ahead[i].items() if v > -math.inf]
-            ahead[j] = {k: total(x) for k, x in found.items()}
-        behind = [{k: [] for k in kinds} for _ in range(n + 1)]
-        back = [dict.fromkeys(kinds, -math.inf) for _ in range(n + 1)]
-        back[n] = dict.fromkeys(kinds, 0.0)
-        for j in range(n, 0, -1):
-            if j < n:
-                back[j] = {k: total(x) for k, x in behind[j].items()}
-            for i, k, _, s in ends[j]:
-                if back[j][k] > -math.inf:
-                    for p in kinds:
-                        behind[i][p].append(back[j][k] + s + step(p, k))
-        z = total([v for v in ahead[n].values() if v > -math.inf])
+        places = sorted({-1, *(s for s, _, _ in edges), *(e for _, e, _ in edges), 1 << 40})
+        number = {x: i for i, x in enumerate(places)}
+        into: list[list] = [[] for _ in places]  # (from, kind, features, score)
+        for i in range(1, len(places)):
+            into[i].append((i - 1, 0, [], 0.0))
+        for s, e, f in edges:
+            into[number[e]] += [(number[s], k, f, self.score(k, f)) for k in kinds[1:]]
+        ahead = [[0.0] + [none] * len(KINDS)]
+        for own in into[1:]:
+            ahead.append([total([ahead[i][p] + s + step(p, k) for i, kk, _, s in own if kk == k for p in kinds]) for k in kinds])
+        back = [[none] * (len(KINDS) + 1) for _ in places]
+        back[-1][0] = 0.0
+        behind: list[list[list[float]]] = [[[] for _ in kinds] for _ in places]
+        for j in range(len(places) - 1, 0, -1):
+            if j < len(places) - 1:
+                back[j] = [total(x) for x in behind[j]]
+            for i, k, _, s in into[j]:
+                for p in kinds:
+                    behind[i][p].append(back[j][k] + s + step(p, k))
+        z = ahead[-1][0]
         grad: dict = {}
-        last = {e: (k, s) for k, s, e in gold}
-        before, at = 0, 0
-        while at < n:  # the gold path
-            seg = next(((i, j, k) for j in range(at + 1, n + 1) if (x := last.get(toks[j - 1][1])) and x[1] == toks[at][0] for i, k in [(at, KINDS.index(x[0]) + 1)]), (at, at + 1, 0))
-            grad[("next", before, seg[2])] = grad.get(("next", before, seg[2]), 0) + 1
-            if seg[2]:
-                for f in next((f for i, k, f, _ in ends[seg[1]] if i == seg[0] and k == seg[2]), []):
-                    grad[(seg[2], f)] = grad.get((seg[2], f), 0) + 1
-            before, at = seg[2], seg[1]
-        for j in range(1, n + 1):
-            for i, k, f, s in ends[j]:
-                if back[j][k] == -math.inf:
+
+        def add(key, x: float) -> None:
+            grad[key] = grad.get(key, 0.0) + x
+
+        held = {(s, e): f for s, e, f in edges}
+        before, end = 0, -1
+        for s, e, kind in sorted((s, e, kind) for kind, s, e in gold if (s, e) in held):
+            k = KINDS.index(kind) + 1
+            if s > end and before:
+                add(("next", before, 0), 1.0)
+                before = 0
+            add(("next", before, k), 1.0)
+            for f in held[s, e]:
+                add((k, f), 1.0)
+            before, end = k, e
+        if before:
+            add(("next", before, 0), 1.0)
+        for j in range(1, len(places)):
+            for i, k, f, s in into[j]:
+                if back[j][k] == none:
                     continue
-                for p, v in ahead[i].items():
-                    if v > -math.inf and (q := math.exp(min(0.0, v + s + step(p, k) + back[j][k] - z))) > 1e-4:
-                        grad[("next", p, k)] = grad.get(("next", p, k), 0) - q
+                for p in kinds:
+                    if ahead[i][p] > none and (q := math.exp(min(0.0, ahead[i][p] + s + step(p, k) + back[j][k] - z))) > 1e-4:
+                        add(("next", p, k), -q)
                         for x in f:
-                            grad[(k, x)] = grad.get((k, x), 0) - q
-        grad.pop(("next", 0, 0), None)  # stays 0: else a long entity would lose against as many steps outside
+                            add((k, x), -q)
+        grad.pop(("next", 0, 0), None)  # stays 0: outside is free, however long
         for key, g in grad.items():
             self.w[key] = self.w.get(key, 0.0) * (1 - PENALTY) + rate * g
 
@@ -258,18 +347,22 @@ def examples(n: int = SENTENCES, seed: int = SEED) -> list[tuple[str, set]]:
         return r.choice(("", " ", "-", ".")).join(x[i : i + 4] for i in range(0, 16, 4))
 
     def email() -> str:
-        name, host, tld = word(), word(), r.choice(("com", "org", "net", "de", "fr", "edu", "io"))
-        return r.choice((f"{name}@{host}.{tld}", f"{name} [at] {host} [dot] {tld}", f"{name} (at) {host} (dot) {tld}", f"{name} at {host} dot {tld}", f"{name}[at]{host}.{tld}"))
+        name = r.choice(("", "", word() + r.choice("._-+"))) + word() + r.choice(("", "", d(2)))
+        host, tld = word(), r.choice(("com", "org", "net", "de", "fr", "edu", "io"))
+        if r.random() < 0.3:
+            host, tld = r.choice(((f"{word()}.{host}", tld), (host, r.choice(("co.uk", "com.au", "ac.at")))))
+        dotted = lambda dot: f"{host}.{tld}".replace(".", dot)
+        return r.choice((f"{name}@{dotted('.')}", f"{name} [at] {dotted(' [dot] ')}", f"{name} (at) {dotted(' (dot) ')}", f"{name} at {dotted(' dot ')}", f"{name}[at]{dotted('.')}", f"{name}[at]{dotted('[dot]')}", f"{name} @ {dotted(' . ')}", f"{name} (at) {dotted('.')}"))
 
     def phone() -> str:
         a, b, c = d(3), d(3), d(4)
-        return r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 ({a}) {b}-{c}", f"+{d(2)} {a} {b} {c}"))
+        return r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 ({a}) {b}-{c}", f"1-{a}-{b}-{c}", f"+{d(2)} {a} {b} {c}"))
 
     def ip() -> str:
         return r.choice((".", ".", ".", " . ")).join(str(r.randint(0, 255)) for _ in range(4))
 
     def none() -> str:
-        return r.choice((f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", f"{r.randint(0, 23):02}:{d(2)}:{d(2)}", d(r.randint(1, 12)), f"{r.randint(1, 9)},{d(3)}.{d(2)}", f"{r.randint(0, 9)}.{d(1)}.{d(2)}", d(16), d(16)[:13], f"{d(4)}-{d(4)}", f"{d(3)} {d(3)} {d(3)}", f"{d(2)}/{d(2)}/{d(4)} {d(2)}:{d(2)}", f"{d(1)}-{d(3)}-{d(5)}-{d(1)}", f"{d(4)} {d(4)} {d(4)}", f"{d(5)}-{d(4)}", f"arrive at {word()} {d(7)}", f"meet at {word()} dot", f"look at {word()} dot {word()}", f"look at {word()} dot {word()}", f"{d(3)}.{d(3)}.{d(3)},{d(2)}", f"{d(2)}.{d(2)}.{d(4)} {d(2)}"))
+        return r.choice((f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", f"{r.randint(0, 23):02}:{d(2)}:{d(2)}", d(r.randint(1, 12)), f"{r.randint(1, 9)},{d(3)}.{d(2)}", f"{r.randint(0, 9)}.{d(1)}.{d(2)}", d(16), d(16)[:13], f"{d(4)}-{d(4)}", f"{d(3)} {d(3)} {d(3)}", f"{d(2)}/{d(2)}/{d(4)} {d(2)}:{d(2)}", f"{d(1)}-{d(3)}-{d(5)}-{d(1)}", f"{d(4)} {d(4)} {d(4)}", f"{d(5)}-{d(4)}", f"arrive at {word()} {d(7)}", f"meet at {word()} dot", f"look at {word()} dot {word()}", f"look at {word()} dot {word()}", f"{d(3)}.{d(3)}.{d(3)},{d(2)}", f"{d(2)}.{d(2)}.{d(4)} {d(2)}", f"{d(1)} . {d(1)}", f"{d(2)} . {d(3)} . {d(1)}", ", ".join(d(r.randint(1, 3)) for _ in range(r.randint(3, 7))), " ".join(d(r.randint(1, 5)) for _ in range(r.randint(3, 7)))))
 
     makers = {"email": email, "ip": ip, "card": card, "phone": phone}
     out = []
@@ -294,10 +387,10 @@ def examples(n: int = SENTENCES, seed: int = SEED) -> list[tuple[str, set]]:
 
 @lru_cache(1)
 def trained() -> dict:
-    field, sentences = Field(), [(t, tokens(t, 0, len(t)), g) for t, g in examples()]
+    field, sentences = Field(), [([(s, e, features(of)) for s, e, of in candidates(t)], g) for t, g in examples()]
     for epoch in range(EPOCHS):
-        for text, toks, gold in sentences:
-            field.learn(text, toks, gold, RATE / (1 + epoch / 3))
+        for edges, gold in sentences:
+            field.learn(edges, gold, RATE / (1 + epoch / 3))
     return field.w
 
 
@@ -307,11 +400,10 @@ def find_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], lis
     taken, added = sorted((s, e) for _, s, e in base), []
     starts = np.array([s for s, _ in taken])
     ends = np.maximum.accumulate(np.array([e for _, e in taken])) if taken else starts
-    for lo, hi in windows(text):
-        for kind, s, e in field.best(text, tokens(text, lo, hi)):
-            k = int(np.searchsorted(starts, e)) - 1
-            if k < 0 or ends[k] <= s:
-                added.append((kind, s, e))
+    for kind, s, e in field.best(text):
+        k = int(np.searchsorted(starts, e)) - 1
+        if k < 0 or ends[k] <= s:
+            added.append((kind, s, e))
     return base, added
 
 
@@ -331,27 +423,30 @@ def _suspects(column: pa.Array) -> np.ndarray:
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-_FOUND = pa.schema([("doc_id", pa.int64()), ("base", _SPANS), ("added", _SPANS)])
+_FOUND = pa.schema([("base", _SPANS), ("added", _SPANS)])
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, ``base`` and ``added`` spans."""
     shared = docs.sparkSession.sparkContext.broadcast(trained())
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = Field(shared.value)
         as_rows = lambda spans: [{"kind": k, "start": s, "end": e} for k, s, e in spans]
+        for b in batches:
+            text, done = b.column("text"), 0
 
-        def rows():
-            for b in batches:
-                text = b.column("text")
-                for key, row, suspect in zip(each(b.column("doc_id")), text, _suspects(text), strict=True):
-                    yield (key, *map(as_rows, find_spans(row.as_py(), field))) if suspect else (key, [], [])
+            def found(text=text):
+                for row, suspect in zip(text, _suspects(text), strict=True):
+                    yield tuple(map(as_rows, find_spans(row.as_py(), field))) if suspect else ([], [])
 
-        yield from packed(rows(), _FOUND, lambda r: 40 * len(r[1]))
+            for part in packed(found(), _FOUND, lambda r: 40 * (len(r[0]) + len(r[1]))):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(done, part.num_rows), *part.columns], ["doc_id", "base", "added"])
+                done += part.num_rows
 
     spans = "array<struct<kind:string,start:int,end:int>>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, base {spans}, added {spans}")
+    return rows.mapInArrow(run, with_fields(rows, ["doc_id"], f"base {spans}, added {spans}"))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
