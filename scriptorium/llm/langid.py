@@ -4,8 +4,8 @@ A linear support vector machine on hashed byte n-grams first picks the language
 family, machines for each pair of languages vote (ties go to the larger sum of margins).  The machines have no bias, so a
 text's whole n-gram counts need no normalising to be classed: each adds up one weight per position, over all of the text.
 
-Training: of each language at most about ``PER_LANGUAGE`` rows, chosen by a hash of the id among the rows that may be learned
-from; only their n-gram counts come to the driver, where dual coordinate descent fits the machines and a two-parameter
+Training: of each of the ``MOST_LANGUAGES`` most frequent labels at most ``PER_LANGUAGE`` different rows, chosen by a hash of id
+and text among the rows that may be learned from; only their n-gram counts come to the driver, where dual coordinate descent fits the machines and a two-parameter
 logistic turns margins per n-gram into probabilities.  ``score`` is the family's probability times the least one within it.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every text if there is nothing to learn from.  Rows
@@ -19,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.llm.shared import fresh
 from scriptorium.llm.textblock import ALNUM, LOWER, blocks
 
-PER_LANGUAGE = 400
+PER_LANGUAGE, MOST_LANGUAGES = 400, 200
 SIZE = 1 << 14
 ORDERS = (2, 3, 4)
 EPOCHS, COST = 12, 1.0
@@ -201,11 +201,14 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """Learn from a bounded sample of the rows that are not held out and have a language."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(v) for c, n in sizes.items() for v in (c, min(1.0, per_language / n) * (1 << 30))])
-    sample = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    share = F.create_map(*[F.lit(v) for c, n in sizes.items() for v in (c, min(1.0, 1.3 * per_language / n) * (1 << 30))])
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("mark"))
+    few = rows.where(F.pmod("mark", F.lit(1 << 30)) < share[F.col("lang")]).dropDuplicates(["lang", "mark"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    sample = few.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,7 +228,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 def classify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """doc_id, lang_pred and score of every row; with ``keep`` all columns of the documents, and then the two."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs if keep else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     source, own = (text_col, docs.columns) if keep else ("text", ["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

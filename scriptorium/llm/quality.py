@@ -5,7 +5,8 @@ On a bounded sample of labelled rows, shallow trees are grown over bootstrap sam
 conjunction of thresholds.  Logistic weights for the rules are fitted under an L1 penalty, which leaves few; the rules
 become Spark column expressions over the statistics, so that scoring is a projection.
 
-The sample is about ``MOST_ROWS`` labelled rows, chosen by a hash of the id.  A null or empty text has statistics 0 and a
+The sample is at most ``MOST_ROWS`` labels, those whose ids have the smallest hashes, and at most as many of the rows they
+join.  A null or empty text has statistics 0 and a
 score like any other.  Rows with equal ids are scored one by one; a label counts once for each pair of rows that it joins.
 Without labels the score is 0.5.
 """
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scriptorium.llm.langid import held_out
-from scriptorium.llm.shared import use_checkpoint_dir
+from scriptorium.llm.shared import use_checkpoint_dir, with_fields
 from scriptorium.llm.textblock import NOT_SPACE, Words, blocks
 
 MOST_ROWS = 6000
@@ -34,7 +35,7 @@ _CLASS[[*b"!"]] = 7
 _CLASS[[*b"|"]] = 8
 
 STATISTICS = ("chars", "words", "upper", "lower", "digits", "space", "wide", "plain", "bangs", "bars", "symbols", "word_length", "long_words", "distinct", "top_word", "same_next", "lines", "line_words", "distinct_lines", "ends")
-STATS_SCHEMA = "doc_id long, held_out boolean, " + ", ".join(f"s_{c} double" for c in STATISTICS)
+STATS_FIELDS = "held_out boolean, " + ", ".join(f"s_{c} double" for c in STATISTICS)
 
 
 def _per_row(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -92,7 +93,8 @@ def with_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *(pa.array(c) for c in made.T)], ["doc_id", "held_out", *(f"s_{c}" for c in STATISTICS)])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, STATS_SCHEMA)
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, with_fields(rows, ["doc_id"], STATS_FIELDS))
 
 
 Rule = tuple[tuple[int, bool, float], ...]
@@ -170,12 +172,14 @@ def compiled(model: tuple[float, list[tuple[float, Rule]]]) -> Column:
 
 def train(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", most_rows: int = MOST_ROWS) -> tuple[float, list]:
     """Fit on a bounded sample of the labelled rows that are not held out."""
-    own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label"))
+    own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("label"))
     n = own.count()
     if not n:
         return 0.0, []
-    own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, most_rows / n) * (1 << 30))
-    rows = F.broadcast(own).join(stats, "doc_id").select("label", *(f"s_{c}" for c in STATISTICS)).toPandas()
+    own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, 1.2 * most_rows / n) * (1 << 30))
+    own = own.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most_rows)
+    columns = [f"s_{c}" for c in STATISTICS]
+    rows = F.broadcast(own).join(stats, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", *columns).limit(most_rows).select("label", *columns).toPandas()
     if not len(rows):
         return 0.0, []
     values = rows.sort_values(list(rows.columns), kind="stable").to_numpy(float)

@@ -16,7 +16,7 @@ Large groups of near copies are first drawn together: each fingerprint emits its
 all that meet at a value are at most two bits apart, so one link to the smallest suffices for each.  The join over
 segments then skips pairs already connected, so it does not emit all pairs of a group.
 
-A null text counts as empty.  A component of null ids only has a null ``component_id``; rows with equal ids get equal rows.
+A null text counts as empty.  Ids may have any type that can be ordered.  A component of null ids only has a null ``component_id``; rows with equal ids get equal rows.
 Further columns are ignored by ``near_duplicates`` and kept by ``one_of_each``.
 """
 
@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from scriptorium.llm.components import connect
-from scriptorium.llm.shared import fresh, use_checkpoint_dir
+from scriptorium.llm.shared import fresh, use_checkpoint_dir, with_fields
 from scriptorium.llm.textblock import LOWER, NOT_SPACE, Words, blocks
 
 RADIUS = 4
@@ -123,8 +123,8 @@ def components(distinct: DataFrame) -> DataFrame:
 def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, mark (a hash of the text), fp, root (of the component) and component_id of every row."""
     use_checkpoint_dir(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    prints = rows.mapInArrow(_with_print, "doc_id long, mark long, fp long").checkpoint()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    prints = rows.mapInArrow(_with_print, with_fields(rows, ["doc_id"], "mark long, fp long")).checkpoint()
     own = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
     rooted = own.join(components(own.select("fp")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -136,19 +136,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return _members(docs, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def row_key(doc_id: Column, mark: Column, names: list[str]) -> list[Column]:
-    """Three columns that tell rows apart and join null-safely: whether the id is null, the id, the mark."""
-    return [doc_id.isNull().alias(names[0]), F.coalesce(doc_id, F.lit(0)).cast("long").alias(names[1]), mark.alias(names[2])]
+def same_rows(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """One each of the rows whose columns ``on``, an id that may be null and a mark, are among ``wanted``'s (id, mark)."""
+    a, b = fresh(rows.columns, "wanted_id", "wanted_mark")
+    wanted = wanted.toDF(a, b)
+    return rows.join(wanted, F.col(on[0]).eqNullSafe(F.col(a)) & (F.col(on[1]) == F.col(b)), "left_semi").dropDuplicates(on)
 
 
 def keep_one(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of each component; members: doc_id, mark, root and component_id of every row."""
     found = members.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = found.groupBy("root").agg(F.min("doc_id").alias("id"), F.min("mark").alias("m"))
-    on = fresh(docs.columns, "none", "id", "mark")
-    kept = kept.select(*row_key(F.col("id"), F.col("m"), on))
-    marked = docs.select("*", *row_key(F.col(id_col), F.xxhash64(text_col), on))
-    return marked.join(kept, on, "left_semi").dropDuplicates(on).select(*docs.columns)
+    on = fresh(docs.columns, "id", "mark")
+    marked = docs.select("*", F.col(id_col).alias(on[0]), F.xxhash64(text_col).alias(on[1]))
+    return same_rows(marked, kept.select("id", "m"), on).select(*docs.columns)
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ never cut, so the memory a task needs grows with the longest single text only.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,3 +166,9 @@ def each(column: pa.Array):
     """The Python values of a column, one at a time."""
     for x in column:
         yield x.as_py()
+
+
+def typed(batches: Iterator[pa.RecordBatch], column: str) -> tuple[pa.DataType, Iterator[pa.RecordBatch]]:
+    """The type of a column (null if there is no batch), and all the batches."""
+    first = next(batches, None)
+    return (pa.null(), iter(())) if first is None else (first.schema.field(column).type, itertools.chain([first], batches))

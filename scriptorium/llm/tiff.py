@@ -2,11 +2,14 @@
 
 The reader walks the chain of image directories in either byte order, decodes strips or tiles that are plain, PackBits, LZW
 or deflate, undoes predictors 2 (differences) and 3 (floating point), and gives one row per page; a directory that can't be
-read gives a row with ``error`` set and the others stay.  A chain that comes back to a directory ends there.
+read gives a row with ``error`` set and the others stay.  A chain that comes back to a directory ends there.  Counts and
+sizes are held against the file's length, and strips against the size they claim, before anything of that size is made, so a
+damaged file costs no more than its own length; strips that hold less than they should are an error.
 
 The writer stores a text's UTF-8 bytes, padded with spaces to whole rows of 64 RGB pixels (192 bytes; an empty or null text
 is one row), as 8-bit samples: at most ``PAGE_ROWS`` rows a page, in deflated strips of ``STRIP_ROWS`` rows with predictor
-2.  Everything is a function of the text alone.  All steps are narrow; a task holds one document's image at a time.
+2.  Everything is a function of the text alone.  All steps are narrow; a task holds one document's image at a time.  Ids may
+have any type; a null id is kept, and rows with equal ids are images of their own.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scriptorium.llm.textblock import each, packed
+from scriptorium.llm.shared import with_fields
+from scriptorium.llm.textblock import each, packed, typed
 
 ROW = 192
 PAGE_ROWS = 4096
@@ -156,7 +160,7 @@ def _pack(data: bytes, how: int) -> bytes:
 
 def _unpack(data: bytes, how: int, size: int) -> bytes:
     if how in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompressobj().decompress(data, size)
+        return zlib.decompressobj().decompress(data, max(1, size))
     if how not in (NONE, LZW, PACKBITS):
         raise ValueError(f"compression {how}")
     return {NONE: lambda: data[:size], LZW: lambda: lzw_unpack(data, size), PACKBITS: lambda: unpack_bits(data, size)}[how]()
@@ -224,24 +228,28 @@ def _page(content: bytes, order: str, tags: dict[int, list]) -> Page:
     kind = np.dtype(f"{order}u{max(1, bits // 8)}")
     tiled = 324 in tags
     across, down = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
-    places, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+    places, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags.get(279, [len(content)] * (len(tags[273]) == 1)))
     planes, depth = (samples, 1) if planar == 2 else (1, samples)
-    out = np.zeros((height, width, samples), kind.newbyteorder("="))
-    k = 0
-    for plane in range(planes):
-        for y in range(0, height, down):
-            for x in range(0, width, across):
-                rows = down if tiled else min(down, height - y)
-                line = (across * depth * bits + 7) // 8
-                raw = _unpack(content[places[k] : places[k] + sizes[k]], how, rows * line)
-                raw = np.frombuffer(raw.ljust(rows * line, b"\0"), np.uint8).reshape(rows, line)
-                if bits == 1:
-                    part = np.unpackbits(raw, axis=1)[:, : across * depth].reshape(rows, across, depth)
-                else:
-                    part = _undo(raw.reshape(-1).view(kind).reshape(rows, across, depth), predictor, order, bits)
-                part = part[: height - y, : width - x]
-                out[y : y + part.shape[0], x : x + part.shape[1], plane : plane + depth] = part
-                k += 1
+    if min(width, height, samples, across, down) < 1 or len(places) != planes * -(-height // down) * -(-width // across) or len(sizes) != len(places):
+        raise ValueError("the strips or tiles don't make up the page")
+    line, parts = (across * depth * bits + 7) // 8, []
+    for k, (place, size) in enumerate(zip(places, sizes, strict=True)):
+        y = k // -(-width // across) % -(-height // down) * down
+        rows = down if tiled else min(down, height - y)
+        raw = _unpack(content[place : place + size], how, rows * line)
+        if len(raw) < rows * line:
+            raise ValueError("a strip or tile is cut off")
+        parts.append((y, rows, raw))
+    out = np.zeros((height, width, samples), kind.newbyteorder("="))  # no larger than what was decoded
+    for k, (y, rows, raw) in enumerate(parts):
+        plane, x = k // (len(parts) // planes), k % -(-width // across) * across
+        raw = np.frombuffer(raw, np.uint8).reshape(rows, line)
+        if bits == 1:
+            part = np.unpackbits(raw, axis=1)[:, : across * depth].reshape(rows, across, depth)
+        else:
+            part = _undo(raw.reshape(-1).view(kind).reshape(rows, across, depth), predictor, order, bits)
+        part = part[: height - y, : width - x]
+        out[y : y + part.shape[0], x : x + part.shape[1], plane : plane + depth] = part
     return Page(width, height, samples, bits, how, predictor, tiled, out.astype(out.dtype.newbyteorder("<")).tobytes())
 
 
@@ -251,7 +259,7 @@ def pages(content: bytes) -> Iterator[Page | str]:
     if order is None or len(content) < 8 or struct.unpack(f"{order}H", content[2:4])[0] != 42:
         yield "not a TIFF"
         return
-    at, seen = struct.unpack(f"{order}I", content[4:8])[0], set()
+    at, seen, left = struct.unpack(f"{order}I", content[4:8])[0], set(), 4 * len(content)
     while at and at not in seen:
         seen.add(at)
         try:
@@ -260,42 +268,48 @@ def pages(content: bytes) -> Iterator[Page | str]:
             for i in range(n):
                 tag, kind, count = struct.unpack_from(f"{order}HHI", content, at + 2 + 12 * i)
                 if kind in _TYPES:
-                    size = struct.calcsize(f"={_TYPES[kind]}") * count
+                    code, size = _TYPES[kind], struct.calcsize(f"={_TYPES[kind]}") * count
                     where = at + 10 + 12 * i if size <= 4 else struct.unpack_from(f"{order}I", content, at + 10 + 12 * i)[0]
-                    tags[tag] = list(struct.unpack_from(f"{order}{_TYPES[kind] * count}", content, where))
+                    left -= 12 + size
+                    if where + size > len(content) or left < 0:
+                        raise struct.error("more values than the file holds")
+                    tags[tag] = list(struct.unpack_from(f"{order}{len(code) * count}{code[0]}", content, where))
             following = struct.unpack_from(f"{order}I", content, at + 2 + 12 * n)[0]
         except struct.error:
             yield "the directory is cut off"
             return
         try:
             yield _page(content, order, tags)
-        except (ValueError, KeyError, IndexError, TypeError, zlib.error) as e:
+        except (ValueError, KeyError, IndexError, TypeError, OverflowError, zlib.error) as e:
             yield f"{type(e).__name__}: {e}"
         at = following
 
 
-_MEDIA = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-_PAGE = pa.schema([
-    ("id", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("page", pa.int32()), ("last", pa.bool_()), ("width", pa.int32()), ("height", pa.int32()),
+_MEDIA = [("n_bytes", pa.int64()), ("media", pa.binary())]
+_PAGE = [
+    ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("page", pa.int32()), ("last", pa.bool_()), ("width", pa.int32()), ("height", pa.int32()),
     ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("data", pa.binary()), ("error", pa.string()),
-])
-PAGE_SCHEMA = "id long, n_bytes long, media_bytes long, media_sha256 string, page int, last boolean, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, data binary, error string"
-_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+]
+PAGE_FIELDS = "n_bytes long, media_bytes long, media_sha256 string, page int, last boolean, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, data binary, error string"
+_DIGEST = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 
 
 def write_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): the text of each row as a TIFF."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, batches = typed(batches, "id")
+
         def rows():
             for b in batches:
                 for key, text in zip(each(b.column("id")), each(b.column("text")), strict=True):
                     raw = (text or "").encode()
                     yield key, len(raw), write(raw + b" " * (-len(raw) % ROW if raw else ROW))
 
-        yield from packed(rows(), _MEDIA, lambda r: len(r[2]))
+        yield from packed(rows(), pa.schema([("id", kind), *_MEDIA]), lambda r: len(r[2]))
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_bytes long, media binary")
+    table = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return table.mapInArrow(run, with_fields(table, ["id"], "n_bytes long, media binary"))
 
 
 def read_pages(media: DataFrame, *, id_col: str = "id", media_col: str = "media") -> DataFrame:
@@ -303,6 +317,8 @@ def read_pages(media: DataFrame, *, id_col: str = "id", media_col: str = "media"
     n_bytes = F.col("n_bytes") if "n_bytes" in media.columns else F.lit(None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, batches = typed(batches, "id")
+
         def rows():
             for b in batches:
                 for key, n, content in zip(*(each(b.column(c)) for c in ("id", "n_bytes", "media")), strict=True):
@@ -316,9 +332,10 @@ def read_pages(media: DataFrame, *, id_col: str = "id", media_col: str = "media"
                         held = (*(None,) * 8, page) if isinstance(page, str) else (page.width, page.height, page.samples, page.bits, page.compression, page.predictor, page.tiled, page.data, None)
                     yield (*of, k, True, *(held or (*(None,) * 8, "no pages")))
 
-        yield from packed(rows(), _PAGE, lambda r: len(r[13] or b""))
+        yield from packed(rows(), pa.schema([("id", kind), *_PAGE]), lambda r: len(r[13] or b""))
 
-    return media.select(F.col(id_col).cast("long").alias("id"), n_bytes.cast("long").alias("n_bytes"), F.col(media_col).alias("media")).mapInArrow(run, PAGE_SCHEMA)
+    table = media.select(F.col(id_col).alias("id"), n_bytes.cast("long").alias("n_bytes"), F.col(media_col).alias("media"))
+    return table.mapInArrow(run, with_fields(table, ["id"], PAGE_FIELDS))
 
 
 def image_digests(page_rows: DataFrame) -> DataFrame:
@@ -326,6 +343,8 @@ def image_digests(page_rows: DataFrame) -> DataFrame:
     length and digest of the samples, CRC-32 of their last 16 bytes, and a feature of pages, size, channel sums and edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, batches = typed(batches, "id")
+
         def rows():
             total = None
             for b in batches:
@@ -347,6 +366,7 @@ def image_digests(page_rows: DataFrame) -> DataFrame:
                         yield key, n, length, total.hexdigest(), zlib.crc32(tail), size, sha, f"pages={n_pages};size={width}x{tall};sums={','.join(map(str, sums.tolist()))};edges={edges}"
                         total = None
 
-        yield from packed(rows(), _DIGEST, lambda r: 300)
+        yield from packed(rows(), pa.schema([("doc_id", kind), *_DIGEST]), lambda r: 300)
 
-    return page_rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    fields = with_fields(page_rows.select(F.col("id").alias("doc_id")), ["doc_id"], "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return page_rows.mapInArrow(run, fields)

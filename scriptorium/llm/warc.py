@@ -86,7 +86,7 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """(archive, content) rows that hold a record for each row of ``pages``."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.coalesce("payload", F.lit(""))))
     small = F.octet_length(F.coalesce("payload", F.lit(""))) < min_bytes
     best = rows.groupBy("digest").agg(F.max("id").alias("best"))

@@ -87,3 +87,85 @@ def test_tables(spark, edge, empty):
     assert got == Counter(want)
     assert T.image_digests(T.read_pages(T.write_media(empty))).count() == 0
     assert T.read_pages(spark.createDataFrame([(1, bytearray(b"no")), (2, None)], "id long, media binary")).first().error == "not a TIFF"
+
+
+def test_damaged_files_give_rows_with_errors():
+    """Bytes changed, cut off, or counts blown up: always pages or errors, and never more memory than the file is worth."""
+    import resource
+
+    r = random.Random(12)
+    sound = [T.write(os.urandom(T.ROW * 40), compression=how, tile=tile, page_rows=16, strip_rows=8) for how in (T.NONE, T.LZW, T.DEFLATE, T.PACKBITS) for tile in (0, 16)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    wrong = 0
+    for i in range(2400):
+        data = bytearray(sound[i % len(sound)])
+        at = struct.unpack_from("<I", data, 4)[0]
+        for _ in range(r.randint(1, 4)):
+            where = at + r.randrange(120) if r.random() < 0.8 else r.randrange(len(data))
+            if r.random() < 0.5:
+                data[min(where, len(data) - 1)] = r.randrange(256)
+            elif where + 4 <= len(data):
+                struct.pack_into("<I", data, where, r.choice((2**31, 2**32 - 1, 0, 1, 2**16, at)))
+        data = data[: r.randrange(len(data))] if i % 5 == 0 else data
+        wrong += any(isinstance(p, str) for p in T.pages(bytes(data)))
+    assert wrong > 1000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+
+
+def test_huge_claims():
+    plain = [(256, 4, [4]), (257, 4, [2**31]), (258, 3, [8]), (259, 3, [1]), (273, 4, [0]), (277, 3, [1]), (278, 4, [2**31]), (279, 4, [12])]
+    (page,) = T.pages(image("<", plain, bytes(12)))
+    assert page == "ValueError: a strip or tile is cut off"
+    assert list(T.pages(image("<", [(256, 4, [2**32 - 1]), *plain[1:]], bytes(12)))) == [page]
+    blown = bytearray(image("<", plain, bytes(12)))
+    struct.pack_into("<I", blown, 8 + 2 + 4, 2**32 - 1)  # the first field's count
+    assert list(T.pages(bytes(blown))) == ["the directory is cut off"]
+
+
+@pytest.mark.parametrize("how", ["", "PackBits", "LZW", "ZLib", "Deflate"])
+def test_files_of_another_writer(spark, how):
+    """Files that the Java runtime's own TIFF writer makes."""
+    jvm = spark._jvm
+    jvm.java.lang.System.setProperty("java.awt.headless", "true")
+    r = random.Random(3)
+    for kind, samples in ((5, 3), (10, 1)):  # BGR and grey
+        picture = jvm.java.awt.image.BufferedImage(37, 23, kind)
+        want = np.zeros((23, 37, samples), np.uint8)
+        for y in range(23):
+            for x in range(37):
+                want[y, x] = [r.choice((0, 0, 255, r.randrange(256))) for _ in range(samples)]
+                for s in range(samples):
+                    picture.getRaster().setSample(x, y, s, int(want[y, x, s]))
+        writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("tiff").next()
+        param = writer.getDefaultWriteParam()
+        if how:
+            param.setCompressionMode(2)
+            param.setCompressionType(how)
+        out = jvm.java.io.ByteArrayOutputStream()
+        stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+        writer.setOutput(stream)
+        writer.write(None, jvm.javax.imageio.IIOImage(picture, None, None), param)
+        stream.flush()
+        (page,) = T.pages(bytes(out.toByteArray()))
+        assert not isinstance(page, str), page
+        assert (page.width, page.height, page.samples) == (37, 23, samples)
+        assert page.data == want.tobytes()
+
+
+def test_digests_by_hand(spark):
+    """Every column of the digests, from the stored bytes alone, and ids of any type."""
+    texts = {"a-1": "hello", "a-2": None, "a-3": "ü" * 500, "a-4": "hello", None: "x" * 192}
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    media = T.write_media(df)
+    stored = {r.id: bytes(r.media) for r in media.collect()}
+    rows = {r.doc_id: r for r in T.image_digests(T.read_pages(media)).collect()}
+    assert stored["a-1"] == stored["a-4"] and rows["a-1"][1:] == rows["a-4"][1:] and set(rows) == set(texts)
+    for key, text in texts.items():
+        raw = (text or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        flat = np.frombuffer(payload, np.uint8)
+        sums = flat.reshape(-1, 3).sum(axis=0, dtype=int).tolist()
+        row = rows[key]
+        assert (row.n_bytes, row.payload_bytes, row.payload_sha256, row.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (row.media_bytes, row.media_sha256) == (len(stored[key]), hashlib.sha256(stored[key]).hexdigest())
+        assert row.feature == f"pages=1;size=64x{len(payload) // 192};sums={sums[0]},{sums[1]},{sums[2]};edges={sum(a != b for a, b in zip(payload, payload[1:], strict=False))}"
