@@ -12,9 +12,9 @@ Hamming ball about its own segment, and the join keeps a pair only if the whole
 can find it.  ``plan`` chooses the segments from the number of distinct fingerprints, to balance probes against chance
 matches; every choice finds the same links.
 
-Large groups of near copies are first drawn together: each fingerprint emits itself and its 64 neighbours at one bit, and
-all that meet at a value are at most two bits apart, so one link to the smallest suffices for each.  The join over
-segments then skips pairs already connected, so it does not emit all pairs of a group.
+Large groups of near copies are first drawn together: each fingerprint in a crowded segment emits itself and its 64
+neighbours at one bit, and all that meet at a value are at most two bits apart, so one link to the smallest suffices for
+each.  The join over segments then skips pairs already connected, so it does not emit all pairs of a group.
 
 A null text counts as empty.  Ids may have any type that can be ordered.  A component of null ids only has a null ``component_id``; rows with equal ids get equal rows.
 Further columns are ignored by ``near_duplicates`` and kept by ``one_of_each``.
@@ -36,6 +36,9 @@ from scriptorium.llm.textblock import LOWER, NOT_SPACE, Words, blocks
 
 RADIUS = 4
 SHINGLE = 4
+#: A segment's value is crowded if so many fingerprints more than twice the average have it.  A group's members meet the least
+#: of them in so many tasks.
+CROWD, SALTS = 32, 16
 #: Segments as (bits, radius), low bits first.  In each row the radii plus one add up to more than RADIUS.
 PLANS = (((19, 0), (22, 1), (23, 1)), ((29, 1), (35, 2)))
 
@@ -85,23 +88,38 @@ def _ball(seg: str, bits: int, r: int) -> str:
     return f"concat({', '.join(parts)})"
 
 
-def _close(distinct: DataFrame) -> DataFrame:
+def _tables(n: int) -> tuple[list[str], list[str], list[tuple[int, int]]]:
+    """SQL, for each segment, for its value and for the array of values to probe, both with the segment's number above; and
+    the segments' masks and radii."""
+    low, tables, probes, masks = 0, [], [], []
+    for s, (bits, r) in enumerate(plan(n)):
+        seg = f"(shiftrightunsigned(fp, {low}) & {(1 << bits) - 1}L)"
+        tag = f"{s << 48}L"
+        tables.append(f"{seg} | {tag}")
+        probes.append(f"transform({_ball(seg, bits, r)}, x -> x | {tag})")
+        masks.append((((1 << bits) - 1) << low, r))
+        low += bits
+    return tables, probes, masks
+
+
+def _crowded(distinct: DataFrame, n: int) -> DataFrame:
+    """The fingerprints that share a segment's value with many others."""
+    most = ", ".join(f"{CROWD + (2 * n >> bits)}" for bits, _ in plan(n))
+    at = distinct.select("fp", F.expr(f"explode(array({', '.join(_tables(n)[0])}))").alias("at"))
+    crowd = at.groupBy("at").agg(F.count("*").alias("m")).where(f"m > element_at(array({most}), cast(shiftright(at, 48) as int) + 1)")
+    return at.join(crowd, "at", "left_semi").select("fp").distinct()
+
+
+def _close(crowded: DataFrame) -> DataFrame:
     """Links a > b that connect all fingerprints at most two bits apart: those that meet at a value go to the least of them."""
-    near = distinct.select("fp", F.explode(F.expr(_ball("fp", 64, 1))).alias("at")).repartition("at")
+    near = crowded.select("fp", F.explode(F.expr(_ball("fp", 64, 1))).alias("at")).repartition("at")
     least = near.groupBy("at").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").drop("top")
     return near.join(least, "at").where("fp > b").select(F.col("fp").alias("a"), "b")
 
 
 def _links(labelled: DataFrame, n: int) -> DataFrame:
     """Links between fingerprints of different groups; labelled: fp, grp."""
-    segments, low, tables, probes, masks = plan(n), 0, [], [], []
-    for s, (bits, r) in enumerate(segments):
-        seg = f"(shiftrightunsigned(fp, {low}) & {(1 << bits) - 1}L)"
-        tag = f"{s << 48}L"
-        tables.append(f"{seg} | {tag}")
-        probes.append(f"transform({_ball(seg, bits, r)}, x -> x | {tag})")
-        masks.append((((1 << bits) - 1) << low, r))
-        low += bits
+    tables, probes, masks = _tables(n)
     table = labelled.select(F.expr(f"explode(array({', '.join(tables)}))").alias("at"), F.col("fp").alias("b"), F.col("grp").alias("grp_b"))
     probe = labelled.select(F.expr(f"explode(concat({', '.join(probes)}))").alias("at"), F.col("fp").alias("a"), F.col("grp").alias("grp_a"))
     signed = lambda m: m - (1 << 64) if m >> 63 else m
@@ -114,7 +132,7 @@ def components(distinct: DataFrame) -> DataFrame:
     """(fp, root) for the fingerprints that are linked to another; root is the component's smallest value as a long.
     distinct: fp, each once, cheap to read again (a checkpoint)."""
     n = distinct.count()
-    close = connect(_close(distinct))
+    close = connect(_close(_crowded(distinct, n)))
     grouped = distinct.join(close.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("grp"))
     own = close.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return connect(_links(grouped, n).union(own)).withColumnRenamed("node", "fp")
@@ -126,9 +144,17 @@ def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     prints = rows.mapInArrow(_with_print, with_fields(rows, ["doc_id"], "mark long, fp long")).checkpoint()
     own = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
-    rooted = own.join(components(own.select("fp")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(best, "root").select("fp", "root", "component_id"), "fp")
+    return prints.join(with_component(own, components(own.select("fp")), "fp"), "fp")
+
+
+def with_component(own: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+    """(key, root, component_id) of every row of ``own``, key and least; linked: (key, root) of the keys that have a link.  The
+    members of a large group meet their component's least in SALTS tasks."""
+    linked = own.join(linked, key).select(key, "root", "least")
+    best = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = linked.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(best, ["root", "salt"]).select(key, "root", "component_id")
+    alone = F.col("root").isNull()
+    return own.join(found, key, "left").select(key, F.coalesce("root", key).alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
