@@ -70,6 +70,9 @@ ERROR_BUDGET = {"en": 0.05, "ru": 0.05, "el": 0.05, "hy": 0.05, "ka": 0.05, "he"
 # White space as str.strip() and str.isspace() have it, for a class in a regular expression.
 SPACES = "\t-\r\x1c- \x85\xa0  -     　"
 
+# Result codes; all is well, a file can't be loaded, a page can't be processed, no memory, nothing to read.
+OK, NOT_LOADED, NOT_PROCESSED, NO_MEMORY, NOTHING = 0, -1, -2, -3, -4
+
 CODES = tuple(x[0] for x in LANGUAGES)
 NAMES = tuple(x[1] for x in LANGUAGES)
 PACK_OF = {x[0]: x[6] for x in LANGUAGES}

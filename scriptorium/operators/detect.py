@@ -13,21 +13,23 @@ from scriptorium.operators import ocr, text as T
 
 
 def _result(df: DataFrame, source: Column, instead: Column, ocr_text: Column) -> DataFrame:
-    """image_id, text, languages, mean_confidence, glyph_count, ocr_text, identification_source, fallback_used, error."""
-    chosen = df.withColumns({"fallback_used": instead, "identification_source": source, "__ocr": ocr_text})
+    """image_id, text, languages, mean_confidence, glyph_count, ocr_text, identification_source, fallback_used, error, code."""
+    chosen = df.withColumns({"fallback_used": instead, "identification_source": source, "kept_text": ocr_text})
     chosen = chosen.withColumn("text", F.when(F.col("fallback_used"), F.col("hint")).otherwise(F.col("ocr_text")))
-    return T.detect_languages(chosen).select("image_id", "text", "languages", "mean_confidence", "glyph_count", F.col("__ocr").alias("ocr_text"), "identification_source", "fallback_used", "error")
+    return T.detect_languages(chosen).select("image_id", "text", "languages", "mean_confidence", "glyph_count", F.col("kept_text").alias("ocr_text"), "identification_source", "fallback_used", "error", "code")
 
 
-def detect_images(images: DataFrame, packs: list[ocr.Pack], hint_col: str | None = None, route_by_hint: bool = True, **options) -> DataFrame:
+def detect_images(images: DataFrame, packs: list[ocr.Pack], hint_col: str | None = None, route_by_hint: bool = True, hybrid: bool = True, **options) -> DataFrame:
     """Results for grey images.  A hint's letters choose the pack (``route_by_hint``) and stand in for a text that can't be
-    read: then the source is unicode, else hybrid; without a hint that has a letter it is ocr."""
+    read: then the source is unicode, else hybrid; without a hint that has a letter it is ocr.  Samples in memory, as against
+    files, go without ``route_by_hint`` and ``hybrid``: what is read is ocr whatever the hint."""
     hint = T.stripped(F.col(hint_col)) if hint_col else F.lit(None).cast("string")
     rows = images.withColumn("hint", hint).withColumn("hint_profile", T.profile("hint"))
     if route_by_hint and hint_col:
         rows = rows.withColumn("pack_hint", F.col("hint_profile.pack_id"))
     read = ocr.read_text(rows, packs, keep=("hint", "hint_profile"), **options)
     source = T.identification(F.col("ocr_text"), F.col("hint"), F.col("hint_profile"))
+    source = source if hybrid else F.when(source == "unicode", source).otherwise("ocr")
     return _result(read, source, source == "unicode", F.when(source == "unicode", "").otherwise(F.col("ocr_text")))
 
 

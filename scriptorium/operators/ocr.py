@@ -122,14 +122,26 @@ class Recogniser:
     def __init__(self, packs: list[Pack], mixed: bool = True, reverse_rtl: bool = False, deskew: bool = False):
         self.packs = {p.id: p for p in packs}
         self.mixed, self.reverse_rtl, self.deskew = mixed, reverse_rtl, deskew
+        self.met: dict = {}
 
     def _prepared(self, glyphs: list[pixels.Glyph], made: dict, p: Pack) -> tuple[np.ndarray, np.ndarray]:
         key = (p.grid_w, p.grid_h)
         if key not in made:
             grids = [pixels.on_grid(g, *key) for g in glyphs]
-            made[key] = (np.array([g.ravel() for g in grids], np.float32).reshape(len(grids), -1), np.array([pixels.features(g) for g in grids], np.float64).reshape(len(grids), 4))
+            made[key] = (np.array([g.ravel() for g in grids], np.float32).reshape(len(grids), -1), self._features(grids))
         return made[key]
 
+    def _features(self, grids: list[np.ndarray]) -> np.ndarray:
+        """Features of glyphs; those of a shape that was met before are looked up."""
+        names = [(g.shape, g.tobytes()) for g in grids]
+        new = {n: g for n, g in zip(names, grids, strict=True) if n not in self.met}
+        if new:
+            if len(self.met) > 50_000:
+                self.met.clear()
+                new = dict(zip(names, grids, strict=True))
+            self.met.update(zip(new, pixels.features_of(list(new.values())), strict=True))
+        return np.array([self.met[n] for n in names], np.float64).reshape(len(grids), 4)
+
     def scores(self, glyphs: list[pixels.Glyph]) -> dict[str, np.ndarray]:
         """The best score of each glyph in each pack."""
         made: dict = {}
@@ -236,8 +248,8 @@ def spelt(glyphs: list[dict]) -> str:
 
 _GLYPH = pa.schema([("image_id", pa.int64()), *((c, pa.int32()) for c in ("line_no", "glyph_no", "x", "y", "w", "h", "page_x", "page_y", "codepoint")), *((c, pa.float64()) for c in ("raw", "confidence", "ncc_score", "struct_score")), ("pack_id", pa.string())])
 GLYPH_SCHEMA = "image_id long, line_no int, glyph_no int, x int, y int, w int, h int, page_x int, page_y int, codepoint int, raw double, confidence double, ncc_score double, struct_score double, pack_id string"
-_PAGE = pa.schema([("image_id", pa.int64()), ("ocr_text", pa.string()), ("mean_confidence", pa.float64()), ("glyph_count", pa.int32()), ("error", pa.string())])
-PAGE_SCHEMA = "image_id long, ocr_text string, mean_confidence double, glyph_count int, error string"
+_PAGE = pa.schema([("image_id", pa.int64()), ("ocr_text", pa.string()), ("mean_confidence", pa.float64()), ("glyph_count", pa.int32()), ("error", pa.string()), ("code", pa.int32())])
+PAGE_SCHEMA = "image_id long, ocr_text string, mean_confidence double, glyph_count int, error string, code int"
 
 
 def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray | str, str | None]]:
@@ -272,24 +284,28 @@ def read_glyphs(images: DataFrame, packs: list[Pack], **options) -> DataFrame:
 
 
 def read_text(images: DataFrame, packs: list[Pack], keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """image_id, ocr_text, mean_confidence, glyph_count, error: one row per image, also of one that can't be read; with the
-    columns of ``keep`` carried along."""
+    """image_id, ocr_text, mean_confidence, glyph_count, error, code: one row per image, also of one that can't be read; with
+    the columns of ``keep`` carried along.  What an image source says (``error``, ``code``) is passed on."""
     shared = images.sparkSession.sparkContext.broadcast(Recogniser(packs, **options))
     hint = F.col("pack_hint") if "pack_hint" in images.columns else F.lit(None)
-    rows = images.select(*keep, F.col("image_id").cast("long").alias("image_id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "pixels", hint.cast("string").alias("pack_hint"))
+    said = [F.col(c).alias(f"source_{c}") if c in images.columns else F.lit(None).cast(kind).alias(f"source_{c}") for c, kind in (("error", "string"), ("code", "int"))]
+    rows = images.select(*keep, *said, F.col("image_id").cast("long").alias("image_id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "pixels", hint.cast("string").alias("pack_hint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part, made = b.slice(lo, 256), []
-                for key, image, pack_hint in _images(iter([part])):
-                    row = {"image_id": key, "ocr_text": "", "mean_confidence": 0.0, "glyph_count": 0, "error": image if isinstance(image, str) else None}
-                    if row["error"] is None:
+                said = zip(part.column("source_error").to_pylist(), part.column("source_code").to_pylist(), strict=True)
+                for (key, image, pack_hint), (error, code) in zip(_images(iter([part])), said, strict=True):
+                    row = {"image_id": key, "ocr_text": "", "mean_confidence": 0.0, "glyph_count": 0, "error": None, "code": registry.OK}
+                    if isinstance(image, str):
+                        row |= {"error": error or image, "code": registry.NOTHING if code is None else code}
+                    else:
                         try:
                             glyphs = shared.value.page(image, pack_hint)
                             row |= {"ocr_text": spelt(glyphs), "glyph_count": len(glyphs), "mean_confidence": float(np.mean([g["confidence"] for g in glyphs])) if glyphs else 0.0}
                         except LookupError as e:
-                            row["error"] = str(e)
+                            row |= {"error": str(e), "code": registry.NOT_PROCESSED}
                     made.append(row)
                 out = pa.RecordBatch.from_pylist(made, _PAGE)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *out.columns], [*keep, *out.schema.names])

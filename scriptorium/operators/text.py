@@ -2,7 +2,7 @@
 
 ``profile`` is one pass over the text: an Arrow function looks every code point up in tables built by rule from the Unicode
 database and counts by row.  What follows (percentages, ranks, routing) are column expressions.  ``counts_by_patterns`` is
-the same count by regular expressions alone, and ``counts_by_join`` by a broadcast range join; all three agree.
+the same count by built-in functions alone, and ``counts_by_join`` by a broadcast range join; all three agree.
 
 All work on batch and streaming DataFrames alike; only the range join shuffles.  A null text has no letters and is blank.
 """
@@ -15,10 +15,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scriptorium.functions import registry
-from scriptorium.functions.arrowtext import code_points
+from scriptorium.functions.arrowtext import code_points, utf8
+from scriptorium.functions.names import fresh
 
 PROFILE = "struct<counts:array<int>,has_letter:boolean,ascii_ocr:boolean,native_ocr:boolean,pack_id:string>"
 _LETTER, _SPACE, _NOT_ASCII, _FOREIGN = 1, 2, 4, 8
@@ -108,14 +110,16 @@ def ranked(counts: Column) -> Column:
 
 def detect_languages(df: DataFrame, text_col: str = "text", out: str = "languages") -> DataFrame:
     """Add the ranked languages of a text."""
-    return df.withColumn("__p", profile(text_col)).withColumn(out, ranked(F.col("__p.counts"))).drop("__p")
+    (p,) = fresh([*df.columns, out], "profile")
+    return df.withColumn(p, profile(text_col)).withColumn(out, ranked(F.col(p)["counts"])).drop(p)
 
 
 def detect_lines(df: DataFrame, lines_col: str, text_col: str = "text", out: str = "languages") -> DataFrame:
     """The same over an array of lines, which override the text unless there are none."""
     lines = F.filter(F.col(lines_col), lambda x: x.rlike(f"[^{registry.SPACES}]"))
     joined = F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(F.when(F.size(F.coalesce(lines_col, F.array())) > 0, F.lit("")).otherwise(F.col(text_col)))
-    return detect_languages(df.withColumn("__t", joined), "__t", out).drop("__t")
+    (whole,) = fresh([*df.columns, out], "lines_text")
+    return detect_languages(df.withColumn(whole, joined), whole, out).drop(whole)
 
 
 def letter_counts(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -133,33 +137,41 @@ def letter_class(code: str) -> str:
     return "".join(f"\\x{{{own[a]:X}}}-\\x{{{own[b]:X}}}" for a, b in zip(np.append(0, cuts + 1), np.append(cuts, len(own) - 1), strict=True))
 
 
-#: Letters of the languages' ranges that Java's tables lack.
-_NEWER = {"ar": "\\x{8B5}\\x{8C8}\\x{8C9}", "te": "\\x{C5D}", "kn": "\\x{CDD}"}
+@lru_cache(1)
+def _signs() -> tuple[str, str]:
+    """For ``translate``: every letter that counts becomes its language's sign, U+0001 on; other ASCII characters go."""
+    own = tables()[0]
+    points = np.flatnonzero(own)
+    rest = [cp for cp in range(1, 128) if not own[cp]]
+    return "".join(map(chr, points)) + "".join(map(chr, rest)), "".join(chr(own[cp]) for cp in points)
 
 
 def counts_by_patterns(text: Column | str) -> Column:
-    """The counts of ``profile`` with built-in functions only.  English is counted on the text, the others on what is left
-    without its Latin part, which is empty for most texts in Latin script."""
+    """The counts of ``profile`` with built-in functions only: each letter is replaced by its language's sign in one pass, then
+    signs are counted by what is gone without them; those of English, the most frequent, go first."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    rest = F.regexp_replace(text, "[\\x{0}-\\x{24F}]+", "")
-    span = lambda ranges: "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges)
-    out = []
-    for code, _, _, _, ranges, _, _ in registry.LANGUAGES:
-        own = f"[\\p{{L}}&&[{span(ranges)}]]"
-        if code == "en":
-            out.append(F.regexp_count(text, F.lit(f"[{own}{span(registry.fallback())}]")))
-        else:
-            out.append(F.when(rest != "", F.regexp_count(rest, F.lit(f"[{own}{_NEWER.get(code, '')}]"))).otherwise(0))
-    return F.array(*out)
+    signs = F.translate(text, *_signs())
+    without = lambda t, k: F.replace(t, F.lit(chr(k + 1)), F.lit(""))
+
+    def count(pair: Column) -> Column:
+        whole, rest = pair["whole"], pair["rest"]
+        others = [F.when(rest != "", F.length(rest) - F.length(without(rest, k))).otherwise(0) for k in range(1, len(registry.CODES))]
+        return F.array(F.length(whole) - F.length(rest), *others)
+
+    bound = F.transform(F.array(signs), lambda t: F.struct(t.alias("whole"), without(t, 0).alias("rest")))
+    return F.element_at(F.transform(bound, count), 1)
 
 
 def counts_by_join(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """keys, code, n by a broadcast range join of the distinct code points of each row with the ranges (a fixed 33 and the
-    fallback's); characters are counted before the join, and once more after it, map side first."""
+    """keys, code, n by a broadcast range join of the distinct letters of each row with the ranges (a fixed 33 and the
+    fallback's).  A letter is counted within its row, by what is gone without it, so a row is sent on once for each distinct
+    letter; counts are added up after the join, map side first."""
     spark = df.sparkSession
     letters = "".join(letter_class(c) for c in registry.CODES)
-    chars = df.select(*keys, F.explode(F.split(F.coalesce(text_col, F.lit("")), "")).alias("ch")).where(F.col("ch").rlike(f"^[{letters}]"))
-    points = chars.groupBy(*keys, "ch").agg(F.count("*").alias("m")).withColumn("cp", F.ascii("ch"))
+    text = F.coalesce(text_col, F.lit(""))
+    chars = F.filter(F.array_distinct(F.split(text, "")), lambda c: c.rlike(f"^[{letters}]"))
+    counted = F.transform(chars, lambda c: F.struct(F.ascii(c).alias("cp"), (F.length(text) - F.length(F.replace(text, c, F.lit("")))).alias("m")))
+    points = df.select(*keys, F.inline(counted))
     extra = spark.createDataFrame([("en", lo, hi) for lo, hi in registry.fallback()], "code string, start int, end int")
     dim = registry.ranges(spark).select("code", "start", "end").union(extra)
     hit = points.join(F.broadcast(dim), (F.col("cp") >= F.col("start")) & (F.col("cp") <= F.col("end")))
@@ -192,7 +204,13 @@ def folded(text: Column | str) -> Column:
     """For comparing recognised text: NFC, without white space, case folded."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else "".join(unicodedata.normalize("NFC", t).split()).casefold() for t in texts.to_pylist()], pa.string())
+        raw, at = utf8(texts)
+        wide = np.diff(np.concatenate([[0], np.cumsum(raw[at[0] : at[-1]] >= 128)])[at - at[0]]) > 0
+        plain = pc.ascii_lower(pc.replace_substring_regex(texts, "[\\t-\\r\\x1c- ]+", ""))
+        if not wide.any():
+            return plain
+        found = [None if t is None else "".join(unicodedata.normalize("NFC", t).split()).casefold() for t in texts.filter(pa.array(wide)).to_pylist()]
+        return pc.replace_with_mask(plain, pa.array(wide), pa.array(found, plain.type))
 
     return F.arrow_udf(run, "string")(F.col(text) if isinstance(text, str) else text)
 
@@ -234,9 +252,10 @@ def identification(ocr_text: Column, hint: Column, hint_profile: Column) -> Colu
 
 def result(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add a ``result`` struct as text detection gives it: text, languages, mean_confidence, glyph_count, ocr_text, source."""
-    found = detect_languages(df, text_col, "__l")
-    whole = F.struct(F.col(text_col).alias("text"), F.col("__l").alias("languages"), F.lit(0.0).alias("mean_confidence"), F.lit(0).alias("glyph_count"), F.lit("").alias("ocr_text"), F.lit("unicode").alias("identification_source"))
-    return found.withColumn("result", whole).drop("__l")
+    (own,) = fresh([*df.columns, "result"], "own_languages")
+    found = detect_languages(df, text_col, own)
+    whole = F.struct(F.col(text_col).alias("text"), F.col(own).alias("languages"), F.lit(0.0).alias("mean_confidence"), F.lit(0).alias("glyph_count"), F.lit("").alias("ocr_text"), F.lit("unicode").alias("identification_source"))
+    return found.withColumn("result", whole).drop(own)
 
 
 def error_rate(df: DataFrame, groups: list[str], expected: str, got: str) -> DataFrame:

@@ -105,10 +105,11 @@ def top_language(spark, sf_dir):
 
 @query(f"WITH {MIXED}, {counts_sql('mixed', 'doc_id')}, {PERCENT}, {RANKED} SELECT code, count(*) AS docs, count(*) FILTER (WHERE rank = 1) AS top_docs, CAST(sum(n) AS BIGINT) AS letters FROM ranks GROUP BY code")
 def mixed_script_distribution(spark, sf_dir):
-    docs = mixed(spark, sf_dir).withColumn("p", T.profile("text"))
-    counts = T.letter_counts(docs, ["doc_id"]).groupBy("code").agg(F.sum("n").cast("long").alias("letters"))
-    ranks = exploded(mixed(spark, sf_dir)).groupBy("code").agg(F.count("*").alias("docs"), F.count_if(F.col("rank") == 1).alias("top_docs"))
-    return ranks.join(F.broadcast(counts), "code")  # one row per language each
+    codes = F.array(*map(F.lit, registry.CODES))
+    docs = mixed(spark, sf_dir).select(T.profile("text")["counts"].alias("counts"))
+    ranks = docs.select("counts", F.posexplode(T.ranked(F.col("counts"))).alias("i", "l"))
+    n = F.element_at("counts", F.array_position(codes, F.col("l.code")).cast("int"))
+    return ranks.groupBy("l.code").agg(F.count("*").alias("docs"), F.count_if(F.col("i") == 0).alias("top_docs"), F.sum(n).cast("long").alias("letters"))
 
 
 @query(f"WITH {MIXED}, {counts_sql('mixed', 'source')} SELECT source, code, n, n / sum(n) OVER (PARTITION BY source) AS share FROM counted")

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.functions import pixels
+from scriptorium.functions import pixels, registry
 from scriptorium.operators import text as T
 
-GREY = "image_id long, path string, width int, height int, pixels binary, error string"
+GREY = "image_id long, path string, width int, height int, pixels binary, error string, code int"
 
 
 def parse_pnm(data: bytes) -> tuple[int, int, int, bytes]:
@@ -43,21 +43,25 @@ def _grey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for key, path, w, h, channels, data, order in zip(*(b.column(c).to_pylist() for c in ("image_id", "path", "width", "height", "channels", "data", "order")), strict=True):
-            row = {"image_id": key, "path": path, "width": None, "height": None, "pixels": None, "error": None}
+            row = {"image_id": key, "path": path, "width": None, "height": None, "pixels": None, "error": None, "code": registry.OK}
             try:
+                row["code"] = registry.NOT_LOADED
                 if order == "PNM":
                     w, h, channels, data = parse_pnm(data or b"")
+                elif path is None:
+                    row["code"] = registry.NOTHING
                 if not data or not w or not h or w <= 0 or h <= 0 or len(data) < w * h * channels:
                     raise ValueError("no samples, or no size")
-                row |= {"width": w, "height": h, "pixels": pixels.grey(data, w, h, channels, "RGB" if order == "PNM" else order).tobytes()}
+                row |= {"width": w, "height": h, "pixels": pixels.grey(data, w, h, channels, "RGB" if order == "PNM" else order).tobytes(), "code": registry.OK}
             except ValueError as e:
                 row["error"] = str(e)
             rows.append(row)
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("image_id", pa.int64()), ("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary()), ("error", pa.string())]))
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("image_id", pa.int64()), ("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary()), ("error", pa.string()), ("code", pa.int32())]))
 
 
 def from_samples(df: DataFrame, *, id_col: str, width: str, height: str, channels, data: str, order: str = "RGB", path_col: str | None = None) -> DataFrame:
-    """Grey images from rows of raw samples; what has none, or no size, gets an ``error``."""
+    """Grey images from rows of raw samples; what has none, or no size, gets an ``error`` and a
+    code below 0."""
     channels = F.col(channels) if isinstance(channels, str) else F.lit(channels)
     path = F.col(path_col) if path_col else F.lit(None).cast("string")
     rows = df.select(F.col(id_col).cast("long").alias("image_id"), path.alias("path"), F.col(width).cast("int").alias("width"), F.col(height).cast("int").alias("height"), channels.cast("int").alias("channels"), F.col(data).alias("data"), F.lit(order).alias("order"))

@@ -8,16 +8,22 @@ the bitmap (0 or 255 for each cell of the grid).
 
 from __future__ import annotations
 
-import os
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 # Fixed values of the format.
 MAGIC, VERSION, SUFFIX = b"CLPK", 1, ".clpk"
+#: The folder of what isn't committed yet.
+PARTS = "_parts"
 SCHEMA = "pack_id string, grid_w int, grid_h int, threshold float, w_ncc float, w_struct float, w_aspect float, proto_no int, codepoint long, holes int, endpoints int, junctions int, aspect float, bitmap binary"
 
 
@@ -62,6 +68,11 @@ def build(rows: list) -> bytes:
     return b"".join(out)
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """A path or URI that all executors reach, as a file system and a path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 @dataclass
 class _File(InputPartition):
     path: str
@@ -73,15 +84,14 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """A partition per file: the path itself, or every pack file of a folder; ``ids`` picks some by name."""
-        path = self.options["path"]
-        if os.path.isfile(path):
+        store, path = _store(self.options["path"])
+        if store.get_file_info(path).type == fs.FileType.File:
             return [_File(path)]
-        wanted = [x for x in self.options.get("ids", "").split(",") if x]
-        names = [f"{x}{SUFFIX}" for x in wanted] or sorted(f for f in os.listdir(path) if f.endswith(SUFFIX))
-        return [_File(os.path.join(path, f)) for f in names]
+        wanted = [f"{x}{SUFFIX}" for x in self.options.get("ids", "").split(",") if x]
+        return [_File(f"{path}/{f}") for f in wanted or sorted(x.base_name for x in store.get_file_info(fs.FileSelector(path)) if x.base_name.endswith(SUFFIX))]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        with _store(self.options["path"])[0].open_input_stream(partition.path, compression=None) as f:
             data = f.read()
         try:
             yield from parse(data)
@@ -89,22 +99,48 @@ class _Reader(DataSourceReader):
             raise ValueError(f"{partition.path}: {e}") from None
 
 
+@dataclass
+class _Part(WriterCommitMessage):
+    path: str
+
+
 class _Writer(DataSourceWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    """Tasks write their rows side by side; only on commit are they put together, a file per pack, whichever tasks its rows came
+    from.  Of a task that ran twice one part is committed."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
-        """A file per pack among the rows of a task: deal rows by pack_id first."""
-        held: dict[str, list] = {}
-        for r in rows:
-            held.setdefault(r["pack_id"], []).append(r)
-        os.makedirs(self.path, exist_ok=True)
-        for name, own in held.items():
-            part = os.path.join(self.path, f".{name}.part")
-            with open(part, "wb") as f:
-                f.write(build(own))
-            os.replace(part, os.path.join(self.path, f"{name}{SUFFIX}"))
-        return WriterCommitMessage()
+        store, path = _store(self.path)
+        store.create_dir(f"{path}/{PARTS}")
+        own = f"{path}/{PARTS}/{uuid.uuid4().hex}.parquet"
+        schema = pa.schema([("pack_id", pa.string()), *((c, pa.int64()) for c in ("grid_w", "grid_h")), *((c, pa.float32()) for c in ("threshold", "w_ncc", "w_struct", "w_aspect")), *((c, pa.int64()) for c in ("proto_no", "codepoint", "holes", "endpoints", "junctions")), ("aspect", pa.float32()), ("bitmap", pa.binary())])
+        with pq.ParquetWriter(own, schema, filesystem=store) as out:
+            while held := list(islice(rows, 4096)):
+                out.write_table(pa.Table.from_pylist([{c: bytes(r[c]) if c == "bitmap" else r[c] for c in schema.names} for r in held], schema))
+        return _Part(own)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        """Packs are a few hundred kilobytes each and are put together one at a time."""
+        store, path = _store(self.path)
+        if self.overwrite:
+            for x in store.get_file_info(fs.FileSelector(path)):
+                if x.base_name.endswith(SUFFIX):
+                    store.delete_file(x.path)
+        parts = [m.path for m in messages if m is not None]
+        names = {x for p in parts for x in pq.read_table(p, columns=["pack_id"], filesystem=store).column(0).unique().to_pylist()}
+        for name in sorted(names):
+            rows = [r for p in parts for r in pq.read_table(p, filesystem=store, filters=[("pack_id", "=", name)]).to_pylist()]
+            with store.open_output_stream(f"{path}/{PARTS}/{name}{SUFFIX}", compression=None) as f:
+                f.write(build(rows))
+            store.move(f"{path}/{PARTS}/{name}{SUFFIX}", f"{path}/{name}{SUFFIX}")
+        self.abort(messages)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, path = _store(self.path)
+        if store.get_file_info(f"{path}/{PARTS}").type == fs.FileType.Directory:
+            store.delete_dir(f"{path}/{PARTS}")
 
 
 class GlyphPacks(DataSource):
@@ -121,7 +157,7 @@ class GlyphPacks(DataSource):
         return _Reader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(dict(self.options))
+        return _Writer(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:

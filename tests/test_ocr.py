@@ -30,7 +30,7 @@ def test_noise_goes_through_the_local_threshold():
 
 def test_components():
     a = np.array([[1, 0, 1, 1], [1, 0, 0, 1], [0, 1, 0, 1], [1, 1, 1, 1]], bool)
-    assert sorted(P.components(a)) == [(0, 0, 1, 2, 2), (0, 0, 4, 4, 8)] or sorted(P.components(a)) == sorted([(0, 0, 1, 2, 2), (0, 0, 4, 4, 9)])
+    assert sorted(P.components(a)) == [(0, 0, 1, 2, 2), (0, 0, 4, 4, 9)]
 
 
 def test_features():
@@ -104,7 +104,8 @@ def test_relational_match_agrees(spark, latin):
 def test_pack_files(spark, latin, tmp_path):
     packs.register(spark)
     df = spark.createDataFrame(packs.rows_of(latin), packs.SCHEMA)
-    df.repartition(2, "pack_id").write.format("glyphpack").mode("append").save(str(tmp_path))
+    df.repartition(4).write.format("glyphpack").mode("append").save(str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir()] == ["latin.clpk"]
     back = spark.read.format("glyphpack").load(str(tmp_path))
     assert back.exceptAll(df).count() == 0 and back.count() == df.count()
     (again,) = ocr.packs_from(back)
