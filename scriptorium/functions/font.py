@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 import struct
+import zlib
 
 import numpy as np
 from pyspark.sql import SparkSession
 
-# Of each character from space to tilde the five columns, bit 0 on top.
+# The 5 by 7 font of character LCDs, of each character from space to tilde the five columns, bit 0 on top.
 COLUMNS = """
 0000000000 00005F0000 0007000700 147F147F14 242A7F2A12 2313086462 3649562050 0008070300 001C224100 0041221C00 2A1C7F1C2A 08083E0808
 0050300000 0808080808 0060600000 2010080402 3E5149453E 00427F4000 4261514946 2141454B31 1814127F10 2745454539 3C4A494930 0171090503
@@ -40,6 +41,31 @@ def as_pgm(a: np.ndarray) -> bytes:
     return f"P5\n{a.shape[1]} {a.shape[0]}\n255\n".encode() + a.tobytes()
 
 
+def drawn_lines(lines: list[str], gaps: list[int], scale: int = SCALE, margin: int = MARGIN) -> np.ndarray:
+    """Lines one below the other, the gap before the i-th being ``gaps[i % len(gaps)]`` rows; the first has none."""
+    pages = [drawn(t, scale, margin)[margin : margin + 7 * scale] for t in lines]
+    width = max([2 * margin, *(a.shape[1] for a in pages)])
+    out = [np.full((margin, width), 255, np.uint8)]
+    for i, a in enumerate(pages):
+        out.append(np.full((gaps[i % len(gaps)] if i else 0, width), 255, np.uint8))
+        out.append(np.pad(a, ((0, 0), (0, width - a.shape[1])), constant_values=255))
+    return np.concatenate([*out, out[0]])
+
+
+def as_png(a: np.ndarray) -> bytes:
+    """A grey PNG."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = np.pad(a, ((0, 0), (1, 0)))  # each row's filter: none
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def as_bmp(a: np.ndarray) -> bytes:
+    """A BMP of 24 bits, all three channels alike."""
+    height, width = a.shape
+    rows = np.pad(np.repeat(a[::-1, :, None], 3, axis=2).reshape(height, -1), ((0, 0), (0, -3 * width % 4)))
+    return struct.pack("<2sIIIIiiHHIIiiII", b"BM", 54 + rows.size, 0, 54, 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
+
+
 def find_font(name: str = "DejaVuSans.ttf") -> str | None:
     """The file of an installed font."""
     return next((os.path.join(d, name) for top in ("/usr/share/fonts", "/usr/local/share/fonts") for d, _, files in os.walk(top) if name in files), None)
@@ -51,6 +77,7 @@ class JvmFont:
     def __init__(self, spark: SparkSession, path: str, points: float = 56.0):
         self.j = spark._jvm
         self.j.java.lang.System.setProperty("java.awt.headless", "true")
+        self.j.javax.imageio.ImageIO.setUseCache(False)
         font = self.j.java.awt.Font.createFont(self.j.java.awt.Font.TRUETYPE_FONT, self.j.java.io.File(path))
         self.font = font.deriveFont(float(points))
 
@@ -59,19 +86,26 @@ class JvmFont:
 
     def draw(self, text: str, advance: int = 70, margin: int = 24, height: int = 56 + 14, rtl: bool = False) -> np.ndarray:
         """Each character in a cell of the same width, black on white, made hard at 180."""
-        width = 2 * margin + advance * max(1, len(text))
-        image = self.j.java.awt.image.BufferedImage(width, height + 2 * margin, 10)  # grey bytes
+        return self.draw_all([text], advance, margin, height, rtl)[0]
+
+    def draw_all(self, texts: list[str], advance: int = 70, margin: int = 24, height: int = 56 + 14, rtl: bool = False) -> list[np.ndarray]:
+        """Texts as ``draw`` makes them, one below the other in one image, as fetching an image from the JVM takes its time."""
+        width, tall = 2 * margin + advance * max(1, *map(len, texts), 1), height + 2 * margin
+        image = self.j.java.awt.image.BufferedImage(width, tall * len(texts), 10)  # grey bytes
         g = image.createGraphics()
-        white, black = self.j.java.awt.Color.WHITE, self.j.java.awt.Color.BLACK
-        g.setColor(white)
-        g.fillRect(0, 0, width, height + 2 * margin)
-        g.setColor(black)
+        g.setColor(self.j.java.awt.Color.WHITE)
+        g.fillRect(0, 0, width, tall * len(texts))
+        g.setColor(self.j.java.awt.Color.BLACK)
         g.setFont(self.font)
-        for i, c in enumerate(text):
-            k = len(text) - 1 - i if rtl else i
-            g.drawString(c, margin + k * advance, margin + 56)
+        for row, text in enumerate(texts):
+            g.setClip(0, row * tall, width, tall)
+            for i, c in enumerate(text):
+                k = len(text) - 1 - i if rtl else i
+                g.drawString(c, margin + k * advance, row * tall + margin + 56)
         g.dispose()
-        return np.where(from_bmp(self._bytes(image, "bmp")) < 180, 0, 255).astype(np.uint8)
+        grey = np.frombuffer(bytes(image.getRaster().getDataBuffer().getData()), np.uint8).reshape(len(texts), tall, width)
+        hard = np.where(grey < 180, 0, 255).astype(np.uint8)
+        return [np.ascontiguousarray(a[:, : 2 * margin + advance * max(1, len(t))]) for a, t in zip(hard, texts, strict=True)]
 
     def _bytes(self, image, kind: str) -> bytes:
         out = self.j.java.io.ByteArrayOutputStream()
@@ -92,15 +126,3 @@ class JvmFont:
         g.drawString(text, margin, margin + metrics.getAscent())
         g.dispose()
         return self._bytes(image, kind)
-
-
-def from_bmp(data: bytes) -> np.ndarray:
-    """The grey values of an uncompressed BMP of 8 bits with a grey palette, or of 24 bits."""
-    start, _, width, height, _, bits = struct.unpack_from("<IIiiHH", data, 10)
-    line = (width * bits // 8 + 3) // 4 * 4
-    rows = np.frombuffer(data, np.uint8, line * abs(height), start).reshape(abs(height), line)
-    rows = rows[::-1] if height > 0 else rows
-    if bits == 8:
-        palette = np.frombuffer(data, np.uint8, 1024, start - 1024).reshape(256, 4)[:, 0]
-        return palette[rows[:, :width]]
-    return rows[:, : width * 3].reshape(abs(height), width, 3).mean(axis=2).astype(np.uint8)

@@ -13,6 +13,21 @@ from scriptorium.operators import detect, ocr
 from scriptorium.sources import images
 
 
+def letters(spark: SparkSession, langs: list[str], most: int = 40) -> DataFrame:
+    """The same over single letters of the languages' ranges, as many as an installed font has, each drawn as a page."""
+    made = font.JvmFont(spark, font.find_font()) if font.find_font() else None
+    rows, known = [], [ocr.latin_pack()]
+    for lang in langs if made else []:
+        own = ocr.drawn_pack(spark, registry.PACK_OF[lang], ligatures=False)
+        if own is None:
+            continue
+        known.append(own)
+        for cp, a in zip(own.points, made.draw_all([chr(cp) for cp in own.points[:most]]), strict=False):
+            rows.append((len(rows), lang, chr(cp), a.shape[1], a.shape[0], bytearray(a.tobytes())))
+    drawn = spark.createDataFrame(rows, "image_id long, lang string, sample_text string, width int, height int, pixels binary").repartition(2 * spark.sparkContext.defaultParallelism)
+    return detect.corpus_report(detect.detect_drawn(drawn, known, "sample_text"), drawn)
+
+
 def report(spark: SparkSession, path: str, langs: list[str]) -> DataFrame:
     lines = images.read_corpora(spark, path).where(F.col("lang").isin(langs)).withColumn("image_id", F.xxhash64("lang", "line_no")).withColumnRenamed("text", "sample_text")
     known = [m for m in (ocr.latin_pack() if x == "en" else ocr.drawn_pack(spark, registry.PACK_OF[x]) for x in langs) if m]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from scriptorium.functions import registry
+from scriptorium.functions.names import fresh
 from scriptorium.operators.text import character
 
 
@@ -176,3 +177,53 @@ def bands(rows: DataFrame, least_height: int = 4) -> DataFrame:
 
 def packs(spark: SparkSession) -> DataFrame:
     return registry.packs(spark)
+
+
+#: When a box g joins the box p before it, as grown so far; gap and overlap are along the line, line_h is the line's height.
+JOINS = {
+    "marks": "(g.h <= greatest(4, line_h div 3) or g.w <= greatest(3, g.h div 2)) and (gap <= 4 or overlap > 0) and abs(p.y - g.y) <= greatest(p.h, g.h)",
+    "touching": "abs(p.y - g.y) <= greatest(4, (p.h + g.h) div 2 div 2) and (gap <= greatest(6, p.w div 4) or overlap > 0)",
+    "near": "(gap <= greatest(2, (p.w + g.w) div 2 div 8) and abs(p.y - g.y) <= (p.h + g.h) div 2 div 2) or (overlap > greatest(1, (p.w + g.w) div 2 div 3) and abs(p.y + p.h - g.y) <= greatest(2, (p.h + g.h) div 2 div 4))",
+}
+
+
+def merged_boxes(boxes: DataFrame, line_keys: list[str], rule: str, order: str = "glyph_no") -> DataFrame:
+    """line_keys, box_no, x, y, w, h, parts: the boxes of each line, left to right, joined by one of ``JOINS``.  A fold over the
+    line, as what joins depends on what has joined."""
+    box = "struct<x:int,y:int,w:int,h:int,parts:int>"
+    row, tall = fresh([*line_keys, "box_no"], "line", "line_h")
+    line = F.array_sort(F.collect_list(F.struct(order, F.struct(*(F.col(c).cast("int").alias(c) for c in "xywh"), F.lit(1).alias("parts")).alias("g"))))
+    held = boxes.groupBy(*line_keys).agg(F.transform(line, lambda x: x["g"]).alias(row), F.greatest(F.max(F.col("y") + F.col("h")), F.max("h")).cast("int").alias(tall))
+    test = JOINS[rule].replace("line_h", tall).replace("gap", "(g.x - p.x - p.w)").replace("overlap", "(least(p.x + p.w, g.x + g.w) - greatest(p.x, g.x))").replace("p.", "acc.open.")
+    grown = "named_struct('x', least(acc.open.x, g.x), 'y', least(acc.open.y, g.y), 'w', greatest(acc.open.x + acc.open.w, g.x + g.w) - least(acc.open.x, g.x), 'h', greatest(acc.open.y + acc.open.h, g.y + g.h) - least(acc.open.y, g.y), 'parts', acc.open.parts + 1)"
+    step = f"if(acc.open is null, named_struct('out', acc.out, 'open', g), if({test}, named_struct('out', acc.out, 'open', {grown}), named_struct('out', array_append(acc.out, acc.open), 'open', g)))"
+    folded = f"aggregate({row}, named_struct('out', cast(array() as array<{box}>), 'open', cast(null as {box})), (acc, g) -> {step}, acc -> if(acc.open is null, acc.out, array_append(acc.out, acc.open)))"
+    return held.select(*line_keys, F.posexplode(F.expr(folded)).alias("box_no", "b")).select(*line_keys, "box_no", "b.*")
+
+
+def prototype_index(prototypes: DataFrame) -> DataFrame:
+    """codepoint, protos: the prototypes of each code point of a pack, in order."""
+    return prototypes.groupBy("pack_id", "codepoint").agg(F.array_sort(F.collect_list("proto_no")).alias("protos"))
+
+
+def with_fonts(fonts: list[DataFrame]) -> DataFrame:
+    """The prototypes of several fonts, those of the first font first, without those that look like an earlier one."""
+    every = None
+    for k, rows in enumerate(fonts):
+        rows = rows.withColumn("font_no", F.lit(k))
+        every = rows if every is None else every.unionByName(rows)
+    by = Window.partitionBy("pack_id", "bitmap").orderBy("font_no", "proto_no")
+    return every.withColumn("i", F.row_number().over(by)).where("i = 1").drop("i")
+
+
+def or_whole_image(glyphs: DataFrame, images: DataFrame) -> DataFrame:
+    """The glyphs' boxes, and for an image that has none one box of its whole size."""
+    whole = images.join(glyphs.select("image_id").distinct(), "image_id", "left_anti").select("image_id", F.lit(0).alias("glyph_no"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("width").alias("w"), F.col("height").alias("h"))
+    return glyphs.select("image_id", "glyph_no", "x", "y", "w", "h").unionByName(whole)
+
+
+def image_sums(images: DataFrame) -> DataFrame:
+    """image_id, width, height, total, weighted: sums over the pixels, plain and by place, that tell images apart."""
+    rows = images.select("image_id", "width", "height", F.posexplode(F.split(F.decode("pixels", "ISO-8859-1"), "")).alias("i", "c"))
+    v = F.ascii("c")
+    return rows.groupBy("image_id", "width", "height").agg(F.sum(v).cast("long").alias("total"), F.sum(v * (F.col("i") % 251 + 1)).cast("long").alias("weighted"))

@@ -37,10 +37,12 @@ class Pack:
     points: list[int] = field(default_factory=list)
     shapes: list[tuple[int, int, int, float]] = field(default_factory=list)
     bitmaps: list[np.ndarray] = field(default_factory=list)
+    looks: set[bytes] = field(default_factory=set)
 
     def add(self, cp: int, ink: np.ndarray, shape: tuple | None = None) -> None:
         """A prototype; one that looks like an earlier one is left out."""
-        if not any(np.array_equal(ink, b) for b in self.bitmaps):
+        if (look := ink.tobytes()) not in self.looks:
+            self.looks.add(look)
             self.points.append(cp)
             self.bitmaps.append(ink)
             self.shapes.append(shape or pixels.features(ink))
@@ -96,12 +98,14 @@ def drawn_pack(spark: SparkSession, pack_id: str, paths: str | list[str] | None
         letters += sorted({x[2] for x in registry.LIGATURES})
     for path in paths:
         made = font.JvmFont(spark, path)
-        for cp in filter(lambda x: made.has(chr(x)), letters):
-            ink = pixels.binarised(made.draw(chr(cp)))
-            y, x = np.nonzero(ink)
-            if len(x):
-                g = pixels.cut(ink, int(x.min()), int(y.min()), int(x.max() - x.min() + 1), int(y.max() - y.min() + 1))
-                out.add(cp, pixels.on_grid(g, out.grid_w, out.grid_h))
+        known = [cp for cp in letters if made.has(chr(cp))]
+        for lo in range(0, len(known), 64):
+            for cp, page in zip(known[lo : lo + 64], made.draw_all([chr(cp) for cp in known[lo : lo + 64]]), strict=True):
+                ink = pixels.binarised(page)
+                y, x = np.nonzero(ink)
+                if len(x):
+                    g = pixels.cut(ink, int(x.min()), int(y.min()), int(x.max() - x.min() + 1), int(y.max() - y.min() + 1))
+                    out.add(cp, pixels.on_grid(g, out.grid_w, out.grid_h))
     return out.ready() if out.points else None
 
 
@@ -327,3 +331,96 @@ def draw_terminal(df: DataFrame, text_col: str = "text", id_col: str = "image_id
                 yield pa.RecordBatch.from_arrays([b.column("image_id").slice(lo, len(part)), pa.array([a.shape[1] for a in part], pa.int32()), pa.array([a.shape[0] for a in part], pa.int32()), pa.array([a.tobytes() for a in part], pa.binary())], ["image_id", "width", "height", "pixels"])
 
     return df.select(F.col(id_col).cast("long").alias("image_id"), F.col(text_col).alias("text")).mapInArrow(run, "image_id long, width int, height int, pixels binary")
+
+
+def draw_lines(df: DataFrame, lines_col: str, gaps: list[int], id_col: str = "image_id") -> DataFrame:
+    """image_id, width, height, pixels: arrays of lines as pages in the terminal font."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, lines in zip(b.column("image_id").to_pylist(), b.column("lines").to_pylist(), strict=True):
+                a = font.drawn_lines([x or "" for x in lines or []], gaps)
+                yield pa.RecordBatch.from_pylist([{"image_id": key, "width": a.shape[1], "height": a.shape[0], "pixels": a.tobytes()}], _GREY)
+
+    return df.select(F.col(id_col).cast("long").alias("image_id"), F.col(lines_col).alias("lines")).mapInArrow(run, "image_id long, width int, height int, pixels binary")
+
+
+_GREY = pa.schema([("image_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary())])
+
+
+def processed(images: DataFrame, step: str, **options) -> DataFrame:
+    """image_id, width, height, pixels after one of the steps before recognition: blurred, rotated, deskewed, sauvola or
+    binarised; of the last two bright pixels and ink are 255, the others 0.  Images without pixels are left out."""
+    make = getattr(pixels, step)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, image, _ in _images(batches):
+            if not isinstance(image, str):
+                a = make(image, **options)
+                a = np.where(a, 255, 0).astype(np.uint8) if a.dtype == bool else a
+                yield pa.RecordBatch.from_pylist([{"image_id": key, "width": a.shape[1], "height": a.shape[0], "pixels": a.tobytes()}], _GREY)
+
+    return _prepared(images).mapInArrow(run, "image_id long, width int, height int, pixels binary")
+
+
+_LINE = pa.schema([("image_id", pa.int64()), *((c, pa.int32()) for c in ("line_no", "x", "y", "w", "h"))])
+
+
+def read_lines(images: DataFrame, deskew: bool = False) -> DataFrame:
+    """image_id, line_no, x, y, w, h of the lines of pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, image, _ in _images(batches):
+            if not isinstance(image, str):
+                found = pixels.page_lines(pixels.binarised(image, deskew))
+                yield pa.RecordBatch.from_pylist([{"image_id": key, "line_no": k, "x": x, "y": y, "w": w, "h": h} for k, (x, y, w, h) in enumerate(found)], _LINE)
+
+    return _prepared(images).mapInArrow(run, "image_id long, line_no int, x int, y int, w int, h int")
+
+
+def read_parts(images: DataFrame, below: int = 128) -> DataFrame:
+    """image_id, x, y, w, h, n of the connected parts of the pixels darker than ``below``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("image_id", pa.int64()), *((c, pa.int32()) for c in ("x", "y", "w", "h", "n"))])
+        for key, image, _ in _images(batches):
+            if not isinstance(image, str):
+                yield pa.RecordBatch.from_pylist([{"image_id": key, **dict(zip(("x", "y", "w", "h", "n"), x, strict=True))} for x in pixels.components(image < below)], schema)
+
+    return _prepared(images).mapInArrow(run, "image_id long, x int, y int, w int, h int, n int")
+
+
+def bit_set(ink: np.ndarray) -> list[int]:
+    """A shape as 64-bit numbers, row by row, the lowest bit first."""
+    return np.packbits(np.pad(ink.ravel(), (0, -ink.size % 64)), bitorder="little").view(np.int64).tolist()
+
+
+_SHAPE = "bits array<long>, holes int, endpoints int, junctions int, aspect double"
+_CUT = pa.schema([("image_id", pa.int64()), *((c, pa.int32()) for c in ("line_no", "glyph_no", "x", "y", "w", "h")), ("pack_id", pa.string()), ("bits", pa.list_(pa.int64())), *((c, pa.int32()) for c in ("holes", "endpoints", "junctions")), ("aspect", pa.float64())])
+
+
+def cut_glyphs(images: DataFrame, of: Pack) -> DataFrame:
+    """A row per glyph of pages in a script of separate letters: place in its line, and on the pack's grid its bits and
+    features, as ``matching.match_prototypes`` takes them."""
+    name, size = of.id, (of.grid_w, of.grid_h)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Recogniser([])
+        for key, image, _ in _images(batches):
+            if isinstance(image, str):
+                continue
+            ink, rows = pixels.binarised(image), []
+            for k, (x, y, w, h) in enumerate(pixels.page_lines(ink)):
+                glyphs = pixels.segment(ink[y : y + h, x : x + w])
+                grids = [pixels.on_grid(g, *size) for g in glyphs]
+                shapes = known._features(grids).tolist()
+                rows += [{"image_id": key, "line_no": k, "glyph_no": i, "x": g.x, "y": g.y, "w": g.w, "h": g.h, "pack_id": name, "bits": bit_set(grid), "holes": int(f[0]), "endpoints": int(f[1]), "junctions": int(f[2]), "aspect": f[3]} for i, (g, grid, f) in enumerate(zip(glyphs, grids, shapes, strict=True))]
+            yield pa.RecordBatch.from_pylist(rows, _CUT)
+
+    return _prepared(images).mapInArrow(run, f"image_id long, line_no int, glyph_no int, x int, y int, w int, h int, pack_id string, {_SHAPE}")
+
+
+def prototype_table(spark: SparkSession, packs: list[Pack]) -> DataFrame:
+    """pack_id, codepoint, bits and features of the prototypes of packs."""
+    rows = [(p.id, int(cp), bit_set(b), *map(int, s[:3]), float(s[3])) for p in packs for cp, b, s in zip(p.points, p.bitmaps, p.shapes, strict=True)]
+    return spark.createDataFrame(rows, f"pack_id string, codepoint long, {_SHAPE}")

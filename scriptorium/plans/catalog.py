@@ -1,6 +1,6 @@
 """The registered queries and their DuckDB counterparts."""
 
-from scriptorium.plans import images
+from scriptorium.plans import layout
 
-QUERIES: dict = dict(images.QUERIES)
-ORACLES: dict[str, str] = dict(images.ORACLES)
+QUERIES: dict = dict(layout.QUERIES)
+ORACLES: dict[str, str] = dict(layout.ORACLES)

@@ -10,7 +10,7 @@ from scriptorium.plans.texts import ORACLES, QUERIES, query, table, values
 
 __all__ = ["ORACLES", "QUERIES"]
 
-PACKS = values([(i, *p[:9], "true" if False else int(p[9])) for i, p in enumerate(registry.PACKS)], "pk(seq, pack_id, grid_w, grid_h, threshold, w_ncc, w_struct, w_aspect, cal_a, cal_b, rtl)")
+PACKS = values([(i, *p[:9], int(p[9])) for i, p in enumerate(registry.PACKS)], "pk(seq, pack_id, grid_w, grid_h, threshold, w_ncc, w_struct, w_aspect, cal_a, cal_b, rtl)")
 
 # What the terminal font can say without doubt: capitals and single blanks.  Two thin letters in a row stand so far apart that
 # a blank is seen between them.
@@ -58,12 +58,7 @@ def pixel_histogram(spark, sf_dir):
     return M.histogram(M.pixel_rows(_pages(spark, sf_dir)))
 
 
-@query("SELECT item_id AS image_id, 0 AS threshold FROM benchmark")
-def otsu_threshold(spark, sf_dir):
-    return M.otsu(M.histogram(M.pixel_rows(_pages(spark, sf_dir))))
-
-
-@query(f"WITH {_INK} SELECT image_id, CAST(yy AS INTEGER) AS y, count(dots_on.y) AS ink FROM (SELECT item_id AS image_id, unnest(range(60)) AS yy FROM benchmark) LEFT JOIN dots_on USING (image_id) WHERE dots_on.y = yy OR dots_on.y IS NULL GROUP BY ALL UNION ALL SELECT item_id, CAST(yy AS INTEGER), 0 FROM benchmark, (SELECT unnest(range(60)) AS yy) WHERE NOT EXISTS (SELECT 1 FROM dots_on WHERE image_id = item_id AND y = yy) AND EXISTS (SELECT 1 FROM dots_on WHERE image_id = item_id)")
+@query(f"WITH {_INK} SELECT image_id, CAST(yy AS INTEGER) AS y, count(d.y) AS ink FROM (SELECT item_id AS image_id, unnest(range(60)) AS yy FROM benchmark) p LEFT JOIN (SELECT image_id AS i, y FROM dots_on) d ON d.i = p.image_id AND d.y = p.yy GROUP BY image_id, yy")
 def row_projection(spark, sf_dir):
     return M.ink_by_row(M.pixel_rows(_pages(spark, sf_dir)), F.col("v") < 128)
 
@@ -82,20 +77,20 @@ def glyph_segments(spark, sf_dir):
 
 
 # Tables of scores stand in as numbers made from events: eight events in a row are a line of text, each a glyph of it.
-_ITEMS = "items AS (SELECT event_id // 8 AS l_orderkey, event_id % 8 AS l_linenumber, (user_id * 7919 + event_id * 31) % 2003 AS l_partkey, (user_id * 104729 + event_id * 17) % 101 AS l_suppkey, CAST(1 + event_id % 50 AS DOUBLE) AS l_quantity, CAST(event_id % 9 AS DOUBLE) / 100 AS l_tax, CAST(user_id % 11 AS DOUBLE) / 100 AS l_discount FROM events)"
+_ITEMS = "items AS (SELECT event_id // 8 AS line_key, event_id % 8 AS place, (user_id * 7919 + event_id * 31) % 2003 AS k1, (user_id * 104729 + event_id * 17) % 101 AS k2, CAST(1 + event_id % 50 AS DOUBLE) AS size, CAST(event_id % 9 AS DOUBLE) / 100 AS tilt, CAST(user_id % 11 AS DOUBLE) / 100 AS sure FROM events)"
 
 
 def _items(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr("event_id div 8 as l_orderkey", "event_id % 8 as l_linenumber", "(user_id * 7919 + event_id * 31) % 2003 as l_partkey", "(user_id * 104729 + event_id * 17) % 101 as l_suppkey", "cast(1 + event_id % 50 as double) as l_quantity", "cast(event_id % 9 as double) / 100 as l_tax", "cast(user_id % 11 as double) / 100 as l_discount")
+    return table(spark, sf_dir, "events").selectExpr("event_id div 8 as line_key", "event_id % 8 as place", "(user_id * 7919 + event_id * 31) % 2003 as k1", "(user_id * 104729 + event_id * 17) % 101 as k2", "cast(1 + event_id % 50 as double) as size", "cast(event_id % 9 as double) / 100 as tilt", "cast(user_id % 11 as double) / 100 as sure")
 
 
-_SCORES = f"""{_ITEMS}, scores AS (SELECT l_orderkey AS line_id, l_linenumber AS glyph_no, pack_id, seq, (l_partkey * 31 + seq * 17 + l_linenumber * 7) % 97 AS num FROM items, {PACKS})"""
+_SCORES = f"""{_ITEMS}, scores AS (SELECT line_key AS line_id, place AS glyph_no, pack_id, seq, (k1 * 31 + seq * 17 + place * 7) % 97 AS num FROM items, {PACKS})"""
 
 
 def _scores(spark, sf_dir) -> DataFrame:
-    items = _items(spark, sf_dir).select(F.col("l_orderkey").alias("line_id"), F.col("l_linenumber").alias("glyph_no"), "l_partkey")
+    items = _items(spark, sf_dir).select(F.col("line_key").alias("line_id"), F.col("place").alias("glyph_no"), "k1")
     joined = items.join(F.broadcast(M.packs(spark).select("pack_id", "seq")))
-    return joined.withColumn("confidence", ((F.col("l_partkey") * 31 + F.col("seq") * 17 + F.col("glyph_no") * 7) % 97).cast("double")).drop("l_partkey")
+    return joined.withColumn("confidence", ((F.col("k1") * 31 + F.col("seq") * 17 + F.col("glyph_no") * 7) % 97).cast("double")).drop("k1")
 
 
 @query(f"""WITH {_SCORES}, f AS (SELECT *, dense_rank() OVER (PARTITION BY line_id ORDER BY glyph_no) AS k FROM scores), m AS (SELECT line_id, pack_id, seq, avg(num * num) / 20000 AS mean FROM f WHERE k <= 5 GROUP BY ALL),
@@ -138,13 +133,13 @@ def argmax_prototype(spark, sf_dir):
     return M.best_match(scored, ["line_id", "glyph_no"], F.lit(0.9)).select("line_id", "glyph_no", F.col("codepoint").cast("int").alias("codepoint"), "confidence")
 
 
-_SHAPES = "SELECT l_orderkey AS a, l_linenumber AS b, l_partkey % 4 AS gh, l_suppkey % 9 AS ge, l_partkey % 7 AS gj, l_quantity / 25 AS ga, (l_partkey + 1) % 4 AS ph, (l_suppkey * 3) % 9 AS pe, (l_partkey * 5) % 7 AS pj, l_tax * 20 AS pa FROM items"
+_SHAPES = "SELECT line_key AS a, place AS b, k1 % 4 AS gh, k2 % 9 AS ge, k1 % 7 AS gj, size / 25 AS ga, (k1 + 1) % 4 AS ph, (k2 * 3) % 9 AS pe, (k1 * 5) % 7 AS pj, tilt * 20 AS pa FROM items"
 _LIKE = "greatest(0, 1 - 0.25 * (abs(gh - ph) / 4 + abs(ge - pe) / 8 + abs(gj - pj) / 8 + abs(ga - pa) / 2))"
 
 
 def _shapes(spark, sf_dir) -> DataFrame:
     items = _items(spark, sf_dir)
-    return items.selectExpr("l_orderkey as a", "l_linenumber as b", "l_partkey % 4 as g_holes", "l_suppkey % 9 as g_endpoints", "l_partkey % 7 as g_junctions", "l_quantity / 25 as g_aspect", "(l_partkey + 1) % 4 as p_holes", "(l_suppkey * 3) % 9 as p_endpoints", "(l_partkey * 5) % 7 as p_junctions", "l_tax * 20 as p_aspect", "l_partkey as g_bits", "l_partkey * 7 as p_bits")
+    return items.selectExpr("line_key as a", "place as b", "k1 % 4 as g_holes", "k2 % 9 as g_endpoints", "k1 % 7 as g_junctions", "size / 25 as g_aspect", "(k1 + 1) % 4 as p_holes", "(k2 * 3) % 9 as p_endpoints", "(k1 * 5) % 7 as p_junctions", "tilt * 20 as p_aspect", "k1 as g_bits", "k1 * 7 as p_bits")
 
 
 @query(f"WITH {_ITEMS} SELECT a, b, round({_LIKE}, 9) AS likeness FROM ({_SHAPES})")
@@ -152,14 +147,14 @@ def struct_similarity(spark, sf_dir):
     return _shapes(spark, sf_dir).select("a", "b", F.round(M.likeness("g_", "p_"), 9).alias("likeness"))
 
 
-@query(f"WITH {_ITEMS} SELECT a, b, round(0.55 * ncc + 0.25 * {_LIKE} + 0.20 * greatest(0, 1 - abs(ga - pa)), 9) AS score FROM (SELECT s.*, coalesce(bit_count(x & y) / nullif(bit_count(x | y), 0), 0) AS ncc FROM ({_SHAPES}) s JOIN (SELECT l_orderkey AS a, l_linenumber AS b, l_partkey AS x, l_partkey * 7 AS y FROM items) USING (a, b))")
+@query(f"WITH {_ITEMS} SELECT a, b, round(0.55 * ncc + 0.25 * {_LIKE} + 0.20 * greatest(0, 1 - abs(ga - pa)), 9) AS score FROM (SELECT s.*, coalesce(bit_count(x & y) / nullif(bit_count(x | y), 0), 0) AS ncc FROM ({_SHAPES}) s JOIN (SELECT line_key AS a, place AS b, k1 AS x, k1 * 7 AS y FROM items) USING (a, b))")
 def fused_score(spark, sf_dir):
     rows = _shapes(spark, sf_dir).withColumns({"w_ncc": F.lit(0.55), "w_struct": F.lit(0.25), "w_aspect": F.lit(0.20)})
     ncc = M.overlap(F.array("g_bits"), F.array("p_bits"))
     return rows.select("a", "b", F.round(M.fused("", ncc, M.likeness("g_", "p_"), M.aspect_likeness(F.col("g_aspect"), F.col("p_aspect"))), 9).alias("score"))
 
 
-_POINTS = "(CASE CAST(l_partkey % 5 AS INTEGER) WHEN 0 THEN 1604 WHEN 1 THEN 1575 WHEN 2 THEN 1605 WHEN 3 THEN 1576 ELSE 1610 END)"
+_POINTS = "(CASE CAST(k1 % 5 AS INTEGER) WHEN 0 THEN 1604 WHEN 1 THEN 1575 WHEN 2 THEN 1605 WHEN 3 THEN 1576 ELSE 1610 END)"
 
 
 def _replaced(expr: str) -> str:
@@ -171,13 +166,13 @@ def _replaced(expr: str) -> str:
     return out
 
 
-@query(f"WITH {_ITEMS}, g AS (SELECT l_orderkey AS line_id, string_agg(chr({_POINTS}), '' ORDER BY l_linenumber) AS s FROM items GROUP BY l_orderkey) SELECT line_id, {_replaced('s')} AS letters FROM g")
+@query(f"WITH {_ITEMS}, g AS (SELECT line_key AS line_id, string_agg(chr({_POINTS}), '' ORDER BY place) AS s FROM items GROUP BY line_key) SELECT line_id, {_replaced('s')} AS letters FROM g")
 def ligature_merge(spark, sf_dir):
-    items = _items(spark, sf_dir).select(F.col("l_orderkey").alias("line_id"), F.col("l_linenumber").alias("glyph_no"), F.expr(_POINTS).alias("codepoint"))
+    items = _items(spark, sf_dir).select(F.col("line_key").alias("line_id"), F.col("place").alias("glyph_no"), F.expr(_POINTS).alias("codepoint"))
     return M.ligatures(items, ["line_id"]).select("line_id", F.array_join(F.transform("points", T.character), "").alias("letters"))
 
 
-_BOX_COLUMNS = ("l_orderkey AS image_id", "l_linenumber AS glyph_no", "CAST(l_linenumber * 20 + l_partkey % 17 AS INTEGER) AS x", "CAST(3 + l_suppkey % 12 AS INTEGER) AS w", "CAST(CASE l_partkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 63 ELSE 97 + l_partkey % 26 END AS INTEGER) AS codepoint", "l_discount AS confidence")
+_BOX_COLUMNS = ("line_key AS image_id", "place AS glyph_no", "CAST(place * 20 + k1 % 17 AS INTEGER) AS x", "CAST(3 + k2 % 12 AS INTEGER) AS w", "CAST(CASE k1 % 6 WHEN 0 THEN 0 WHEN 1 THEN 63 ELSE 97 + k1 % 26 END AS INTEGER) AS codepoint", "sure AS confidence")
 _BOXES = f"SELECT {', '.join(_BOX_COLUMNS)} FROM items"
 
 
@@ -188,16 +183,16 @@ def gap_spacing(spark, sf_dir):
     return M.spelt(boxes, ["image_id"], ["glyph_no"]).withColumn("mean_confidence", F.round("mean_confidence", 9))
 
 
-@query(f"WITH {_ITEMS} SELECT line_id, glyph_no AS was, CASE WHEN rtl = 1 THEN max(glyph_no) OVER (PARTITION BY line_id) - glyph_no ELSE glyph_no END AS glyph_no FROM (SELECT l_orderkey AS line_id, l_linenumber AS glyph_no, l_orderkey % 21 AS seq FROM items) JOIN {PACKS} USING (seq)")
+@query(f"WITH {_ITEMS} SELECT line_id, glyph_no AS was, CASE WHEN rtl = 1 THEN max(glyph_no) OVER (PARTITION BY line_id) - glyph_no ELSE glyph_no END AS glyph_no FROM (SELECT line_key AS line_id, place AS glyph_no, line_key % 21 AS seq FROM items) JOIN {PACKS} USING (seq)")
 def rtl_order(spark, sf_dir):
     names = F.array(*(F.lit(p[0]) for p in registry.PACKS))
-    items = _items(spark, sf_dir).select(F.col("l_orderkey").alias("line_id"), F.col("l_linenumber").alias("glyph_no"), F.col("l_linenumber").alias("was"), F.element_at(names, (F.col("l_orderkey") % 21 + 1).cast("int")).alias("pack_id"))
+    items = _items(spark, sf_dir).select(F.col("line_key").alias("line_id"), F.col("place").alias("glyph_no"), F.col("place").alias("was"), F.element_at(names, (F.col("line_key") % 21 + 1).cast("int")).alias("pack_id"))
     return M.right_to_left(items, M.packs(spark), ["line_id"]).select("line_id", "was", "glyph_no")
 
 
-@query(f"WITH {_ITEMS} SELECT l_orderkey AS line_id, (list_sort(list(l_quantity)))[len(list(l_quantity)) // 2 + 1] AS median_w FROM items GROUP BY l_orderkey")
+@query(f"WITH {_ITEMS} SELECT line_key AS line_id, (list_sort(list(size)))[len(list(size)) // 2 + 1] AS median_w FROM items GROUP BY line_key")
 def upper_median(spark, sf_dir):
-    return M.upper_median(_items(spark, sf_dir).withColumnRenamed("l_orderkey", "line_id"), ["line_id"], "l_quantity", "median_w")
+    return M.upper_median(_items(spark, sf_dir).withColumnRenamed("line_key", "line_id"), ["line_id"], "size", "median_w")
 
 
 @query("SELECT pack_id, bitmap, min(proto_no) AS proto_no FROM (SELECT p_brand AS pack_id, p_size AS bitmap, p_partkey AS proto_no FROM part) GROUP BY pack_id, bitmap")
@@ -206,40 +201,18 @@ def prototype_dedupe(spark, sf_dir):
     return M.distinct_prototypes(rows).select("pack_id", "bitmap", "proto_no")
 
 
-@query()
-def pack_prototypes(spark, sf_dir):
-    """The Latin prototypes, as they are written to pack files."""
-    from scriptorium.sources import packs
-
-    table(spark, sf_dir, "benchmark")
-    return spark.createDataFrame(packs.rows_of(ocr.latin_pack()), packs.SCHEMA)
-
-
-@query()
-def match_drawn_letters(spark, sf_dir):
-    """Bit sets of drawn letters against bit sets of prototypes, by the relational match."""
-    import numpy as np
-
-    table(spark, sf_dir, "benchmark")
-    latin = ocr.latin_pack()
-    bits = lambda b: np.packbits(np.pad(b.ravel(), (0, -b.size % 64)), bitorder="little").view(np.int64).tolist()
-    rows = [("latin", int(cp), bits(b), *map(int, s[:3]), float(s[3])) for cp, b, s in zip(latin.points, latin.bitmaps, latin.shapes, strict=True)]
-    protos = spark.createDataFrame(rows, "pack_id string, codepoint long, bits array<long>, holes int, endpoints int, junctions int, aspect double")
-    return M.match_prototypes(protos.withColumnRenamed("codepoint", "glyph_no"), protos, M.packs(spark), ["glyph_no"])
-
-
 # Detection over drawn pages: every fifth page is blank, and hints are missing, without a letter, or the text.
 _READ = f"replace(replace({_CAPITALS}, 'II', 'I I'), 'II', 'I I')"
 _DETECTED = f"""d AS (SELECT item_id AS image_id, CASE WHEN item_id % 5 = 0 THEN '' ELSE {_READ} END AS read, CASE item_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '12 !' ELSE {_CAPITALS} END AS hint FROM benchmark)"""
 
 
-def _detected(spark, sf_dir) -> DataFrame:
+def _detected(spark, sf_dir, **options) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     said = _capitals()
     hint = F.when(F.col("item_id") % 3 == 1, "12 !").when(F.col("item_id") % 3 == 2, said)
     rows = items.select(F.col("item_id").alias("image_id"), F.when(F.col("item_id") % 5 == 0, "").otherwise(said).alias("text"), hint.alias("hint"))
     drawn = ocr.draw_terminal(rows.select("image_id", "text").repartition(2 * spark.sparkContext.defaultParallelism))
-    return detect.detect_images(drawn.join(rows.select("image_id", "hint"), "image_id"), [ocr.latin_pack()], "hint")
+    return detect.detect_images(drawn.join(rows.select("image_id", "hint"), "image_id"), [ocr.latin_pack()], "hint", **options)
 
 
 @query(f"""WITH {_DETECTED} SELECT image_id, CASE WHEN read = '' AND image_id % 3 = 2 THEN hint ELSE read END AS text, read AS ocr_text, CASE WHEN image_id % 3 < 2 THEN 'ocr' WHEN read = '' THEN 'unicode' ELSE 'hybrid' END AS identification_source,
@@ -267,7 +240,8 @@ def corpus_error_report(spark, sf_dir):
     return detect.corpus_report(_detected(spark, sf_dir), expected).select("lang", "strings", "errors", "chars", "passed")
 
 
-@query()
+@query(f"""WITH {_INK}, n AS (SELECT image_id, len(replace(s, ' ', '')) AS glyphs FROM t)
+SELECT image_id, CAST(0 AS INTEGER) AS line_no, CAST(min(x) AS INTEGER) AS x0, CAST(min(y) AS INTEGER) AS y0, CAST(max(x) + 1 AS INTEGER) AS x1, CAST(max(y) + 1 AS INTEGER) AS y1, max(glyphs) AS glyphs FROM dots_on JOIN n USING (image_id) GROUP BY image_id""")
 def page_lines(spark, sf_dir):
     """Glyph rows summed up to the lines of drawn pages."""
     glyphs = ocr.read_glyphs(_pages(spark, sf_dir), [ocr.latin_pack()])

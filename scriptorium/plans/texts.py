@@ -259,19 +259,22 @@ def languages_json(spark, sf_dir):
     return T.detect_languages(mixed(spark, sf_dir)).select("doc_id", F.to_json("languages").alias("languages_json"))
 
 
-@query()
+@query(f"""WITH {MIXED}, {counts_sql('mixed', 'doc_id')}, {PERCENT}, {RANKED},
+j AS (SELECT doc_id, string_agg('{{"code":"' || code || '","name":"' || name || '","percent":' || percent || ',"reliable":true}}', ',' ORDER BY rank) AS js FROM ranks GROUP BY doc_id)
+SELECT m.doc_id, '{{"text":' || CAST(to_json(text) AS VARCHAR) || ',"languages":[' || coalesce(js, '') || '],"mean_confidence":0.0,"glyph_count":0,"ocr_text":"","identification_source":"unicode"}}' AS result_json FROM mixed m LEFT JOIN j USING (doc_id)""")
 def result_json(spark, sf_dir):
     return T.result(mixed(spark, sf_dir)).select("doc_id", F.to_json("result").alias("result_json"))
 
 
 # Every word of a text is a string to be recognised; what was recognised stands in as the word without q, with tn for th and a
-# full stop doubled.  Plain ASCII on both sides, as DuckDB counts edits by bytes.
+# full stop doubled.  DuckDB's levenshtein counts edits by bytes, so on its side letters outside ASCII, of which none is edited,
+# stand as one ASCII sign for each: that changes no distance.
 _PAIRS = """pairs AS (SELECT lang, source, a, replace(replace(translate(a, 'q', ''), 'th', 'tn'), '.', '..') AS b
-FROM (SELECT lang, source, unnest(string_split(regexp_replace(text, '[^\\x20-\\x7E]', '', 'g'), ' ')) AS a FROM documents))"""
+FROM (SELECT lang, source, unnest(string_split(regexp_replace(text, '[^\\x00-\\x7F]', '~', 'g'), ' ')) AS a FROM documents))"""
 
 
 def _recognised(docs: DataFrame) -> DataFrame:
-    words = docs.select("lang", "source", F.explode(F.split(F.regexp_replace("text", "[^\\x20-\\x7E]", ""), " ")).alias("a"))
+    words = docs.select("lang", "source", F.explode(F.split("text", " ")).alias("a"))
     return words.withColumn("b", F.replace(F.replace(F.translate("a", "q", ""), F.lit("th"), F.lit("tn")), F.lit("."), F.lit("..")))
 
 

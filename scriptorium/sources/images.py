@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.functions import pixels, registry
+from scriptorium.functions import font, pixels, registry
 from scriptorium.operators import text as T
 
 GREY = "image_id long, path string, width int, height int, pixels binary, error string, code int"
@@ -68,12 +69,17 @@ def from_samples(df: DataFrame, *, id_col: str, width: str, height: str, channel
     return rows.mapInArrow(_grey, GREY)
 
 
+def from_pnm(df: DataFrame, id_col: str, content_col: str, path_col: str | None = None) -> DataFrame:
+    """Grey images from rows that hold P5 and P6 files."""
+    none, path = F.lit(None).cast("int"), F.col(path_col) if path_col else F.lit(None).cast("string")
+    rows = df.select(F.col(id_col).cast("long").alias("image_id"), path.alias("path"), none.alias("width"), none.alias("height"), none.alias("channels"), F.col(content_col).alias("data"), F.lit("PNM").alias("order"))
+    return rows.mapInArrow(_grey, GREY)
+
+
 def read_pnm(spark: SparkSession, path: str, glob: str = "*.p[gp]m") -> DataFrame:
     """Grey images from P5 and P6 files; the id is a hash of the path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    none = F.lit(None).cast("int")
-    rows = files.select(F.xxhash64("path").alias("image_id"), "path", none.alias("width"), none.alias("height"), none.alias("channels"), F.col("content").alias("data"), F.lit("PNM").alias("order"))
-    return rows.mapInArrow(_grey, GREY)
+    return from_pnm(files.withColumn("id", F.xxhash64("path")), "id", "content", "path")
 
 
 def read_images(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -90,6 +96,17 @@ def read_corpora(spark: SparkSession, path: str, glob: str = "corpus.txt") -> Da
     return lines.select("lang", F.col("line_no") + 1, T.stripped("line").alias("text")).toDF("lang", "line_no", "text")
 
 
+def with_file(images: DataFrame, kind: str, out: str = "content") -> DataFrame:
+    """Add each grey image as the bytes of a PNG or BMP file."""
+    make = {"png": font.as_png, "bmp": font.as_bmp}[kind]
+
+    def run(width: pa.Array, height: pa.Array, data: pa.Array) -> pa.Array:
+        rows = zip(width.to_pylist(), height.to_pylist(), data.to_pylist(), strict=True)
+        return pa.array([make(np.frombuffer(x, np.uint8).reshape(h, w)) if x and w and h else None for w, h, x in rows], pa.binary())
+
+    return images.withColumn(out, F.arrow_udf(run, "binary")("width", "height", "pixels"))
+
+
 def with_pgm(images: DataFrame, out: str = "content") -> DataFrame:
     """Add each grey image as the bytes of a P5 file."""
     head = F.concat(F.lit("P5\n"), F.col("width").cast("string"), F.lit(" "), F.col("height").cast("string"), F.lit("\n255\n"))

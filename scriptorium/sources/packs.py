@@ -20,6 +20,8 @@ from pyarrow import fs
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from scriptorium.sources.files import store
+
 # Fixed values of the format.
 MAGIC, VERSION, SUFFIX = b"CLPK", 1, ".clpk"
 #: The folder of what isn't committed yet.
@@ -68,11 +70,6 @@ def build(rows: list) -> bytes:
     return b"".join(out)
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    """A path or URI that all executors reach, as a file system and a path in it."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 @dataclass
 class _File(InputPartition):
     path: str
@@ -84,14 +81,14 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """A partition per file: the path itself, or every pack file of a folder; ``ids`` picks some by name."""
-        store, path = _store(self.options["path"])
-        if store.get_file_info(path).type == fs.FileType.File:
+        at, path = store(self.options["path"])
+        if at.get_file_info(path).type == fs.FileType.File:
             return [_File(path)]
         wanted = [f"{x}{SUFFIX}" for x in self.options.get("ids", "").split(",") if x]
-        return [_File(f"{path}/{f}") for f in wanted or sorted(x.base_name for x in store.get_file_info(fs.FileSelector(path)) if x.base_name.endswith(SUFFIX))]
+        return [_File(f"{path}/{f}") for f in wanted or sorted(x.base_name for x in at.get_file_info(fs.FileSelector(path)) if x.base_name.endswith(SUFFIX))]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with _store(self.options["path"])[0].open_input_stream(partition.path, compression=None) as f:
+        with store(self.options["path"])[0].open_input_stream(partition.path, compression=None) as f:
             data = f.read()
         try:
             yield from parse(data)
@@ -112,35 +109,35 @@ class _Writer(DataSourceWriter):
         self.path, self.overwrite = options["path"], overwrite
 
     def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
-        store, path = _store(self.path)
-        store.create_dir(f"{path}/{PARTS}")
+        at, path = store(self.path)
+        at.create_dir(f"{path}/{PARTS}")
         own = f"{path}/{PARTS}/{uuid.uuid4().hex}.parquet"
         schema = pa.schema([("pack_id", pa.string()), *((c, pa.int64()) for c in ("grid_w", "grid_h")), *((c, pa.float32()) for c in ("threshold", "w_ncc", "w_struct", "w_aspect")), *((c, pa.int64()) for c in ("proto_no", "codepoint", "holes", "endpoints", "junctions")), ("aspect", pa.float32()), ("bitmap", pa.binary())])
-        with pq.ParquetWriter(own, schema, filesystem=store) as out:
+        with pq.ParquetWriter(own, schema, filesystem=at) as out:
             while held := list(islice(rows, 4096)):
                 out.write_table(pa.Table.from_pylist([{c: bytes(r[c]) if c == "bitmap" else r[c] for c in schema.names} for r in held], schema))
         return _Part(own)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         """Packs are a few hundred kilobytes each and are put together one at a time."""
-        store, path = _store(self.path)
+        at, path = store(self.path)
         if self.overwrite:
-            for x in store.get_file_info(fs.FileSelector(path)):
+            for x in at.get_file_info(fs.FileSelector(path)):
                 if x.base_name.endswith(SUFFIX):
-                    store.delete_file(x.path)
+                    at.delete_file(x.path)
         parts = [m.path for m in messages if m is not None]
-        names = {x for p in parts for x in pq.read_table(p, columns=["pack_id"], filesystem=store).column(0).unique().to_pylist()}
+        names = {x for p in parts for x in pq.read_table(p, columns=["pack_id"], filesystem=at).column(0).unique().to_pylist()}
         for name in sorted(names):
-            rows = [r for p in parts for r in pq.read_table(p, filesystem=store, filters=[("pack_id", "=", name)]).to_pylist()]
-            with store.open_output_stream(f"{path}/{PARTS}/{name}{SUFFIX}", compression=None) as f:
+            rows = [r for p in parts for r in pq.read_table(p, filesystem=at, filters=[("pack_id", "=", name)]).to_pylist()]
+            with at.open_output_stream(f"{path}/{PARTS}/{name}{SUFFIX}", compression=None) as f:
                 f.write(build(rows))
-            store.move(f"{path}/{PARTS}/{name}{SUFFIX}", f"{path}/{name}{SUFFIX}")
+            at.move(f"{path}/{PARTS}/{name}{SUFFIX}", f"{path}/{name}{SUFFIX}")
         self.abort(messages)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        store, path = _store(self.path)
-        if store.get_file_info(f"{path}/{PARTS}").type == fs.FileType.Directory:
-            store.delete_dir(f"{path}/{PARTS}")
+        at, path = store(self.path)
+        if at.get_file_info(f"{path}/{PARTS}").type == fs.FileType.Directory:
+            at.delete_dir(f"{path}/{PARTS}")
 
 
 class GlyphPacks(DataSource):
