@@ -149,12 +149,13 @@ def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def with_component(own: DataFrame, linked: DataFrame, key: str) -> DataFrame:
     """(key, root, component_id) of every row of ``own``, key and least; linked: (key, root) of the keys that have a link.  The
-    members of a large group meet their component's least in SALTS tasks."""
+    members of a large group meet their component's least in SALTS tasks.  The result is written, so that a join with it can be
+    split where a key is hot."""
     linked = own.join(linked, key).select(key, "root", "least")
     best = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = linked.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(best, ["root", "salt"]).select(key, "root", "component_id")
+    found = linked.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(best.hint("merge"), ["root", "salt"]).select(key, "root", "component_id")
     alone = F.col("root").isNull()
-    return own.join(found, key, "left").select(key, F.coalesce("root", key).alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return own.join(found, key, "left").select(key, F.coalesce("root", key).alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id")).checkpoint()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
