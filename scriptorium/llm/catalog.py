@@ -65,6 +65,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("every").alias("spans"))
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 finds by patterns alone, without the field's spans: this much SQL can say."""
+    return pii.digests(pii.find_pii(_table(spark, sf_dir, "documents"))).drop("spans")
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 finds by patterns alone, without the spans of high entropy: this much SQL can say."""
+    return op10_secrets(spark, sf_dir).drop("spans")
+
+
 QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_pii": op2_pii,
@@ -76,9 +86,41 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "pii_base_spans": pii_base_spans,
+    "secret_base_spans": secret_base_spans,
 }
 
+
+def _matches(kind: str, rank: int, pattern: str, keep: str) -> str:
+    """SQL for the spans (doc_id, kind, rank, s, e) of a pattern's matches m, leftmost and non-overlapping: places are sums of
+    the lengths of what lies between the matches and of the matches."""
+    return f"""SELECT r, '{kind}' AS kind, {rank} AS rank, s, s + len(m) AS e FROM (SELECT r, m, CAST(sum(len(gap) + len(m)) OVER (PARTITION BY r ORDER BY i) - len(m) AS BIGINT) AS s
+FROM (SELECT r, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT r, regexp_extract_all(text, {pattern}) AS ms, regexp_split_to_array(text, {pattern}) AS gaps FROM d))) WHERE {keep}"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, len({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST({_DIGITS}[len({_DIGITS}) + 1 - i] AS INTEGER) ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][1 + CAST({_DIGITS}[len({_DIGITS}) + 1 - i] AS INTEGER)] END)) % 10 = 0"
+_D = "d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)"
+_SPANNED = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY {order})"
+
 ORACLES = {
+    "pii_base_spans": f"""
+WITH {_D}, spans AS (
+{_matches("email", 1, "'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+'", "true")}
+UNION ALL {_matches("ip", 2, "'[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)'", "list_max(list_transform(string_split(m, '.'), lambda p: CAST(p AS HUGEINT))) <= 255")}
+UNION ALL {_matches("card", 3, "'[0-9](?:[ -]?[0-9])+'", f"len({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}")}
+UNION ALL {_matches("phone", 4, "'\\+[0-9][ ().0-9-]+[0-9]'", f"len({_DIGITS}) BETWEEN 8 AND 15")}),
+t AS (SELECT r, count(*) FILTER (WHERE rank = 1) AS n_email, count(*) FILTER (WHERE rank = 2) AS n_ip, count(*) FILTER (WHERE rank = 3) AS n_card, count(*) FILTER (WHERE rank = 4) AS n_phone, {_SPANNED.format(order="rank, s")} AS said FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(said, '')) AS base_sha256 FROM d LEFT JOIN t USING (r)
+""",
+    "secret_base_spans": f"""
+WITH {_D}, spans AS (
+{_matches("assign", 1, "'(?i:password|passwd|secret|token|api_?key)[\"'']? *[:=] *[\"'']?[A-Za-z0-9+/_.=-]+'", "len(regexp_extract(m, '^(?i:password|passwd|secret|token|api_?key)[\"'']? *[:=] *[\"'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 12")}
+UNION ALL {_matches("access", 2, "'AKIA[A-Z0-9]+'", "len(m) >= 18")}
+UNION ALL {_matches("hex", 3, "'[0-9a-f]+'", "len(m) >= 16")}),
+t AS (SELECT r, count(*) FILTER (WHERE rank = 1) AS n_assign, count(*) FILTER (WHERE rank = 2) AS n_access, count(*) FILTER (WHERE rank = 3) AS n_hex, {_SPANNED.format(order="s, rank")} AS said FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(said, '')) AS base_sha256 FROM d LEFT JOIN t USING (r)
+""",
     "op3_decontaminate": r"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id,

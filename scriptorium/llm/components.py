@@ -23,7 +23,7 @@ def connect(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
             break  # every node has one link, to a node that has none: stars about the least nodes
         # large star: every neighbour above a node goes to the least of the node and its neighbours
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()  # written, so that a hub's rows can be split
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its lesser neighbours go to the least of those
         low = large.groupBy("a").agg(F.min("b").alias("m"))

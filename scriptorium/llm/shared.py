@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from scriptorium.functions.names import fresh as fresh
+
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """Make checkpoint() write to ``spark.checkpoint.dir``; only where that is unset, as in local tests, to a temporary folder."""
@@ -26,17 +28,6 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def fresh(columns: list[str], *names: str) -> list[str]:
-    """The names, each with as many underscores behind it as it takes not to clash with a column."""
-    taken, out = {c.lower() for c in columns}, []
-    for name in names:
-        while name in taken:
-            name += "_"
-        taken.add(name)
-        out.append(name)
-    return out
-
-
 def whole_ids(table: DataFrame, column: str) -> Column:
     """The ids as long; refused here, before any job starts, if they aren't whole numbers."""
     kind = table.select(F.col(column)).schema[0].dataType
