@@ -6,8 +6,9 @@ kept elsewhere.  Of rows with equal payloads of at least ``min_bytes`` those wit
 is comes from a map-side combined maximum per payload digest, so a payload that a third of all rows share costs one row per
 task; its rows meet the maximum in a join that the adaptive planner splits.
 
-``read_archives`` walks an archive's bytes once: it inflates member after member in pieces of ``PIECE`` bytes, frames each
-record by its Content-Length, and checks block and payload digests.  A damaged or cut-off record yields a row with
+``read_archives`` and ``read_files`` walk an archive once, from a column or straight from files: they inflate member after
+member in pieces of ``PIECE`` bytes, frame each record by its Content-Length, and check block and payload digests.  Of an
+archive only the member at hand is held, so files of any size can be read.  A damaged or cut-off record yields a row with
 ``error`` set, and reading goes on at the next member if one can be found.
 
 A null payload counts as empty, and a null address is left out.  Rows with equal ids and payloads are responses together.
@@ -18,11 +19,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.llm.textblock import each, packed
 
@@ -94,32 +99,54 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
     return joined.mapInArrow(_archives, "archive string, content binary")
 
 
-def _inflated(content: bytes) -> Iterator[tuple[int, bytes | None, str | None]]:
+def _inflated(source: BinaryIO) -> Iterator[tuple[int, bytes | None, str | None]]:
     """(offset, bytes, error) of each gzip member, fed to zlib piece by piece."""
-    at, n = 0, len(content)
-    view = memoryview(content)
-    while at < n:
-        if content[at : at + 2] != b"\x1f\x8b":
-            following = content.find(b"\x1f\x8b\x08", at + 1)
+    held, at, ended = b"", 0, False  # what is read and not used, where that begins, whether there is no more
+
+    def more() -> bool:
+        nonlocal held, ended
+        piece = b"" if ended else source.read(PIECE)
+        ended = not piece
+        held += piece
+        return bool(piece)
+
+    def skip(least: int) -> None:
+        """To the next thing that looks like a member, so many bytes on at least."""
+        nonlocal held, at
+        while (found := held.find(b"\x1f\x8b\x08", least)) < 0:
+            gone = max(0, len(held) - 2)
+            held, at, least = held[gone:], at + gone, max(0, least - gone)
+            if not more():
+                at, held = at + len(held), b""
+                return
+        held, at = held[found:], at + found
+
+    while held or more():
+        while len(held) < 3 and more():
+            pass
+        if held[:2] != b"\x1f\x8b":
             yield at, None, "not a gzip member"
-            at = following if following >= 0 else n
+            skip(1)
             continue
-        unpack, out, start = zlib.decompressobj(31), [], at
+        unpack, out, raw, start = zlib.decompressobj(31), [], [], at
         try:
-            while not unpack.eof and at < n:
-                out.append(unpack.decompress(view[at : at + PIECE]))
-                at = min(n, at + PIECE)
-            at -= len(unpack.unused_data)
+            while not unpack.eof and (held or more()):
+                raw.append(held)
+                piece, held = held, b""
+                out.append(unpack.decompress(piece))
+            held = unpack.unused_data
+            at = start + sum(map(len, raw)) - len(held)
             yield start, b"".join(out), None if unpack.eof else "the member is cut off"
         except zlib.error as e:
-            following = content.find(b"\x1f\x8b\x08", start + 3)
             yield start, None, f"zlib: {e}"
-            at = following if following >= 0 else n
+            held = b"".join(raw) + held
+            skip(3)
 
 
-def records(content: bytes) -> Iterator[dict]:
+def records(source: bytes | BinaryIO) -> Iterator[dict]:
     """Every record of an archive, in order."""
-    for offset, data, error in _inflated(content):
+    source = io.BytesIO(source) if isinstance(source, bytes) else source
+    for offset, data, error in _inflated(source):
         row = dict.fromkeys(_RECORD.names) | {"offset": offset, "error": error}
         if data is None or error:
             yield row
@@ -157,18 +184,43 @@ def read_archives(archives: DataFrame, *, name_col: str = "archive", content_col
     return archives.select(F.col(name_col).alias("archive"), F.col(content_col).alias("content")).mapInArrow(read, RECORD_SCHEMA)
 
 
+def read_files(spark: SparkSession, folder: str, glob: str = "*.warc.gz") -> DataFrame:
+    """A row per record of the files of a folder, given as a URI that every executor reaches.  Spark lists the files; a task
+    reads its files in pieces, never one as a whole."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder).select("path")
+    n = found.count()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for b in batches:
+                for uri in each(b.column("path")):
+                    store, path = _store(uri)
+                    with store.open_input_stream(path, compression=None) as f:
+                        yield from (tuple({**r, "archive": uri}.values()) for r in records(f))
+
+        yield from packed(rows(), _RECORD, lambda r: len(r[8] or b""))
+
+    return found.repartition(max(1, min(n, 20_000))).mapInArrow(read, RECORD_SCHEMA)
+
+
+def _store(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
+
+
 def save(archives: DataFrame, folder: str) -> None:
     """Put archives into files below a folder given as a URI that every executor reaches."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, top = fs.FileSystem.from_uri(folder)
+        store, top = _store(folder)
         store.create_dir(top)
         for b in batches:
             for name, content in zip(each(b.column("archive")), each(b.column("content")), strict=True):
-                with store.open_output_stream(f"{top}/{name}", compression=None) as out:
+                part = f"{top}/.{name}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part, compression=None) as out:
                     out.write(content)
+                store.move(part, f"{top}/{name}")  # a task that runs twice leaves whole files
             yield pa.RecordBatch.from_arrays([b.column("archive")], ["archive"])
 
     archives.select("archive", "content").mapInArrow(put, "archive string").write.format("noop").mode("overwrite").save()

@@ -55,3 +55,37 @@ def test_files(spark, tmp_path):
     back = W.read_archives(spark.read.format("binaryFile").load(f"{tmp_path}/w"), name_col="path")
     assert back.where("record_type <> 'warcinfo' and digest_ok").count() == 3
     assert W.read_archives(W.write_archives(pages.limit(0))).count() == 0
+
+
+def test_reading_in_pieces(monkeypatch):
+    """Whatever the size of a piece, the same records, errors and places; damage between and within members is skipped."""
+    import random
+
+    r = random.Random(4)
+    members = [W.response(f"urn:page:{i}", "http://x/", bytes(r.randrange(256) for _ in range(r.randint(0, 3000))), None) for i in range(12)]
+    sound = b"".join(members)
+    broken = bytearray(sound)
+    at = len(b"".join(members[:4])) + 60
+    broken[at : at + 20] = bytes(20)
+    for data in (sound, b"", sound[:-30], b"junk" * 50 + sound, bytes(broken), members[0] + b"\x1f\x8b" + members[1], b"\x1f", sound + b"\x1f\x8b\x08"):
+        seen = []
+        for size in (7, 100, 64 << 10):
+            monkeypatch.setattr(W, "PIECE", size)
+            seen.append([{k: v for k, v in x.items()} for x in W.records(data)])
+        assert seen[0] == seen[1] == seen[2]
+        offsets = [x["offset"] for x in seen[0]]
+        assert offsets == sorted(offsets) and all(o <= len(data) for o in offsets)
+    assert sum(x["error"] is None for x in W.records(bytes(broken))) == 11 and len(list(W.records(sound))) == 12
+
+
+def test_files_are_read_in_pieces(spark, edge, tmp_path):
+    pages = edge.selectExpr("doc_id as page_id", "source as url", "text as html")
+    archives = W.write_archives(pages)
+    W.save(archives, f"file://{tmp_path}/w")
+    strip = lambda df: sorted((str(r.record_id), r.record_type, r.payload_digest, r.refers_to or "", r.error or "") for r in df.where("record_type <> 'warcinfo'").collect())
+    got = strip(W.read_files(spark, f"file://{tmp_path}/w"))
+    assert len(got) == edge.count() and not any(x[4] for x in got)
+    import gzip
+
+    blob = next((tmp_path / "w").iterdir())
+    assert gzip.open(blob).read().startswith(b"WARC/1.0")
