@@ -243,8 +243,9 @@ def classify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
 
 
 def with_language(docs: DataFrame, *, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents, all columns, whose language is found with a score of ``least`` at any rate; the model is learned from
-    them."""
+    """The documents, all columns, whose language is found with a score of ``least`` at any rate, a language that was null being
+    replaced by the one found; the model is learned from them."""
     lang, score = fresh(docs.columns, "lang_pred", "score")
     found = classify(docs, train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), id_col=id_col, text_col=text_col, keep=True, names=(lang, score))
-    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
+    kept = found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least))
+    return kept.select(*(F.coalesce(c, lang).alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns))

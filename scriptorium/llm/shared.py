@@ -39,3 +39,9 @@ def whole_ids(table: DataFrame, column: str) -> Column:
 def with_fields(table: DataFrame, columns: list[str], ddl: str) -> T.StructType:
     """The schema of some columns as they are, and further fields."""
     return T.StructType([table.schema[c] for c in columns] + T.StructType.fromDDL(ddl).fields)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a written table that is no longer read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

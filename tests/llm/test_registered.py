@@ -1,5 +1,6 @@
 """Registered queries against their SQL, and the pipeline."""
 
+import os
 import re
 
 import pytest
@@ -22,7 +23,12 @@ def test_query(spark, duck, name):
 
 
 def test_pipeline(spark):
+    use_checkpoint_dir(spark)
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    had = set(os.listdir(top))
     out = corpus_pipeline.run(spark, DATA).toPandas()
+    (folder,) = (x for x in set(os.listdir(top)) - had if x.startswith("pipeline-"))
+    assert os.listdir(f"{top}/{folder}") == ["4-tokens"]
     docs = spark.read.parquet(f"{DATA}/documents.parquet").toPandas()
     assert set(docs.columns) < set(out.columns) and out.lossless.all() and out.doc_id.is_unique
     assert 0.8 * len(docs) < len(out) < len(docs)
@@ -90,6 +96,7 @@ def test_pipeline_by_hand(spark):
             ws[len(ws) // 2] = "changed"
         more.append((10**6 + k, " ".join(ws) + (" write to jane.roe [at] acme [dot] co [dot] uk" if k % 4 == 0 else ""), r.lang, r.source))
     items = [(r.item_id, r.text) for r in bench.collect()]
+    more = [(i, t, None if i % 2 else lang, source) for i, t, lang, source in more]
     more += [(3 * 10**6, "please write to jane.roe [at] acme [dot] co [dot] uk about the cat", "en", "x"), (2 * 10**6, f"we said that {items[0][1]} and more", "en", "x"), (2 * 10**6 + 1, "12 345", "en", "x"), (2 * 10**6 + 2, None, None, None)]
     kinds = dict(docs.dtypes)
     added = spark.createDataFrame(more, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
@@ -104,6 +111,9 @@ def test_pipeline_by_hand(spark):
     got = rows.collect()
     assert {r.doc_id: r.text for r in got} == want and len(got) == len(want) and all(r.lossless and (r.n_chars or 0) == len(r.text or "") for r in got if r.doc_id >= 10**6)
     assert {r.doc_id: r.text for r in pieces.decode(rows).collect()} == want
+    model = langid.train(every)
+    tongue = {r.doc_id: r.lang or language_by_hand(model, r.text)[0] for r in every.collect() if r.doc_id in want}
+    assert {r.doc_id: r.lang for r in got} == tongue
     assert not {2 * 10**6, 2 * 10**6 + 1, 2 * 10**6 + 2} & set(want) and any("[EMAIL]" in t for t in want.values())
 
 
