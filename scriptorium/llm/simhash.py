@@ -14,7 +14,9 @@ matches; every choice finds the same links.
 
 Large groups of near copies are first drawn together: each fingerprint in a crowded segment emits itself and its 64
 neighbours at one bit, and all that meet at a value are at most two bits apart, so one link to the smallest suffices for
-each.  The join over segments then skips pairs already connected, so it does not emit all pairs of a group.
+each.  The join over segments then skips pairs already connected, so it does not emit all pairs of a group.  Where more than
+``MOST_TOGETHER`` fingerprints have one value of a segment, they are indexed once more, by segments of their other bits, so
+that no value's members are compared with each other one by one.
 
 A null text counts as empty.  Ids may have any type that can be ordered.  A component of null ids only has a null ``component_id``; rows with equal ids get equal rows.
 Further columns are ignored by ``near_duplicates`` and kept by ``one_of_each``.
@@ -39,6 +41,8 @@ SHINGLE = 4
 #: A segment's value is crowded if so many fingerprints more than twice the average have it.  A group's members meet the least
 #: of them in so many tasks.
 CROWD, SALTS = 32, 16
+#: So many fingerprints with one value of a segment are compared directly; more by segments of their other bits.
+MOST_TOGETHER = 4096
 #: Segments as (bits, radius), low bits first.  In each row the radii plus one add up to more than RADIUS.
 PLANS = (((19, 0), (22, 1), (23, 1)), ((29, 1), (35, 2)))
 
@@ -117,15 +121,47 @@ def _close(crowded: DataFrame) -> DataFrame:
     return near.join(least, "at").where("fp > b").select(F.col("fp").alias("a"), "b")
 
 
-def _links(labelled: DataFrame, n: int) -> DataFrame:
+def _links(labelled: DataFrame, n: int, most: int = MOST_TOGETHER) -> DataFrame:
     """Links between fingerprints of different groups; labelled: fp, grp."""
     tables, probes, masks = _tables(n)
     table = labelled.select(F.expr(f"explode(array({', '.join(tables)}))").alias("at"), F.col("fp").alias("b"), F.col("grp").alias("grp_b"))
     probe = labelled.select(F.expr(f"explode(concat({', '.join(probes)}))").alias("at"), F.col("fp").alias("a"), F.col("grp").alias("grp_a"))
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    earlier = " AND ".join(f"(shiftright(at, 48) <= {s} OR bit_count((a ^ b) & {signed(m)}L) > {r})" for s, (m, r) in enumerate(masks[:-1]))
-    on = f"p.at = t.at AND a > b AND grp_a <> grp_b AND bit_count(a ^ b) <= {RADIUS} AND {earlier.replace('shiftright(at', 'shiftright(p.at')}"
-    return probe.alias("p").join(table.alias("t"), F.expr(on)).select("a", "b")
+    earlier = " AND ".join(f"(shiftright(p.at, 48) <= {s} OR bit_count((a ^ b) & {signed(m)}L) > {r})" for s, (m, r) in enumerate(masks[:-1]))
+    near = f"p.at = t.at AND a > b AND grp_a <> grp_b AND bit_count(a ^ b) <= {RADIUS} AND {earlier}"
+    many = table.groupBy("at").agg(F.count("*").alias("m")).where(F.col("m") > most).select("at").checkpoint()
+    if many.isEmpty():
+        return probe.alias("p").join(table.alias("t"), F.expr(near)).select("a", "b")
+    few = probe.join(many, "at", "left_anti").alias("p").join(table.join(many, "at", "left_anti").alias("t"), F.expr(near)).select("a", "b")
+    # of what agrees in one segment, the other bits are cut into segments of their own
+    sub_table, sub_probe = zip(*(_others(bits, low) for bits, low in _places(n)), strict=True)
+    by = lambda each, fp: "CASE " + " ".join(f"WHEN shiftright(at, 48) = {s} THEN {e.replace('fp', fp)}" for s, e in enumerate(each)) + " END"
+    tables_in = table.join(many, "at", "left_semi").select("*", F.explode(F.expr(by(sub_table, "b"))).alias("sub"))
+    probes_in = probe.join(many, "at", "left_semi").select("*", F.explode(F.expr(by(sub_probe, "a"))).alias("sub"))
+    return few.union(probes_in.alias("p").join(tables_in.alias("t"), F.expr(f"p.sub = t.sub AND {near}")).select("a", "b").distinct())
+
+
+def _places(n: int) -> list[tuple[int, int]]:
+    """(bits, lowest bit) of the segments."""
+    out, low = [], 0
+    for bits, _ in plan(n):
+        out.append((bits, low))
+        low += bits
+    return out
+
+
+def _others(bits: int, low: int) -> tuple[str, str]:
+    """SQL, over the bits outside a segment cut in three, for the arrays of values to store and to probe; the radii plus one add
+    up to more than RADIUS once more."""
+    rest = f"((fp & {(1 << low) - 1}L) | shiftleft(shiftrightunsigned(fp, {low + bits}), {low}))" if low + bits < 64 else f"(fp & {(1 << low) - 1}L)"
+    size = 64 - bits
+    cuts = [0, size // 3, 2 * size // 3, size]
+    store, probe = [], []
+    for k, r in enumerate((0, 1, 1)):
+        seg = f"(shiftrightunsigned({rest}, {cuts[k]}) & {(1 << cuts[k + 1] - cuts[k]) - 1}L)"
+        store.append(f"{seg} | {k << 48}L")
+        probe.append(f"transform({_ball(seg, cuts[k + 1] - cuts[k], r)}, x -> x | {k << 48}L)")
+    return f"array({', '.join(store)})", f"concat({', '.join(probe)})"
 
 
 def components(distinct: DataFrame) -> DataFrame:

@@ -66,6 +66,8 @@ def test_links_in_every_plan(spark):
         got = [(x.a, x.b) for x in S._links(df, n).collect()]
         assert len(got) == len(set(got)) and set(got) == want
         assert S.plan(n) == S.PLANS[n > 10**6]
+        deeper = [(x.a, x.b) for x in S._links(df, n, most=3).collect()]
+        assert len(deeper) == len(set(deeper)) and set(deeper) == want
     assert {r.fp for r in S._crowded(df, len(values)).collect()} and S._crowded(df, 10**10).count() == 0
     root = {x.fp: x.root for x in S.components(df.select("fp")).collect()}
     group = classes(sorted(values), lambda a, b: (a ^ b).bit_count() <= 4)
