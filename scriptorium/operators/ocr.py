@@ -378,6 +378,28 @@ def read_lines(images: DataFrame, deskew: bool = False) -> DataFrame:
     return _prepared(images).mapInArrow(run, "image_id long, line_no int, x int, y int, w int, h int")
 
 
+#: Ways to cut a line into glyphs: plain, and plain with marks as part of their letters, and those of joined scripts.
+SEGMENTERS = {"plain": pixels.segment, "marks": lambda ink: pixels.attach_marks(pixels.segment(ink)), "indic": pixels.segment_indic, "arabic": pixels.segment_arabic}
+
+
+def segment_lines(images: DataFrame, *hows: str) -> DataFrame:
+    """how, image_id, line_no, glyph_no, x, w of the glyphs that each of some segmenters cuts lines into."""
+    schema = pa.schema([("how", pa.string()), ("image_id", pa.int64()), *((c, pa.int32()) for c in ("line_no", "glyph_no", "x", "w"))])
+
+    def cut(key: int, image: np.ndarray) -> Iterator[dict]:
+        ink = pixels.binarised(image)
+        for k, (x, y, w, h) in enumerate(pixels.page_lines(ink)):
+            for how in hows:
+                yield from ({"how": how, "image_id": key, "line_no": k, "glyph_no": i, "x": g.x, "w": g.w} for i, g in enumerate(SEGMENTERS[how](ink[y : y + h, x : x + w])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                yield pa.RecordBatch.from_pylist([row for key, image, _ in _images(iter([b.slice(lo, 256)])) if not isinstance(image, str) for row in cut(key, image)], schema)
+
+    return _prepared(images).mapInArrow(run, "how string, image_id long, line_no int, glyph_no int, x int, w int")
+
+
 def read_parts(images: DataFrame, below: int = 128) -> DataFrame:
     """image_id, x, y, w, h, n of the connected parts of the pixels darker than ``below``."""
 

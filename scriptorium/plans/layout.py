@@ -268,6 +268,20 @@ def _lined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.draw_lines(rows, "lines", _GAPS, id_col="item_id")
 
 
+# Every word on a page of its own, cut by each segmenter: letters stand apart; joined scripts take a line of at most 250 pixels
+# for one glyph.
+@query(f"""WITH w AS (SELECT item_id * 100000 + i AS image_id, ws[i] AS s FROM (SELECT item_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT item_id, string_split({_CAPITALS}, ' ') AS ws FROM benchmark)) WHERE ws[i] <> ''),
+c AS (SELECT image_id, i, s[i] AS c, s[1] = 'I' AS thin FROM (SELECT image_id, s, unnest(range(1, len(s) + 1)) AS i FROM w)),
+g AS MATERIALIZED (SELECT image_id, i - 1 AS glyph_no, 28 * (i - 1) + CASE WHEN c = 'I' THEN 4 ELSE 0 END - CASE WHEN thin THEN 4 ELSE 0 END AS x, CASE WHEN c = 'I' THEN 12 ELSE 20 END AS w FROM c),
+l AS (SELECT image_id, max(x + w) AS width FROM g GROUP BY image_id),
+r AS (SELECT how, image_id, glyph_no, x, w FROM g, (VALUES ('plain'), ('indic'), ('marks')) h(how) UNION ALL SELECT 'arabic', image_id, glyph_no, x, w FROM g JOIN l USING (image_id) WHERE width > 250 UNION ALL SELECT 'arabic', image_id, 0, 0, width FROM l WHERE width <= 250)
+SELECT how, image_id, CAST(glyph_no AS INTEGER) AS glyph_no, CAST(x AS INTEGER) AS x, CAST(w AS INTEGER) AS w FROM r""")
+def segmented_words(spark, sf_dir):
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split(_capitals(), " ")).alias("i", "text")).where("text <> ''")
+    pages = ocr.draw_terminal(words.select((F.col("item_id") * 100000 + F.col("i") + 1).alias("image_id"), "text").repartition(2 * spark.sparkContext.defaultParallelism))
+    return ocr.segment_lines(pages, *ocr.SEGMENTERS).drop("line_no")
+
+
 # Boxes of glyphs, eight to a line.
 _BOXES = ("line_key AS line_id", "place AS glyph_no", "CAST(place * 14 + k1 % 17 AS INTEGER) AS x", "CAST(k2 % 9 AS INTEGER) AS y", "CAST(3 + k2 % 12 AS INTEGER) AS w", "CAST(2 + k1 % 23 AS INTEGER) AS h")
 
