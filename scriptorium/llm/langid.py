@@ -4,8 +4,8 @@ A linear support vector machine on hashed byte n-grams first picks the language
 family, machines for each pair of languages vote (ties go to the larger sum of margins).  The machines have no bias, so a
 text's whole n-gram counts need no normalising to be classed: each adds up one weight per position, over all of the text.
 
-Training: of each of the ``MOST_LANGUAGES`` most frequent labels at most ``PER_LANGUAGE`` different rows, chosen by a hash of id
-and text among the rows that may be learned from; only their n-gram counts come to the driver, where dual coordinate descent fits the machines and a two-parameter
+Training: of each of the ``MOST_LANGUAGES`` most frequent labels at most ``PER_LANGUAGE`` different rows, and ``MOST_SAMPLES`` of all, chosen by a
+hash of id and text among the rows that may be learned from; only their n-gram counts come to the driver, where dual coordinate descent fits the machines and a two-parameter
 logistic turns margins per n-gram into probabilities.  ``score`` is the family's probability times the least one within it.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every text if there is nothing to learn from.  Rows
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from scriptorium.llm.shared import fresh
 from scriptorium.llm.textblock import ALNUM, LOWER, blocks
 
-PER_LANGUAGE, MOST_LANGUAGES = 400, 200
+PER_LANGUAGE, MOST_LANGUAGES, MOST_SAMPLES = 400, 200, 8000
 SIZE = 1 << 14
 ORDERS = (2, 3, 4)
 EPOCHS, COST = 12, 1.0
@@ -204,6 +204,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return None
+    per_language = min(per_language, MOST_SAMPLES // len(sizes))
     share = F.create_map(*[F.lit(v) for c, n in sizes.items() for v in (c, min(1.0, 1.3 * per_language / n) * (1 << 30))])
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("mark"))
     few = rows.where(F.pmod("mark", F.lit(1 << 30)) < share[F.col("lang")]).dropDuplicates(["lang", "mark"])

@@ -15,7 +15,8 @@ binary row for each chunk and range of hash values: (hash, blocks here, runs her
 the chunks answer with the hashes of the windows about the hits and the first place where each starts, and each range says
 for which of them another chunk has an earlier place.  A hash that a third of all documents hold thus costs one entry per
 chunk.  Hashes have 44 bits for probes, where a chance match costs a comparison only, and 128 for windows, which decide.
-Numbers are packed byte plane by byte plane, so that what sorted or small numbers share is squeezed out of the shuffle.
+Numbers are packed byte plane by byte plane, so that what sorted or small numbers share is squeezed out of the shuffle.  A range
+holds its messages, unpacked, and works through them by the hashes' order, about ``PASS`` entries at a time.
 
 Null texts and texts of fewer than SPAN words keep all words.  Rows with equal ids are ordered by a hash of id and text,
 whose upper bits are also the chunk; equal rows fall into one chunk and are ordered by their place there.  Null ids come before all others, in the order of
@@ -40,7 +41,9 @@ BLOCK = 10
 #: Bytes of text in a chunk, on average.
 CHUNK_BYTES = 14 << 20
 #: Shuffle partitions and hash ranges at most; beyond, a task works through several chunks, and a range grows.
-MOST_TASKS, MOST_RANGES = 20_000, 65_536
+MOST_TASKS, MOST_RANGES = 20_000, 1 << 18
+#: A range works on about so many entries at a time.
+PASS = 1 << 22
 #: Probe entries: 44 bits of the hash above 4 that carry how many blocks (0 to 2) and runs (1 or 2) there are.
 _SHIFT, _KEY = np.uint64(16), np.uint64(0xFFFFFFFFFFF0)
 #: Bytes of the numbers in each kind of message.
@@ -159,26 +162,48 @@ def _answers(chunks: list[int], owner: np.ndarray, columns: list[np.ndarray], wi
     return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def _which_hit(group: pa.Table) -> pa.Table:
+def _passes(group: pa.Table, widths: tuple[int, ...], most: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The columns of all messages and each entry's message, in runs of the first column's values, by which messages are sorted.
+    What differs in the lowest 4 bits only, where probes have their counts, is never in two runs."""
+    blobs = group.column("blob").to_pylist()
+    total = sum(len(x) // sum(widths) for x in blobs)
+    if total <= most:
+        yield _split(blobs, widths)
+        return
+    held = [_split([x], widths)[0] for x in blobs]
+    del blobs
+    lo, hi = (int(f(int(h[0][i]) for h in held if len(h[0]))) for f, i in ((min, 0), (max, -1)))
+    n = -(-total // most)
+    cuts = [np.searchsorted(h[0], np.array([lo + (hi - lo + 1) * k // n & -16 for k in range(n)], np.uint64)).tolist() + [len(h[0])] for h in held]
+    for k in range(n):
+        parts = [[c[at[k] : at[k + 1]] for c in h] for h, at in zip(held, cuts, strict=True)]
+        yield [np.concatenate(c) for c in zip(*parts, strict=True)], np.repeat(np.arange(len(held)), [len(p[0]) for p in parts])
+
+
+def _which_hit(group: pa.Table, most: int = PASS) -> pa.Table:
     """To each chunk of a range: its hashes of which there is a block and another run, with the number of blocks."""
-    (entries,), owner = _split(group.column("blob").to_pylist(), _PROBE)
-    order = np.argsort(entries, kind="stable")
-    entries, owner = entries[order], owner[order]
-    keys = entries & _KEY
-    total = _summed(keys, entries & np.uint64(3), entries >> np.uint64(2) & np.uint64(3))
-    total = total[((total & np.uint64(3)) >= 1) & ((total >> np.uint64(2) & np.uint64(3)) >= 2)]
-    hit = found(total & _KEY, keys)
-    answer = total[np.searchsorted(total & _KEY, keys[hit])] & ~np.uint64(12)
-    return _answers(group.column("chunk").to_pylist(), owner[hit], [answer], _PROBE)
-
-
-def _which_later(group: pa.Table) -> pa.Table:
+    out = []
+    for (entries,), owner in _passes(group, _PROBE, most):
+        order = np.argsort(entries, kind="stable")
+        entries, owner = entries[order], owner[order]
+        keys = entries & _KEY
+        total = _summed(keys, entries & np.uint64(3), entries >> np.uint64(2) & np.uint64(3))
+        total = total[((total & np.uint64(3)) >= 1) & ((total >> np.uint64(2) & np.uint64(3)) >= 2)]
+        hit = found(total & _KEY, keys)
+        answer = total[np.searchsorted(total & _KEY, keys[hit])] & ~np.uint64(12)
+        out.append(_answers(group.column("chunk").to_pylist(), owner[hit], [answer], _PROBE))
+    return pa.concat_tables(out)
+
+
+def _which_later(group: pa.Table, most: int = PASS) -> pa.Table:
     """To each chunk of a range: its windows of which another chunk has the earlier place."""
-    (a, b, ids, place), owner = _split(group.column("blob").to_pylist(), _PLACE)
-    order = np.lexsort((place, group.column("chunk").to_numpy()[owner], ids.view(np.int64), b, a))
-    a, b, owner = a[order], b[order], owner[order]
-    later = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
-    return _answers(group.column("chunk").to_pylist(), owner[later], [a[later], b[later]], _LATER)
+    out = []
+    for (a, b, ids, place), owner in _passes(group, _PLACE, most):
+        order = np.lexsort((place, group.column("chunk").to_numpy()[owner], ids.view(np.int64), b, a))
+        a, b, owner = a[order], b[order], owner[order]
+        later = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
+        out.append(_answers(group.column("chunk").to_pylist(), owner[later], [a[later], b[later]], _LATER))
+    return pa.concat_tables(out)
 
 
 def _in_pairs(told: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -269,9 +294,9 @@ def mark_repeats(docs: DataFrame, kernel, schema: pa.Schema, *, id_col: str = "d
     group = "part int, chunk long, blob binary"
     answer = "chunk long, blob binary"
     sent = by_chunk.groupBy("chunk").applyInArrow(probes, group)
-    hits = sent.repartition(tasks, "part").groupBy("part").applyInArrow(_which_hit, answer)
+    hits = sent.repartition(tasks, "part").groupBy("part").applyInArrow(lambda group: _which_hit(group), answer)
     placed = by_chunk.groupBy("chunk").cogroup(hits.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(places, group)
-    later = placed.repartition(tasks, "part").groupBy("part").applyInArrow(_which_later, answer)
+    later = placed.repartition(tasks, "part").groupBy("part").applyInArrow(lambda group: _which_later(group), answer)
     told = hits.withColumn("kind", F.lit(0)).unionByName(later.withColumn("kind", F.lit(1))).repartition(tasks, "chunk")
     out = ", ".join(f"{f.name} {'string' if pa.types.is_string(f.type) else 'long'}" for f in schema)
     return by_chunk.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(judged, out)

@@ -89,6 +89,33 @@ def test_word_hashes_are_independent():
     assert not np.intersect1d(words.hashes(0), words.hashes(1)).size
 
 
+def test_ranges_in_passes():
+    """A range gives the same answers however few entries it works on at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+
+    def told(f, group, widths, most):
+        out = {}
+        for chunk, blob in zip(*(c.to_pylist() for c in f(group, most).columns), strict=True):
+            out.setdefault(chunk, []).append(np.stack(S._split([blob], widths)[0]))
+        return {k: np.concatenate(v, axis=1).tolist() for k, v in out.items()}
+
+    probes, places = [], []
+    for _ in range(7):
+        key = np.unique(r.integers(0, 3000, 400).astype(np.uint64)) << np.uint64(4)
+        probes.append(S._packed([key | r.integers(0, 3, len(key)).astype(np.uint64) | r.integers(1, 3, len(key)).astype(np.uint64) << np.uint64(2)], S._PROBE))
+        a = np.sort(r.integers(0, 200, 300).astype(np.uint64) * np.uint64(2**55 + 12345))
+        places.append(S._packed([a, a % np.uint64(7), r.integers(-50, 50, 300).astype(np.int64), r.integers(0, 50, 300)], S._PLACE))
+    for f, blobs, sent, answered in ((S._which_hit, probes, S._PROBE, S._PROBE), (S._which_later, places, S._PLACE, S._LATER)):
+        group = pa.table({"chunk": pa.array(range(10, 17), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        whole = told(f, group, answered, 1 << 22)
+        assert whole and sum(len(x[0]) for x in whole.values()) > 100
+        for most in (1000, 300, 37):
+            assert told(f, group, answered, most) == whole
+
+
 def test_ids_that_are_no_numbers(spark):
     with pytest.raises(TypeError, match="whole number"):
         S.removal_digests(spark.createDataFrame([("a-1", "x")], "doc_id string, text string"))
