@@ -35,6 +35,7 @@ GRAM = 5
 INDEX_BYTES, ROW_BYTES = 8 << 20, 64
 #: Bits of the bitmap of the benchmark's fingerprints, as a power of two: 8 MB, whatever the benchmark.
 FILTER_BITS = 26
+SALTS = 16
 RUNS = "array<struct<start:int,end:int>>"
 
 
@@ -270,10 +271,11 @@ def _hit_texts(texts: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame
     bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     bitmap[slots.column("at").to_numpy()] = slots.column("bits").to_numpy().view(np.uint64)
     lengths = sorted(r[0] for r in theirs.select("n").distinct().collect())
-    keyed = texts.select(text_key(F.col("text")).alias("key"), "text")
-    prints = keyed.mapInArrow(_doc_prints(lengths, texts.sparkSession.sparkContext.broadcast(bitmap)), "n int, print long, key binary, place int").distinct()
+    keyed = texts.select(text_key(F.col("text")).alias("key"), "text", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    prints = keyed.select("key", "text").mapInArrow(_doc_prints(lengths, texts.sparkSession.sparkContext.broadcast(bitmap)), "n int, print long, key binary, place int").distinct()
     met = prints.join(theirs.select("n", "print").distinct(), ["n", "print"], "left_semi").groupBy("key").agg(F.collect_list(F.struct("n", "place")).alias("met")).checkpoint()
-    once = keyed.join(met.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    salted = met.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # copies of one text meet in SALTS tasks first
+    once = keyed.join(salted, ["key", "salt"], "left_semi").dropDuplicates(["key"]).drop("salt")
     windows = once.join(met, "key").mapInArrow(_extended, "key binary, n_words long, n int, start int, window string")
     hits = windows.join(theirs.select("n", "window").distinct(), ["n", "window"], "left_semi").checkpoint()
     marked = hits.groupBy("key").agg(F.max("n_words").alias("n_words"), F.collect_list(F.struct("start", "n")).alias("hits")).mapInArrow(_merged, f"key binary, n_words long, n_hit long, hit_runs {RUNS}")
@@ -285,10 +287,17 @@ def _by_joins(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The same as with the index, for a benchmark of any size; nothing is collected but the bitmap."""
     marked, met = _hit_texts(docs.select("text"), items)
     named = met.groupBy("key").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    n_words = F.regexp_count(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
-    found_ = marked.drop("n_words").join(named, "key", "left")
+    found_ = marked.drop("n_words").join(named, "key", "left").checkpoint()  # written, so that the join with all rows can be split
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [np.diff(Words(LOWER[raw], at, ALNUM).first) for _, _, raw, at in blocks(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.concatenate([np.zeros(0, np.int64), *n]))], ["doc_id", "key", "n_words"])
+
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
+    counted = keyed.mapInArrow(count, with_fields(keyed, ["doc_id", "key"], "n_words long"))
     names, n_hit = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0).cast("long"))
-    return docs.select("doc_id", text_key(F.col("text")).alias("key"), n_words.cast("long").alias("n_words")).join(found_, "key", "left").select(
+    return counted.join(found_, "key", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
         names.alias("items"), F.coalesce("hit_runs", F.array().cast(RUNS)).alias("hit_runs"),
     )
