@@ -10,25 +10,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from scriptorium.llm.shared import use_checkpoint_dir
+from scriptorium.llm.shared import use_checkpoint_dir, written
 
 
 def connect(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """links: a, b (long).  Returns (node, root) for every node of a link; root is the least node that it reaches."""
     use_checkpoint_dir(links.sparkSession)
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = written(edges.distinct())
     for _ in range(most_rounds):
         n, nodes = edges.agg(F.count("*"), F.count_distinct("a")).first()
         if n == nodes and edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break  # every node has one link, to a node that has none: stars about the least nodes
         # large star: every neighbour above a node goes to the least of the node and its neighbours
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()  # written, so that a hub's rows can be split
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))  # so that a hub's rows can be split
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its lesser neighbours go to the least of those
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         pair = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = large.join(low, "a").select(F.explode(pair).alias("e")).select("e.*").where("a <> b").distinct().checkpoint()
+        edges = written(large.join(low, "a").select(F.explode(pair).alias("e")).select("e.*").where("a <> b").distinct())
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.select(F.col("b").alias("node")).distinct()

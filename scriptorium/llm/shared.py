@@ -22,6 +22,14 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(folder)
 
 
+def written(table: DataFrame) -> DataFrame:
+    """The table, written to the checkpoint folder.  Spark deletes the shuffle files that only its making needed once the driver's
+    garbage collector has met them; that is asked for here, as it might not come for long."""
+    out = table.checkpoint()
+    table.sparkSession.sparkContext._jvm.java.lang.System.gc()
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder that all executors share, for written tables."""
     use_checkpoint_dir(spark)

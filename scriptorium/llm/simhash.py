@@ -30,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scriptorium.llm.components import connect
-from scriptorium.llm.shared import fresh, use_checkpoint_dir, with_fields
+from scriptorium.llm.shared import fresh, use_checkpoint_dir, with_fields, written
 from scriptorium.llm.textblock import LOWER, NOT_SPACE, Words, blocks
 
 RADIUS = 4
@@ -129,7 +129,7 @@ def _links(labelled: DataFrame, n: int, most: int = MOST_TOGETHER) -> DataFrame:
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     earlier = " AND ".join(f"(shiftright(p.at, 48) <= {s} OR bit_count((a ^ b) & {signed(m)}L) > {r})" for s, (m, r) in enumerate(masks[:-1]))
     near = f"p.at = t.at AND a > b AND grp_a <> grp_b AND bit_count(a ^ b) <= {RADIUS} AND {earlier}"
-    many = table.groupBy("at").agg(F.count("*").alias("m")).where(F.col("m") > most).select("at").checkpoint()
+    many = written(table.groupBy("at").agg(F.count("*").alias("m")).where(F.col("m") > most).select("at"))
     if many.isEmpty():
         return probe.alias("p").join(table.alias("t"), F.expr(near)).select("a", "b")
     few = probe.join(many, "at", "left_anti").alias("p").join(table.join(many, "at", "left_anti").alias("t"), F.expr(near)).select("a", "b")
@@ -178,8 +178,8 @@ def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, mark (a hash of the text), fp, root (of the component) and component_id of every row."""
     use_checkpoint_dir(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    prints = rows.mapInArrow(_with_print, with_fields(rows, ["doc_id"], "mark long, fp long")).checkpoint()
-    own = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
+    prints = written(rows.mapInArrow(_with_print, with_fields(rows, ["doc_id"], "mark long, fp long")))
+    own = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     return prints.join(with_component(own, components(own.select("fp")), "fp"), "fp")
 
 
@@ -191,7 +191,7 @@ def with_component(own: DataFrame, linked: DataFrame, key: str) -> DataFrame:
     best = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     found = linked.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(best.hint("merge"), ["root", "salt"]).select(key, "root", "component_id")
     alone = F.col("root").isNull()
-    return own.join(found, key, "left").select(key, F.coalesce("root", key).alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id")).checkpoint()
+    return written(own.join(found, key, "left").select(key, F.coalesce("root", key).alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,20 +199,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return _members(docs, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def same_rows(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
-    """One each of the rows whose columns ``on``, an id that may be null and a mark, are among ``wanted``'s (id, mark)."""
-    a, b = fresh(rows.columns, "wanted_id", "wanted_mark")
-    wanted = wanted.toDF(a, b)
-    return rows.join(wanted, F.col(on[0]).eqNullSafe(F.col(a)) & (F.col(on[1]) == F.col(b)), "left_semi").dropDuplicates(on)
+def row_key(rows: DataFrame, id_col: str, mark: Column, names: list[str]) -> list[Column]:
+    """Three columns that tell rows apart and can be joined by name: whether the id is null, the id or something in its place,
+    and a mark of the text."""
+    own = F.col(id_col)
+    whole = isinstance(rows.select(own).schema[0].dataType, T.IntegralType)
+    held = F.coalesce(own.cast("long"), F.lit(0)) if whole else F.coalesce(own.cast("string"), F.lit(""))
+    return [own.isNull().alias(names[0]), held.alias(names[1]), mark.alias(names[2])]
 
 
 def keep_one(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of each component; members: doc_id, mark, root and component_id of every row."""
     found = members.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("root").agg(F.min("doc_id").alias("id"), F.min("mark").alias("m"))
-    on = fresh(docs.columns, "id", "mark")
-    marked = docs.select("*", F.col(id_col).alias(on[0]), F.xxhash64(text_col).alias(on[1]))
-    return same_rows(marked, kept.select("id", "m"), on).select(*docs.columns)
+    kept = found.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"))
+    on = fresh(docs.columns, "none", "id", "mark")
+    marked = docs.select("*", *row_key(docs, id_col, F.xxhash64(text_col), on))
+    return marked.join(kept.select(*row_key(kept, "doc_id", F.col("mark"), on)), on, "left_semi").dropDuplicates(on).select(*docs.columns)
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
