@@ -46,14 +46,16 @@ SCALE = 30.0
 BLOCK, PART = 1 << 20, 1 << 18
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BITS = 1 << 20
+#: Slots of the tables by which pieces are looked up, as a power of two.
+_SLOTS = 17
 
 
 @dataclass
 class Vocabulary:
-    """Pieces by length in characters as sorted hashes with ids and weights, byte pieces, and the bytes of every id."""
+    """Pieces by length in characters: hashes with ids and weights, and where to look a hash up; byte pieces, and the bytes of
+    every id."""
 
-    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]
     byte_id: np.ndarray
     unknown: float
     raw: np.ndarray
@@ -86,16 +88,45 @@ def load(path: str = MODEL, theta: float = THETA) -> Vocabulary:
     for size, found in by.items():
         found.sort()
         keys = np.array([x[0] for x in found], np.uint64)
-        sieve = np.zeros(_BITS, bool)
-        sieve[(keys & np.uint64(_BITS - 1)).astype(np.int64)] = True
-        lengths[size] = (keys, np.array([x[1] for x in found], np.int32), np.array([x[2] for x in found]) * SCALE**size, sieve)
+        lengths[size] = (keys, np.array([x[1] for x in found], np.int32), np.array([x[2] for x in found]) * SCALE**size, _index(keys))
     least = min((x[2] / SCALE**size).min() for size, x in lengths.items())
     return Vocabulary(lengths, byte_id, least * 1e-4 * SCALE, np.frombuffer(b"".join(text), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in text])]))
 
 
 def _hash(points: np.ndarray) -> int:
     up, _ = powers(_BASE, len(points))
-    return int(mixed(np.array([((points + np.uint64(1)) * up).sum(dtype=np.uint64)], np.uint64))[0])
+    return int(((points + np.uint64(1)) * up).sum(dtype=np.uint64))
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return ((h * _STEP) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+
+def _index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each slot the place of its key, negative (and less by one) if it has more keys; those others, sorted, and their places."""
+    slot = _slot(keys)
+    table = np.zeros(1 << _SLOTS, np.int32)
+    _, first, count = np.unique(slot, return_index=True, return_counts=True)
+    table[slot[first]] = np.where(count > 1, -first - 1, first)
+    others = np.setdiff1d(np.arange(len(keys)), first)
+    others = others[np.argsort(keys[others])]
+    return table, keys[others], others
+
+
+def _look_up(h: np.ndarray, keys: np.ndarray, index: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the hashes are among the keys, and where)."""
+    table, others, places = index
+    at = table[_slot(h)]
+    more = at < 0
+    at = np.where(more, -at - 1, at)
+    same = keys[at] == h
+    rest = np.flatnonzero(more & ~same)
+    if len(rest):
+        k = np.minimum(np.searchsorted(others, h[rest]), len(others) - 1)
+        hit = others[k] == h[rest]
+        at[rest[hit]], same[rest[hit]] = places[k[hit]], True
+    which = np.flatnonzero(same)
+    return which, at[which]
 
 
 def _hits(v: Vocabulary, points: np.ndarray, inside: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -104,16 +135,12 @@ def _hits(v: Vocabulary, points: np.ndarray, inside: np.ndarray) -> list[tuple[i
     up, down = powers(_BASE, n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    hits = []
-    for size, (keys, ids, weights, sieve) in sorted(v.by_length.items()):
-        at = np.flatnonzero(inside >= size) if size > 1 else np.arange(n)
-        h = mixed((total[at + 1] - total[at + 1 - size]) * down[at + 1 - size])
-        may = np.flatnonzero(sieve[(h & np.uint64(_BITS - 1)).astype(np.int64)])
-        at, h = at[may], h[may]
-        k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        hit = np.flatnonzero(keys[k] == h)
-        if len(hit):
-            hits.append((size, at[hit], ids[k[hit]], weights[k[hit]]))
+    hits, at = [], np.arange(n)
+    for size, (keys, ids, weights, index) in sorted(v.by_length.items()):
+        at = at[inside[at] >= size] if size > 1 else at
+        which, k = _look_up((total[at + 1] - total[at + 1 - size]) * down[at + 1 - size], keys, index)
+        if len(which):
+            hits.append((size, at[which], ids[k], weights[k]))
     return hits
 
 

@@ -50,6 +50,16 @@ def test_distribution_is_that_of_all_paths():
     assert tuple(encoded(["there"], best=True)[0]) == max(every, key=every.get)
 
 
+def test_looking_up(monkeypatch):
+    monkeypatch.setattr(P, "_SLOTS", 8)
+    r = np.random.default_rng(5)
+    keys = np.unique(r.integers(0, 2**63, 900).astype(np.uint64))
+    asked = np.concatenate([keys[::3], r.integers(0, 2**63, 500).astype(np.uint64), keys[:1], keys[-1:]])
+    which, at = P._look_up(asked, keys, P._index(keys))
+    where = {int(k): i for i, k in enumerate(keys)}
+    assert which.tolist() == [i for i, h in enumerate(asked.tolist()) if h in where] and at.tolist() == [where[h] for h in asked.tolist() if h in where]
+
+
 def test_draws_depend_on_the_key_alone():
     a = encoded(["one two three", "four"], np.array([5, 6], np.uint64))
     b = encoded(["four", "", "one two three"], np.array([6, 1, 5], np.uint64))
