@@ -18,6 +18,8 @@ each.  The join over segments then skips pairs already connected, so it does not
 ``MOST_TOGETHER`` fingerprints have one value of a segment, they are indexed once more, by segments of their other bits, so
 that no value's members are compared with each other one by one.
 
+``similar`` uses the same index at a wider radius, by ``draws`` and ``pairs``, over fingerprints of sets (``majority``).
+
 A null text counts as empty.  Ids may have any type that can be ordered.  A component of null ids only has a null ``component_id``; rows with equal ids get equal rows.
 Further columns are ignored by ``near_duplicates`` and kept by ``one_of_each``.
 """
@@ -45,6 +47,9 @@ CROWD, SALTS = 32, 16
 MOST_TOGETHER = 4096
 #: Segments as (bits, radius), low bits first.  In each row the radii plus one add up to more than RADIUS.
 PLANS = (((19, 0), (22, 1), (23, 1)), ((29, 1), (35, 2)))
+#: Further segments for ``similar``, which looks for fingerprints so many bits apart.
+WIDE = 7
+WIDE_PLANS = (((16, 1),) * 4, ((21, 2), (21, 2), (22, 1)), ((32, 3), (32, 3)))
 
 
 def fingerprints(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -69,6 +74,18 @@ def fingerprints(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def majority(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The fingerprint of each row's hashes, which lie one row after the other from ``first`` on; zero of a row without any."""
+    size = np.diff(first)
+    some = np.flatnonzero(size)
+    out, made = np.zeros(len(size), np.uint64), np.zeros(len(some), np.uint64)
+    for b in range(64 if len(some) else 0):
+        ones = np.add.reduceat((value >> np.uint64(b)) & np.uint64(1), first[some])
+        made |= (2 * ones > size[some].astype(np.uint64)).astype(np.uint64) << np.uint64(b)
+    out[some] = made
+    return out
+
+
 def _with_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -76,10 +93,10 @@ def _with_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(made.view(np.int64))], ["doc_id", "mark", "fp"])
 
 
-def plan(n: int) -> tuple[tuple[int, int], ...]:
+def plan(n: int, radius: int = RADIUS) -> tuple[tuple[int, int], ...]:
     """The segments that cost least for n distinct fingerprints: a probe costs about 30 comparisons."""
     ball = lambda bits, r: sum(math.comb(bits, i) for i in range(r + 1))
-    return min(PLANS, key=lambda p: sum(ball(b, r) * (30 + n / 2.0**b) for b, r in p))
+    return min({RADIUS: PLANS, WIDE: WIDE_PLANS}[radius], key=lambda p: sum(ball(b, r) * (30 + n / 2.0**b) for b, r in p))
 
 
 def _ball(seg: str, bits: int, r: int) -> str:
@@ -89,14 +106,17 @@ def _ball(seg: str, bits: int, r: int) -> str:
         parts.append(f"transform(sequence(0, {bits - 1}), i -> {seg} ^ shiftleft(1L, i))")
     if r >= 2:
         parts.append(f"flatten(transform(sequence(1, {bits - 1}), i -> transform(sequence(0, i - 1), j -> {seg} ^ shiftleft(1L, i) ^ shiftleft(1L, j))))")
+    if r >= 3:
+        three = f"transform(sequence(0, j - 1), k -> {seg} ^ shiftleft(1L, i) ^ shiftleft(1L, j) ^ shiftleft(1L, k))"
+        parts.append(f"flatten(transform(sequence(2, {bits - 1}), i -> flatten(transform(sequence(1, i - 1), j -> {three}))))")
     return f"concat({', '.join(parts)})"
 
 
-def _tables(n: int) -> tuple[list[str], list[str], list[tuple[int, int]]]:
+def _tables(n: int, radius: int = RADIUS) -> tuple[list[str], list[str], list[tuple[int, int]]]:
     """SQL, for each segment, for its value and for the array of values to probe, both with the segment's number above; and
     the segments' masks and radii."""
     low, tables, probes, masks = 0, [], [], []
-    for s, (bits, r) in enumerate(plan(n)):
+    for s, (bits, r) in enumerate(plan(n, radius)):
         seg = f"(shiftrightunsigned(fp, {low}) & {(1 << bits) - 1}L)"
         tag = f"{s << 48}L"
         tables.append(f"{seg} | {tag}")
@@ -106,10 +126,10 @@ def _tables(n: int) -> tuple[list[str], list[str], list[tuple[int, int]]]:
     return tables, probes, masks
 
 
-def _crowded(distinct: DataFrame, n: int) -> DataFrame:
+def _crowded(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """The fingerprints that share a segment's value with many others."""
-    most = ", ".join(f"{CROWD + (2 * n >> bits)}" for bits, _ in plan(n))
-    at = distinct.select("fp", F.expr(f"explode(array({', '.join(_tables(n)[0])}))").alias("at"))
+    most = ", ".join(f"{CROWD + (2 * n >> bits)}" for bits, _ in plan(n, radius))
+    at = distinct.select("fp", F.expr(f"explode(array({', '.join(_tables(n, radius)[0])}))").alias("at"))
     crowd = at.groupBy("at").agg(F.count("*").alias("m")).where(f"m > element_at(array({most}), cast(shiftright(at, 48) as int) + 1)")
     return at.join(crowd, "at", "left_semi").select("fp").distinct()
 
@@ -121,49 +141,68 @@ def _close(crowded: DataFrame) -> DataFrame:
     return near.join(least, "at").where("fp > b").select(F.col("fp").alias("a"), "b")
 
 
-def _links(labelled: DataFrame, n: int, most: int = MOST_TOGETHER) -> DataFrame:
-    """Links between fingerprints of different groups; labelled: fp, grp."""
-    tables, probes, masks = _tables(n)
-    table = labelled.select(F.expr(f"explode(array({', '.join(tables)}))").alias("at"), F.col("fp").alias("b"), F.col("grp").alias("grp_b"))
-    probe = labelled.select(F.expr(f"explode(concat({', '.join(probes)}))").alias("at"), F.col("fp").alias("a"), F.col("grp").alias("grp_a"))
+def _links(labelled: DataFrame, n: int, most: int = MOST_TOGETHER, radius: int = RADIUS, key: str = "fp") -> DataFrame:
+    """Links between fingerprints of different groups, as pairs of their keys; labelled: fp, grp and, if it isn't fp, the key."""
+    tables, probes, masks = _tables(n, radius)
+    of = lambda x: x if key == "fp" else f"key_{x}"
+    side = lambda x: [F.col("fp").alias(x), F.col("grp").alias(f"grp_{x}")] + [F.col(key).alias(of(x))] * (key != "fp")
+    pair = [F.col(of("a")).alias("a"), F.col(of("b")).alias("b")]
+    table = labelled.select(F.expr(f"explode(array({', '.join(tables)}))").alias("at"), *side("b"))
+    probe = labelled.select(F.expr(f"explode(concat({', '.join(probes)}))").alias("at"), *side("a"))
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     earlier = " AND ".join(f"(shiftright(p.at, 48) <= {s} OR bit_count((a ^ b) & {signed(m)}L) > {r})" for s, (m, r) in enumerate(masks[:-1]))
-    near = f"p.at = t.at AND a > b AND grp_a <> grp_b AND bit_count(a ^ b) <= {RADIUS} AND {earlier}"
+    near = f"p.at = t.at AND {of('a')} > {of('b')} AND grp_a <> grp_b AND bit_count(a ^ b) <= {radius} AND {earlier}"
     many = written(table.groupBy("at").agg(F.count("*").alias("m")).where(F.col("m") > most).select("at"))
     if many.isEmpty():
-        return probe.alias("p").join(table.alias("t"), F.expr(near)).select("a", "b")
-    few = probe.join(many, "at", "left_anti").alias("p").join(table.join(many, "at", "left_anti").alias("t"), F.expr(near)).select("a", "b")
+        return probe.alias("p").join(table.alias("t"), F.expr(near)).select(*pair)
+    few = probe.join(many, "at", "left_anti").alias("p").join(table.join(many, "at", "left_anti").alias("t"), F.expr(near)).select(*pair)
     # of what agrees in one segment, the other bits are cut into segments of their own
-    sub_table, sub_probe = zip(*(_others(bits, low) for bits, low in _places(n)), strict=True)
+    sub_table, sub_probe = zip(*(_others(bits, low, radius) for bits, low in _places(n, radius)), strict=True)
     by = lambda each, fp: "CASE " + " ".join(f"WHEN shiftright(at, 48) = {s} THEN {e.replace('fp', fp)}" for s, e in enumerate(each)) + " END"
     tables_in = table.join(many, "at", "left_semi").select("*", F.explode(F.expr(by(sub_table, "b"))).alias("sub"))
     probes_in = probe.join(many, "at", "left_semi").select("*", F.explode(F.expr(by(sub_probe, "a"))).alias("sub"))
-    return few.union(probes_in.alias("p").join(tables_in.alias("t"), F.expr(f"p.sub = t.sub AND {near}")).select("a", "b").distinct())
+    return few.union(probes_in.alias("p").join(tables_in.alias("t"), F.expr(f"p.sub = t.sub AND {near}")).select(*pair).distinct())
 
 
-def _places(n: int) -> list[tuple[int, int]]:
+def _places(n: int, radius: int = RADIUS) -> list[tuple[int, int]]:
     """(bits, lowest bit) of the segments."""
     out, low = [], 0
-    for bits, _ in plan(n):
+    for bits, _ in plan(n, radius):
         out.append((bits, low))
         low += bits
     return out
 
 
-def _others(bits: int, low: int) -> tuple[str, str]:
+def _others(bits: int, low: int, radius: int = RADIUS) -> tuple[str, str]:
     """SQL, over the bits outside a segment cut in three, for the arrays of values to store and to probe; the radii plus one add
-    up to more than RADIUS once more."""
+    up to more than the radius once more."""
     rest = f"((fp & {(1 << low) - 1}L) | shiftleft(shiftrightunsigned(fp, {low + bits}), {low}))" if low + bits < 64 else f"(fp & {(1 << low) - 1}L)"
     size = 64 - bits
     cuts = [0, size // 3, 2 * size // 3, size]
     store, probe = [], []
-    for k, r in enumerate((0, 1, 1)):
+    for k, r in enumerate((radius + 1 + k) // 3 - 1 for k in range(3)):
         seg = f"(shiftrightunsigned({rest}, {cuts[k]}) & {(1 << cuts[k + 1] - cuts[k]) - 1}L)"
         store.append(f"{seg} | {k << 48}L")
         probe.append(f"transform({_ball(seg, cuts[k + 1] - cuts[k], r)}, x -> x | {k << 48}L)")
     return f"array({', '.join(store)})", f"concat({', '.join(probe)})"
 
 
+def draws(prints: DataFrame, n: int) -> DataFrame:
+    """Pairs (a, b) of keys that draw crowds together: each key and the least of its fingerprint, and the least keys of crowded
+    fingerprints that meet at one bit from both.  prints: key, fp; n: how many."""
+    least = written(prints.groupBy("fp").agg(F.min("key").alias("least"), F.max("key").alias("top")))
+    same = prints.join(least.where("least < top"), "fp").where("key > least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    side = lambda x: least.select(F.col("fp").alias(x), F.col("least").alias(f"key_{x}"))
+    near = _close(_crowded(least.select("fp"), n, WIDE)).distinct().join(side("a"), "a").join(side("b"), "b")
+    return same.union(near.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
+
+
+def pairs(labelled: DataFrame, n: int, most: int = MOST_TOGETHER) -> DataFrame:
+    """All pairs (a, b) of keys of different groups whose fingerprints are at most WIDE bits apart; labelled: key, fp, grp; n: how
+    many."""
+    return _links(labelled, n, most, WIDE, "key")
+
+
 def components(distinct: DataFrame) -> DataFrame:
     """(fp, root) for the fingerprints that are linked to another; root is the component's smallest value as a long.
     distinct: fp, each once, cheap to read again (a checkpoint)."""
