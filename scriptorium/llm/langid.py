@@ -14,7 +14,7 @@ with equal ids are classed one by one; equal texts get equal results.
 
 from __future__ import annotations
 
-
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,6 +198,16 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _packed(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending places and their counts, deflated: all samples pass through the driver's JVM."""
+    return zlib.compress(np.diff(at, prepend=np.int32(0)).astype(np.int32).tobytes() + n.astype(np.float32).tobytes(), 1)
+
+
+def _unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray]:
+    step, n = np.split(np.frombuffer(zlib.decompress(held), np.int32), 2)
+    return np.cumsum(step, dtype=np.int32), n.view(np.float32)
+
+
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """Learn from a bounded sample of the rows that are not held out and have a language."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -214,12 +224,13 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, raw, at in blocks(b.column("text")):
-                made = [(np.flatnonzero(c).astype(np.int32), c[c > 0]) for c in _counts(raw, at)]
-                yield pa.RecordBatch.from_arrays([b.column("lang").slice(lo, hi - lo), pa.array([x for x, _ in made], pa.list_(pa.int32())), pa.array([y for _, y in made], pa.list_(pa.float32()))], ["lang", "at", "n"])
+                made = pa.array([_packed(np.flatnonzero(c).astype(np.int32), c[c > 0]) for c in _counts(raw, at)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("lang").slice(lo, hi - lo), made], ["lang", "packed"])
 
     found: list[tuple[str, np.ndarray, np.ndarray]] = []
-    for b in sample.mapInArrow(count, "lang string, at array<int>, n array<float>").toArrow().to_batches():
-        found += [(lang, at.values.to_numpy(), n.values.to_numpy()) for lang, at, n in zip(b.column("lang").to_pylist(), b.column("at"), b.column("n"), strict=True) if len(at.values)]
+    for b in sample.mapInArrow(count, "lang string, packed binary").toArrow().to_batches():
+        rows = ((lang, *_unpacked(x.as_py())) for lang, x in zip(b.column("lang").to_pylist(), b.column("packed"), strict=True))
+        found += [r for r in rows if len(r[1])]
     if not found:
         return None
     found.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))

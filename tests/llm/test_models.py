@@ -24,6 +24,21 @@ def test_languages_of_held_out_documents(spark):
     assert again.exceptAll(L.classify(d, model)).count() == 0  # the text alone decides
 
 
+def test_samples_are_packed_for_the_driver(spark):
+    """22 MB of places and counts went through the driver's JVM at most; packed, they are under half of that."""
+    raw, packed = 0, 0
+    for (t,) in docs(spark).select("text").where("text IS NOT NULL").limit(200).collect():
+        text = np.frombuffer(t.encode(), np.uint8)
+        (c,) = L._counts(text, np.array([0, len(text)]))
+        at, n = np.flatnonzero(c).astype(np.int32), c[c > 0].astype(np.float32)
+        held = L._packed(at, n)
+        back = L._unpacked(held)
+        assert all(x.dtype == y.dtype and (x == y).all() and len(x) == len(y) for x, y in zip(back, (at, n), strict=True))
+        raw, packed = raw + at.nbytes + n.nbytes, packed + len(held)
+    assert 2 * packed < raw
+    assert [len(x) for x in L._unpacked(L._packed(np.zeros(0, np.int32), np.zeros(0, np.float32)))] == [0, 0]
+
+
 def test_hierarchy():
     texts = {"en": "the cat and the dog", "de": "der hund und die katze", "fr": "le chat et les chiens", "es": "el gato y los perros", "ru": "кошка и собака"}
     sparse, langs = [], []

@@ -87,3 +87,31 @@ def test_components(spark):
     nodes = sorted({v for p in pairs for v in p})
     assert got == classes(nodes, lambda a, b: frozenset((a, b)) in pairs)
     assert components.connect(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_links_are_settled_without_rounds(spark):
+    import random
+
+    r = random.Random(8)
+    links = [(i + 1, i) for i in range(-300, 0)] + [(r.randrange(10**6), r.randrange(10**6, 10**6 + 900)) for _ in range(1500)] + [(9, 9), (-(1 << 63), (1 << 63) - 1)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(7)
+    pairs = {frozenset(x) for x in links}
+    parent = {v: v for p in pairs if len(p) > 1 for v in p}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in links:
+        if a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    want = sorted((v, root(v)) for v in parent)
+    jobs = spark.sparkContext._jsc.sc().dagScheduler()
+    begun = jobs.numTotalJobs()
+    got = components.connect(df)
+    assert jobs.numTotalJobs() - begun <= 8
+    assert sorted((x.node, x.root) for x in got.collect()) == want
+    assert sorted((x.node, x.root) for x in components.connect(df, most_in_one=0).collect()) == want
+    assert sorted((x.node, x.root) for x in components.connect(df, most_in_one=1000).collect()) == want
