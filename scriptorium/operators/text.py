@@ -1,7 +1,7 @@
 """Languages and glyph packs of texts, from their code points.
 
-``profile`` is one pass over the text: an Arrow function looks every code point up in tables built by rule from the Unicode
-database and counts by row.  What follows (percentages, ranks, routing) are column expressions.  ``counts_by_patterns`` is
+``profile`` is one pass over the text: a Python function looks every code point up in tables built by rule from the Unicode
+database and counts by row, a piece of one text at a time (``short``: over Arrow batches of words).  What follows (percentages, ranks, routing) are column expressions.  ``counts_by_patterns`` is
 the same count by built-in functions alone, and ``counts_by_join`` by a broadcast range join; all three agree.
 
 All work on batch and streaming DataFrames alike; only the range join shuffles.  A null text has no letters and is blank.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,8 @@ from scriptorium.functions.names import fresh
 PROFILE = "struct<counts:array<int>,has_letter:boolean,ascii_ocr:boolean,native_ocr:boolean,pack_id:string>"
 _LETTER, _SPACE, _NOT_ASCII, _FOREIGN = 1, 2, 4, 8
 _OTHER = 255
+#: Code points of a text that are looked up at once.
+PIECE = 1 << 16
 
 
 @lru_cache(1)
@@ -85,14 +88,47 @@ def _profiles(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([listed, pa.array((seen & _LETTER) > 0), pa.array(filled & ascii_), pa.array(native), voted], ["counts", "has_letter", "ascii_ocr", "native_ocr", "pack_id"])
 
 
-def profile(text: Column | str) -> Column:
+def _pieces(text: str) -> Iterator[np.ndarray]:
+    for at in range(0, len(text), PIECE):
+        yield np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _profile(text: str | None) -> tuple[list[int], bool, bool, bool, str | None]:
+    """What ``_profiles`` says of one text."""
+    language, pack, flags, packs = tables()
+    text = text or ""
+    counts, votes = np.zeros(len(registry.LANGUAGES) + 1, np.int64), np.zeros(_OTHER + 1, np.int64)
+    some, every = 0, _SPACE
+    for points in _pieces(text):
+        counts += np.bincount(language[points], minlength=len(counts))
+        votes += np.bincount(pack[points], minlength=len(votes))
+        flag = flags[points]
+        some, every = some | int(np.bitwise_or.reduce(flag)), every & int(np.bitwise_and.reduce(flag))
+    filled, ascii_ = not every & _SPACE, not some & _NOT_ASCII
+    each = votes[1 : len(packs) + 1]
+    voted = None
+    if filled and ascii_:
+        voted = "latin"
+    elif filled and each.any() and not votes[_OTHER]:
+        tied = np.flatnonzero(each == each.max()) + 1
+        seen = (own[np.isin(own, tied)] for own in map(pack.__getitem__, _pieces(text))) if len(tied) > 1 else iter([tied])
+        voted = packs[next(own for own in seen if len(own))[0] - 1]  # the first seen
+    return counts[1:].tolist(), bool(some & _LETTER), filled and ascii_, filled and (ascii_ or not some & _FOREIGN), voted
+
+
+def profile(text: Column | str, short: bool = False) -> Column:
     """Counts of letters by language (in registry order), whether there is a letter, whether the text is plain ASCII,
-    whether glyph packs cover it, and the pack that its letters vote for."""
+    whether glyph packs cover it, and the pack that its letters vote for.
+
+    Texts go to Python as rows, 100 at once as Spark has it, so that a worker holds little more than those however large the
+    tables are; an Arrow batch has 10,000 texts or 64 MB, and a worker may hold two.  Words and the like (``short``) go as
+    Arrow batches, which have few bytes then, and are looked up many at a time."""
 
     def run(texts: pa.Array) -> pa.Array:
         return _profiles(texts)
 
-    return F.arrow_udf(run, PROFILE)(F.col(text) if isinstance(text, str) else text)
+    of = F.arrow_udf(run, PROFILE) if short else F.udf(_profile, PROFILE, useArrow=False)
+    return of(F.col(text) if isinstance(text, str) else text)
 
 
 def _array(values, kind: str = "string") -> Column:
@@ -123,9 +159,12 @@ def detect_lines(df: DataFrame, lines_col: str, text_col: str = "text", out: str
 
 
 def letter_counts(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """keys, code, n for the languages that occur; equal keys are added up."""
+    """keys, code, n for the languages that occur; equal keys are added up.
+
+    ``posexplode`` alone would have Spark infer that there is something to explode, and profile each text once more to test that;
+    outer, it doesn't."""
     rows = df.select(*keys, F.col("p.counts").alias("c")) if "p" in df.columns else df.select(*keys, profile(text_col).alias("p")).select(*keys, F.col("p.counts").alias("c"))
-    long = rows.select(*keys, F.posexplode("c").alias("k", "n")).where("n > 0").withColumn("code", F.element_at(_array(registry.CODES), F.col("k") + 1))
+    long = rows.select(*keys, F.posexplode_outer("c").alias("k", "n")).where("n > 0").withColumn("code", F.element_at(_array(registry.CODES), F.col("k") + 1))
     return long.groupBy(*keys, "code").agg(F.sum("n").cast("long").alias("n"))
 
 

@@ -66,8 +66,8 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exploded(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, rank, code, name, percent of the ranked languages."""
-    return T.detect_languages(df).select(key, F.posexplode("languages").alias("i", "l")).select(key, (F.col("i") + 1).cast("long").alias("rank"), "l.code", "l.name", "l.percent")
+    """key, rank, code, name, percent of the ranked languages; each text is profiled once, see ``T.letter_counts``."""
+    return T.detect_languages(df).select(key, F.posexplode_outer("languages").alias("i", "l")).where("i IS NOT NULL").select(key, (F.col("i") + 1).cast("long").alias("rank"), "l.code", "l.name", "l.percent")
 
 
 @query(f"WITH {counts_sql('documents', 'doc_id')} SELECT doc_id, code, n FROM counted")
@@ -160,7 +160,7 @@ pack AS (SELECT w.doc_id, w.pos, w.w, CASE WHEN regexp_matches(w, '{NOT_WS}') AN
 
 def _words(spark, sf_dir) -> DataFrame:
     words = mixed(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
-    return words.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), "w").withColumn("p", T.profile("w"))
+    return words.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), "w").withColumn("p", T.profile("w", short=True))
 
 
 @query(f"WITH {_VOTED} SELECT doc_id, pos, pack_id FROM pack")

@@ -20,6 +20,6 @@ def results(stream: DataFrame, text_col: str = "text") -> DataFrame:
 def language_mix(stream: DataFrame, time_col: str, window: str = "5 minutes", late: str = "10 minutes", text_col: str = "text") -> DataFrame:
     """Letters by language in windows of event time; rows later than ``late`` are not waited for."""
     rows = stream.withWatermark(time_col, late).select(F.col(time_col).alias("at"), T.profile(text_col)["counts"].alias("c"))
-    long = rows.select("at", F.posexplode("c").alias("k", "n")).where("n > 0")
+    long = rows.select("at", F.posexplode_outer("c").alias("k", "n")).where("n > 0")  # outer: see T.letter_counts
     codes = F.array(*(F.lit(c) for c in T.registry.CODES))
     return long.groupBy(F.window("at", window).alias("window"), F.element_at(codes, F.col("k") + 1).alias("code")).agg(F.sum("n").cast("long").alias("letters"))
