@@ -184,7 +184,7 @@ def identification_source_matrix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<long>")).alias("h")).withColumn("o", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<long>")))
     hint = F.when(F.col("h") == 1, "12 !").when(F.col("h") == 2, F.col("source")).when(F.col("h") == 3, "  ")
     docs = docs.withColumns({"hint": hint, "ocr": F.when(F.col("o") == 1, F.col("lang")).otherwise(" ")})
-    return docs.withColumn("p", T.profile("hint")).select("doc_id", "h", "o", T.identification(F.col("ocr"), F.col("hint"), F.col("p")).alias("identification_source"))
+    return docs.withColumn("p", T.profile("hint", short=True)).select("doc_id", "h", "o", T.identification(F.col("ocr"), F.col("hint"), F.col("p")).alias("identification_source"))
 
 
 _DRESS = "chr(8220) || ' ' || text || chr(8217) || chr(187) || chr(160) || ' '"
